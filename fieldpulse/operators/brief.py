@@ -98,10 +98,32 @@ def top_holdings(activity: DataFrame, m: ActivityModel = ADAPTER_ACTIVITY, k: in
 def _long(df: DataFrame, section: str, key_col, measures: list[str]) -> DataFrame:
     """Unpivot measure columns into (section, key, measure, value double)."""
     key = F.lit(None).cast("string") if key_col is None else F.col(key_col).cast("string")
-    pairs = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
-                      for c in measures])
-    return (df.select(F.lit(section).alias("section"), key.alias("key"),
-                      F.inline(pairs)))
+    return df.select(F.lit(section).alias("section"), key.alias("key"),
+                     F.inline(_measure_array(measures)))
+
+
+def _measure_array(measures: list[tuple[str, str] | str]) -> F.Column:
+    pairs = [(m, m) if isinstance(m, str) else m for m in measures]
+    return F.array(*[F.struct(F.lit(name).alias("measure"), F.col(src).cast("double").alias("value"))
+                     for name, src in pairs])
+
+
+def long_by_grouping(g: DataFrame, cases: dict[int, tuple[str, str | None, list]]) -> DataFrame:
+    """Long form of a grouping-sets result in ONE projection.
+
+    ``cases`` maps a ``gid`` to ``(section, key column, measures)``. Splitting
+    the aggregate into one filtered branch per grouping set instead would let
+    the optimizer push each ``gid`` filter below the aggregate and re-run the
+    whole input plan once per branch.
+    """
+    section, key, arr = None, None, None
+    for gid, (name, key_col, measures) in cases.items():
+        cond = F.col("gid") == gid
+        k = F.lit(None).cast("string") if key_col is None else F.col(key_col).cast("string")
+        section = F.when(cond, F.lit(name)) if section is None else section.when(cond, F.lit(name))
+        key = F.when(cond, k) if key is None else key.when(cond, k)
+        arr = F.when(cond, _measure_array(measures)) if arr is None else arr.when(cond, _measure_array(measures))
+    return g.select(section.alias("section"), key.alias("key"), F.inline(arr))
 
 
 def brief_long(activity: DataFrame, study: DataFrame,
@@ -110,11 +132,10 @@ def brief_long(activity: DataFrame, study: DataFrame,
     """B-06: the whole brief as one long-form table, one scan per source relation.
 
     Sections: ``survey`` (13 KPIs), ``region`` (4 measures per region),
-    ``holding`` (top-k holdings, 3 measures), ``study`` (5 KPIs) and
+    ``holding`` (top-k holdings, 3 measures + rank), ``study`` (5 KPIs) and
     ``study_type`` (count per type).
     """
-    kpis = survey_kpi_measures(m)
-    measures = kpis + [
+    measures = survey_kpi_measures(m) + [
         F.round(F.avg(m.c("progress_pct")), 1).alias("g_avg_progress_1"),
         F.round(F.sum(m.c("resource_p50")), 1).alias("g_total_resource_1"),
         F.grouping_id().alias("gid"),
@@ -123,21 +144,20 @@ def brief_long(activity: DataFrame, study: DataFrame,
     # expressions would treat each alias as a separate grouping expression.
     keyed = activity.withColumns({"g_region": m.c("region"), "g_holding": m.c("holding")})
     g = keyed.groupingSets([[], ["g_region"], ["g_holding"]], "g_region", "g_holding").agg(*measures)
-    # gid bits: region is the high bit, holding the low bit (1 = rolled up).
-    survey = g.filter(F.col("gid") == 3)
-    region = (g.filter(F.col("gid") == 1)
-              .select("g_region", F.col("total").alias("n_activities"),
-                      F.col("g_avg_progress_1").alias("avg_progress"),
-                      F.col("g_total_resource_1").alias("total_resource"),
-                      F.col("total_planned")))
-    # Top-k first (TakeOrderedAndProject keeps k rows per partition), then
-    # number the k survivors; no window ever sees the whole holding list.
-    order = [F.desc("total"), F.asc_nulls_last("g_holding")]
-    holding = (g.filter(F.col("gid") == 2).orderBy(*order).limit(top_k)
-               .withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-               .select("g_holding", F.col("total").alias("n_activities"),
-                       F.col("g_avg_progress_1").alias("avg_progress"),
-                       F.col("g_total_resource_1").alias("total_resource"), "rank"))
+    # gid bits: region is the high bit, holding the low bit (1 = rolled up):
+    # 3 = grand total, 1 = per region, 2 = per holding. The holding rank is a
+    # window over the aggregated rows only (one row per holding).
+    w = Window.partitionBy("gid").orderBy(F.desc("total"), F.asc_nulls_last("g_holding"))
+    g = (g.withColumn("rank", F.when(F.col("gid") == 2, F.row_number().over(w)))
+          .filter((F.col("gid") != 2) | (F.col("rank") <= top_k)))
+    region_measures_ = [("n_activities", "total"), ("avg_progress", "g_avg_progress_1"),
+                        ("total_resource", "g_total_resource_1"), ("total_planned", "total_planned")]
+    holding_measures = [("n_activities", "total"), ("avg_progress", "g_avg_progress_1"),
+                        ("total_resource", "g_total_resource_1"), ("rank", "rank")]
+    survey_long = long_by_grouping(g, {
+        3: ("survey", None, list(SURVEY_KPI_NAMES)),
+        1: ("region", "g_region", region_measures_),
+        2: ("holding", "g_holding", holding_measures)})
     st_status = s.c("status")
     sg = study.withColumn("g_type", s.c("study_type")).groupingSets(
         [[], ["g_type"]], "g_type").agg(
@@ -147,16 +167,10 @@ def brief_long(activity: DataFrame, study: DataFrame,
         F.round(F.sum(s.c("planned_budget")), 0).alias("total_budget"),
         F.round(F.sum(s.c("realised_budget")), 0).alias("realised_budget"),
         F.grouping_id().alias("gid"))
-    study_row = sg.filter(F.col("gid") == 1)
-    by_type = sg.filter(F.col("gid") == 0).select("g_type", F.col("total").alias("n_studies"))
-    return (_long(survey, "survey", None, list(SURVEY_KPI_NAMES))
-            .unionByName(_long(region, "region", "g_region",
-                               ["n_activities", "avg_progress", "total_resource", "total_planned"]))
-            .unionByName(_long(holding, "holding", "g_holding",
-                               ["n_activities", "avg_progress", "total_resource", "rank"]))
-            .unionByName(_long(study_row, "study", None,
-                               ["total", "not_started", "done", "total_budget", "realised_budget"]))
-            .unionByName(_long(by_type, "study_type", "g_type", ["n_studies"])))
+    study_long = long_by_grouping(sg, {
+        1: ("study", None, ["total", "not_started", "done", "total_budget", "realised_budget"]),
+        0: ("study_type", "g_type", [("n_studies", "total")])})
+    return survey_long.unionByName(study_long)
 
 
 # ---------------------------------------------------------------------------

@@ -25,17 +25,22 @@ def validation_checks(activity: DataFrame, study: DataFrame,
         [[], ["g_type"]], "g_type").agg(
         F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
 
-    def rows(df, pairs):
-        arr = F.array(*[F.struct(F.lit(name).alias("check"), key.cast("string").alias("key"),
-                                 val.cast("double").alias("value")) for name, key, val in pairs])
+    def rows(df, cases):
+        # One projection per aggregate (see brief.long_by_grouping): the
+        # measure array is picked by grouping id, so the input runs once.
+        arr = None
+        for gid, pairs in cases.items():
+            items = F.array(*[F.struct(F.lit(name).alias("check"), key.cast("string").alias("key"),
+                                       val.cast("double").alias("value")) for name, key, val in pairs])
+            arr = F.when(F.col("gid") == gid, items) if arr is None else arr.when(F.col("gid") == gid, items)
         return df.select(F.inline(arr))
 
     none = F.lit(None).cast("string")
-    totals_a = rows(a.filter(F.col("gid") == 1), [
-        ("total_activities", none, F.col("n")),
-        ("total_planned", none, F.col("planned")),
-        ("total_resource", none, F.col("resource"))])
-    per_status = rows(a.filter(F.col("gid") == 0), [("activities_per_status", F.col("g_status"), F.col("n"))])
-    totals_b = rows(b.filter(F.col("gid") == 1), [("total_studies", none, F.col("n"))])
-    per_type = rows(b.filter(F.col("gid") == 0), [("studies_per_type", F.col("g_type"), F.col("n"))])
-    return totals_a.unionByName(per_status).unionByName(totals_b).unionByName(per_type)
+    checks_a = rows(a, {
+        1: [("total_activities", none, F.col("n")), ("total_planned", none, F.col("planned")),
+            ("total_resource", none, F.col("resource"))],
+        0: [("activities_per_status", F.col("g_status"), F.col("n"))]})
+    checks_b = rows(b, {
+        1: [("total_studies", none, F.col("n"))],
+        0: [("studies_per_type", F.col("g_type"), F.col("n"))]})
+    return checks_a.unionByName(checks_b)
