@@ -67,9 +67,14 @@ def has_text(c: str | Column, null_token: str = NULL_TOKEN) -> Column:
     return x.isNotNull() & (F.trim(x) != F.lit("")) & (x != F.lit(null_token))
 
 
-def coerce_number(c: str | Column, default: float | None = 0.0) -> Column:
-    """Text or number -> double; unparseable, NULL or NaN -> ``default``."""
-    d = F.nanvl(col_of(c).cast("string").try_cast("double"), F.lit(None).cast("double"))
+def coerce_number(c: str | Column, default: float | None = 0.0, numeric: bool = False) -> Column:
+    """Text or number -> double; unparseable, NULL or NaN -> ``default``.
+
+    ``numeric=True`` when the input is already a number (no text round trip).
+    """
+    x = col_of(c)
+    d = x.cast("double") if numeric else x.cast("string").try_cast("double")
+    d = F.nanvl(d, F.lit(None).cast("double"))
     return d if default is None else F.coalesce(d, F.lit(float(default)))
 
 
@@ -89,10 +94,18 @@ TIMESTAMP_FORMATS = (
 )
 
 
-def coerce_timestamp(c: str | Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
-    """Text -> timestamp, first format that parses wins; anything else -> NULL."""
+def coerce_timestamp(c: str | Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS,
+                     typed: bool = False) -> Column:
+    """Text -> naive (UTC wall-clock) timestamp; first format that parses wins, else NULL.
+
+    ``typed=True`` when the input already is a date/timestamp (plain cast).
+    The result is ``timestamp_ntz`` so a client in another zone reads the same
+    wall-clock value.
+    """
+    if typed:
+        return col_of(c).cast("timestamp_ntz")
     x = strip_ws(col_of(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 
 def word_regex(alternatives: str) -> str:
