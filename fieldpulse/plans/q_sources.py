@@ -1 +1,92 @@
-"""Registered queries."""
+"""Registered queries: catalog, row counts and run bookkeeping (S-10..S-15).
+
+The run-log operators are exercised on ``events`` read as a job log: each
+event is one run of one target (``event_type`` is the target, an ``error``
+event is a failed fetch, any other event delivered a file), the day of
+``ts`` is the run.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldpulse.operators import runlog
+from fieldpulse.plans.oracle import with_adapter
+from fieldpulse.plans.registry import REGISTRY
+from fieldpulse.sources import catalog
+
+R = REGISTRY
+RELATIONS = ("activity", "study", "receiver", "shotpoint", "recording")
+
+
+def _counts(ws):
+    tables = {n: getattr(ws, n) for n in RELATIONS}
+    tables["_ingestion_log"] = None  # not loaded yet: counts 0, as the health check reports
+    return catalog.table_row_counts(ws.spark, tables)
+
+
+_COUNTS_SQL = "\nUNION ALL\n".join(
+    [f"SELECT '{n}' AS \"table\", COUNT(*) AS rows FROM {n}" for n in RELATIONS]
+    + ["SELECT '_ingestion_log', CAST(0 AS BIGINT)"])
+
+
+@R.query("s11_row_counts", with_adapter(_COUNTS_SQL), ("S-11",))
+def _s11(ws):
+    return _counts(ws)
+
+
+@R.query("s12_ingest_summary", with_adapter(
+    f"SELECT * FROM ({_COUNTS_SQL}) WHERE NOT starts_with(\"table\", '_')"), ("S-12",))
+def _s12(ws):
+    return catalog.ingest_summary(_counts(ws))
+
+
+@R.query("s10_schema_listing", None, ("S-10",))
+def _s10(ws):
+    ws.register_views()
+    return catalog.schema_text(catalog.schema_listing(ws.spark, list(RELATIONS)))
+
+
+def _results(ws):
+    e = ws.raw.events
+    failed = F.col("event_type") == "error"
+    return e.select(
+        F.to_date("ts").cast("string").alias("run_id"),
+        F.col("event_id").alias("seq"),
+        F.when(~failed, F.concat(F.lit("export_"), F.col("event_id").cast("string"), F.lit(".parquet")))
+         .alias("file"),
+        F.when(failed, F.concat(F.lit("target "), F.col("event_type"), F.lit(" failed"))).alias("error"))
+
+
+@R.query("s13_run_rollup", """
+WITH r AS (
+  SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, event_id AS seq,
+         CASE WHEN event_type != 'error' THEN 'export_' || CAST(event_id AS VARCHAR) || '.parquet' END AS file,
+         CASE WHEN event_type = 'error' THEN 'target ' || event_type || ' failed' END AS error
+  FROM events)
+SELECT run_id, COUNT(*) AS n_targets, COUNT(file) AS n_files, COUNT(error) AS n_errors,
+       COUNT(file) > 0 AS success, arg_max(file, CASE WHEN file IS NOT NULL THEN seq END) AS latest_file
+FROM r GROUP BY run_id""", ("S-13",))
+def _s13(ws):
+    return runlog.run_rollup(_results(ws))
+
+
+def _job_log(ws):
+    e = ws.raw.events
+    return e.select(F.col("event_id").alias("job_id"), F.col("ts").alias("timestamp"),
+                    (F.col("event_type") != "error").alias("success"))
+
+
+@R.query("s15_recent_runs", """
+SELECT event_id AS job_id, ts AS "timestamp", event_type != 'error' AS success
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 20""", ("S-15", "F-11"))
+def _s15(ws):
+    return runlog.recent_runs(_job_log(ws))
+
+
+@R.query("s15_scheduler_status", """
+WITH last AS (SELECT event_id, event_type != 'error' AS success FROM events ORDER BY ts DESC, event_id DESC LIMIT 1)
+SELECT (SELECT COUNT(*) FROM events) AS total_syncs, (SELECT MAX(ts) FROM events) AS last_sync_at,
+       last.event_id AS last_job_id, last.success AS last_success FROM last""", ("S-15",))
+def _s15b(ws):
+    return runlog.scheduler_status(_job_log(ws))
