@@ -90,3 +90,24 @@ SELECT (SELECT COUNT(*) FROM events) AS total_syncs, (SELECT MAX(ts) FROM events
        last.event_id AS last_job_id, last.success AS last_success FROM last""", ("S-15",))
 def _s15b(ws):
     return runlog.scheduler_status(_job_log(ws))
+
+
+@R.query("st01_02_stream_refresh", None, ("ST-01", "ST-02", "S-03", "S-05", "S-09"), headline=True)
+def _st(ws):
+    """Land the derived sheets as export files, run one availableNow tick, serve gold."""
+    import os
+
+    from fieldpulse.operators.clean import STUDY_MAIN_SPEC, SURVEY_MAIN_SPEC
+    from fieldpulse.session import shared_dir
+    from fieldpulse.sources.landing import landed_study_main, landed_survey_main
+    from fieldpulse.streaming.refresh import run_refresh_once
+
+    base = shared_dir(ws.spark, "stream-refresh")
+    landing = {t: os.path.join(base, "landing", t) for t in ("survey_main", "study_main")}
+    landed_survey_main(ws.activity).write.parquet(os.path.join(landing["survey_main"], "KegiatanSurvey_0001"))
+    landed_study_main(ws.study).write.parquet(os.path.join(landing["study_main"], "KegiatanStudy_0001"))
+    run_refresh_once(ws.spark, {"survey_main": (landing["survey_main"], SURVEY_MAIN_SPEC),
+                                "study_main": (landing["study_main"], STUDY_MAIN_SPEC)},
+                     os.path.join(base, "silver"), os.path.join(base, "gold"), ws.as_of,
+                     os.path.join(base, "checkpoints"))
+    return ws.spark.read.parquet(os.path.join(base, "gold", "brief"))
