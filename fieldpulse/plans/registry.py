@@ -44,7 +44,7 @@ class Registry:
 
     def callables(self) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         def bind(q: NamedQuery):
-            return lambda spark, sf_dir: q.build(Workspace(spark, sf_dir))
+            return lambda spark, sf_dir: q.build(Workspace.shared(spark, sf_dir))
         return {name: bind(q) for name, q in self.items().items()}
 
     def oracle(self) -> dict[str, str]:

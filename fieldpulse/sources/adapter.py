@@ -146,7 +146,16 @@ def build_recording(lineitem: DataFrame) -> DataFrame:
 
 
 class Workspace:
-    """The five relations of the reference, derived lazily from a test-data folder."""
+    """The five relations of the reference, derived lazily from a test-data folder.
+
+    ``Workspace.shared(spark, dir)`` returns one instance per session, folder
+    and clock: the relations are lazy plans, so every query of a session can
+    start from the same plan objects instead of re-resolving the sources and
+    rebuilding the adapter's expressions (a constant cost per query that is
+    larger than running a small query).
+    """
+
+    _shared: dict[tuple, "Workspace"] = {}
 
     def __init__(self, spark: SparkSession, base_dir: str, as_of: str = DEFAULT_AS_OF):
         self.spark = spark
@@ -154,6 +163,14 @@ class Workspace:
         self.as_of = as_of
         self.raw = RawTables(spark, base_dir)
 
+    @classmethod
+    def shared(cls, spark: SparkSession, base_dir: str, as_of: str = DEFAULT_AS_OF) -> "Workspace":
+        key = (id(spark), spark.sparkContext.applicationId, base_dir, as_of)
+        ws = cls._shared.get(key)
+        if ws is None:
+            ws = cls._shared[key] = cls(spark, base_dir, as_of)
+        return ws
+
     @cached_property
     def activity(self) -> DataFrame:
         r = self.raw

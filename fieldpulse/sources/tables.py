@@ -27,15 +27,18 @@ def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
 
 
 class RawTables:
-    """Lazy accessor: ``RawTables(spark, dir).orders`` is a DataFrame."""
+    """Lazy accessor: ``RawTables(spark, dir).orders`` is a DataFrame (resolved once)."""
 
     def __init__(self, spark: SparkSession, base_dir: str):
         self.spark = spark
         self.base_dir = base_dir
+        self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in RAW_TABLES:
-            return read_table(self.spark, self.base_dir, name)
+            if name not in self._frames:
+                self._frames[name] = read_table(self.spark, self.base_dir, name)
+            return self._frames[name]
         raise AttributeError(name)
 
     def register_views(self, names: tuple[str, ...] = RAW_TABLES) -> None:
