@@ -63,7 +63,9 @@ def format_cell(c: Column, dtype) -> Column:
         return (F.when(x.isNull(), F.lit("None"))
                 .when(F.abs(x) > 1_000_000, F.concat(F.lit("$"), F.format_number(x, 0)))
                 .when(F.abs(x) > 100, F.format_number(x, 1))
-                .otherwise(F.concat(F.format_string("%.1f", x), F.lit("%"))))
+                # |x| <= 100 here, so format_number adds no separator; it rounds
+                # half-even like Python's format (Java's %.1f would round up).
+                .otherwise(F.concat(F.format_number(x, 1), F.lit("%"))))
     if isinstance(dtype, (IntegralType, BooleanType)):
         v = c.cast("long")
         return F.when(v.isNull(), F.lit("None")).otherwise(F.format_number(v, 0))
