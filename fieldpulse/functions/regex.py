@@ -16,9 +16,10 @@ from __future__ import annotations
 
 # Characters for which Python's str.isalnum() holds, plus "_": \w in Python.
 WORD = r"\p{L}\p{N}_"
-# Characters for which Python's str.isspace() holds: \s in Python.
-SPACE = (r"\t\n\x0B\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-         r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+# Characters for which Python's str.isspace() holds (\s in Python), derived
+# from Python itself; as a string (for trim) and as class members (for regex).
+SPACE_CHARS = "".join(ch for ch in map(chr, range(0x10000)) if ch.isspace())
+SPACE = "".join(f"\\x{{{ord(ch):x}}}" for ch in SPACE_CHARS)
 
 
 def _classes(p: str) -> str:
@@ -67,3 +68,74 @@ def portable(pattern: str) -> str:
 def portable_strip_pattern() -> str:
     """Leading or trailing whitespace as Python's ``str.strip()`` sees it."""
     return rf"^[{SPACE}]+|[{SPACE}]+$"
+
+
+def _top_level_alternatives(p: str) -> list[str]:
+    out, depth, cur, i = [], 0, [], 0
+    while i < len(p):
+        ch = p[i]
+        if ch == "\\":
+            cur.append(p[i:i + 2])
+            i += 2
+            continue
+        if ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        if ch == "|" and depth == 0:
+            out.append("".join(cur))
+            cur = []
+        else:
+            cur.append(ch)
+        i += 1
+    out.append("".join(cur))
+    return out
+
+
+def required_literals(pattern: str) -> list[str]:
+    """Literal strings one of which must occur wherever ``pattern`` matches.
+
+    Used as a cheap ``contains`` prefilter in front of regex chains. Handles
+    the shapes of the fixed patterns: an optional ``\\b`` and one capturing
+    group around a top-level alternation, each alternative starting with a
+    literal run. Returns ``[]`` (no prefilter possible) otherwise.
+    """
+    core = pattern
+    if core.startswith(r"\b"):
+        core = core[2:]
+    if core.endswith(r"\b"):
+        core = core[:-2]
+    if core.startswith("(") and core.endswith(")") and not core.startswith("(?"):
+        core = core[1:-1]
+    lits = []
+    for alt in _top_level_alternatives(core):
+        run = []
+        for ch in alt:
+            if ch.isalnum() or ch in "-;_& ":
+                run.append(ch)
+            else:
+                break
+        if not run:
+            return []
+        lits.append("".join(run))
+    return lits
+
+
+def contains_any(text, literals: list[str]):
+    """Column: ``text`` contains at least one of ``literals`` (fast byte search, no regex)."""
+    cond = None
+    for lit in dict.fromkeys(literals):
+        c = text.contains(lit)
+        cond = c if cond is None else (cond | c)
+    return cond
+
+
+def prefilter(text, patterns) -> "object | None":
+    """A ``contains`` gate that every match of any of ``patterns`` passes, or None."""
+    lits = []
+    for p in patterns:
+        req = required_literals(p)
+        if not req:
+            return None
+        lits += req
+    return contains_any(text, lits)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType, IntegralType, BooleanType
 
 from fieldpulse.functions.columns import has_text
+from fieldpulse.functions.parallel import spread
 
 # Report texts (English renderings of the reference's texts)
 # and caps that are part of the report format.
@@ -173,7 +174,7 @@ def merge_page_text(pages: DataFrame, group_col: Column, order_col: str, title_c
     k = total_chars // header_min + 1
     piece = F.concat(F.lit("\n\n--- "), title_col, F.lit(" ---\n"), F.substring(text_col, 1, piece_chars))
     w = Window.partitionBy("g").orderBy(order_col)
-    ranked = (pages.select(group_col.alias("g"), F.col(order_col), piece.alias("piece"))
+    ranked = (spread(pages).select(group_col.alias("g"), F.col(order_col), piece.alias("piece"))
               .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k))
     merged = ranked.groupBy("g").agg(
         F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("rn", "piece"))),

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.regex import portable
+from fieldpulse.functions.parallel import spread
+from fieldpulse.functions.regex import portable, prefilter
 
 # ---------------------------------------------------------------------------
 # The reference's keyword rules, in rule order and pattern order
@@ -75,8 +76,17 @@ def infer_tables(question: Column) -> Column:
             .when(survey, F.lit(SURVEY_TABLE)).otherwise(F.lit(BOTH)))
 
 
+ANY_RULE = "|".join(f"(?:{portable(p)})" for _, patterns, _ in KEYWORD_RULES for p in patterns)
+
+
 def keyword_match(question: Column) -> Column:
-    """T-01: struct(route, pattern, fixed_tables) of the first matching rule, or NULL."""
+    """T-01: struct(route, pattern, fixed_tables) of the first matching rule, or NULL.
+
+    Every alternative of every rule starts with a literal word, so a question
+    that contains none of those words cannot match: that cheap ``contains``
+    gate skips the regex chain for most text; the ordered chain then names
+    the first matching rule.
+    """
     q = F.lower(question)
     out = None
     for route, patterns, tables in KEYWORD_RULES:
@@ -85,7 +95,8 @@ def keyword_match(question: Column) -> Column:
                            F.lit(tables).cast("string").alias("fixed_tables"))
             cond = q.rlike(portable(p))
             out = F.when(cond, hit) if out is None else out.when(cond, hit)
-    return out
+    gate = prefilter(q, [p for _, ps, _ in KEYWORD_RULES for p in ps])
+    return F.when(q.rlike(ANY_RULE) if gate is None else gate, out)
 
 
 def route_questions(df: DataFrame, question_col: str = "question",
@@ -98,8 +109,8 @@ def route_questions(df: DataFrame, question_col: str = "question",
     """
     q = F.col(question_col)
     m = keyword_match(q)
-    matched = m.isNotNull()
-    return (df.withColumn("_m", m)
+    matched = F.col("_m").isNotNull()
+    return (spread(df).withColumn("_m", m)
             .withColumn("route", F.coalesce(F.col("_m.route"), F.lit(default_route)))
             .withColumn("tables", F.coalesce(F.col("_m.fixed_tables"), infer_tables(q)))
             .withColumn("matched_pattern", F.col("_m.pattern"))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.regex import SPACE, WORD, portable
+from fieldpulse.functions.parallel import spread
+from fieldpulse.functions.regex import SPACE, SPACE_CHARS, WORD, portable, prefilter
 
 # ---------------------------------------------------------------------------
 # The reference's statement audit.
@@ -34,16 +35,19 @@ FENCE_PATTERN = r"```(?:sql)?\s*(.*?)\s*```"
 START_PATTERN = r"(SELECT|WITH)\b(.*)"
 
 _STRIP = rf"^[{SPACE}]+|[{SPACE}]+$"
-# Portable spellings of the two extraction patterns (case-insensitive, DOTALL).
-_FENCE = rf"(?is)```(?:sql)?[{SPACE}]*(.*?)[{SPACE}]*```"
-_START = rf"(?is)(SELECT|WITH)((?:[^{WORD}].*)?)$"
-_FROM = rf"(?i)(?:^|[^{WORD}])FROM[{SPACE}]+([{WORD}]+)"
-_JOIN = rf"(?i)(?:^|[^{WORD}])JOIN[{SPACE}]+([{WORD}]+)"
+# Portable spellings of the extraction patterns. (?u) makes Java's (?i) fold
+# Unicode case as Python's re.IGNORECASE on str does.
+_FENCE = rf"(?isu)```(?:sql)?[{SPACE}]*(.*?)[{SPACE}]*```"
+_START = rf"(?is)(SELECT|WITH)((?:[^{WORD}].*)?)$"   # both groups (used by the DuckDB oracle)
+_START_AT = rf"(?iu)(?:SELECT|WITH)(?:[^{WORD}]|$)"   # first keyword only (stops at the first hit)
+_FROM = rf"(?iu)(?:^|[^{WORD}])FROM[{SPACE}]+([{WORD}]+)"
+_JOIN = rf"(?iu)(?:^|[^{WORD}])JOIN[{SPACE}]+([{WORD}]+)"
+_ANY_FORBIDDEN = "|".join(f"(?:{portable(p)})" for p in FORBIDDEN_PATTERNS)
 
 
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(c, _STRIP, "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace (ends only, no regex)."""
+    return F.trim(c, F.lit(SPACE_CHARS))
 
 
 def extract_sql(raw: Column) -> Column:
@@ -51,13 +55,16 @@ def extract_sql(raw: Column) -> Column:
 
     Fenced block if any (else the whole text); from the first SELECT/WITH
     keyword on, keyword upper-cased; stripped; cut at the first ``;``.
-    NULL or empty input gives ``''``.
+    NULL or empty input gives ``''``. The keyword is located with one
+    ``regexp_instr`` (which stops at the first hit) rather than a pattern that
+    captures the rest of the text.
     """
     raw = F.coalesce(raw, F.lit(""))
-    cand = F.when(raw.rlike(_FENCE), F.regexp_extract(raw, _FENCE, 1)).otherwise(raw)
-    kw = F.regexp_extract(cand, _START, 1)
-    cleaned = F.when(kw != "", F.concat(F.upper(kw), F.regexp_extract(cand, _START, 2))).otherwise(cand)
-    cleaned = py_strip(cleaned)
+    cand = F.when(raw.contains("```") & raw.rlike(_FENCE), F.regexp_extract(raw, _FENCE, 1)).otherwise(raw)
+    pos = F.regexp_instr(cand, F.lit(_START_AT))
+    kw_len = F.when(F.upper(F.substr(cand, pos, F.lit(6))) == "SELECT", F.lit(6)).otherwise(F.lit(4))
+    body = F.concat(F.upper(F.substr(cand, pos, kw_len)), F.substr(cand, pos + kw_len))
+    cleaned = py_strip(F.when(pos > 0, body).otherwise(cand))
     return F.when(cleaned.contains(";"), py_strip(F.substring_index(cleaned, ";", 1))).otherwise(cleaned)
 
 
@@ -85,9 +92,19 @@ def audit_sql(sql: Column, allowed: tuple[str, ...] = DOMAIN_TABLES) -> Column:
     tables = referenced_tables(sql)
     allowed_arr = F.array(*[F.lit(t) for t in allowed])
     invalid = F.array_sort(F.array_except(tables, F.array_union(allowed_arr, F.array(F.lit(LOG_TABLE)))))
-    reason = F.when(~(up.startswith("SELECT") | up.startswith("WITH")), F.lit(MSG_START))
+    # A forbidden pattern can only occur where its literal core does (DROP,
+    # --, ;): that ``contains`` gate is a fast byte search. Only rows passing
+    # it run the combined regex (``And`` short-circuits), and only rows that
+    # really match run the ordered chain naming the first pattern; rows that
+    # pass the gate without a real match fall through to the table check.
+    first_forbidden = None
     for p in FORBIDDEN_PATTERNS:
-        reason = reason.when(up.rlike(portable(p)), F.lit(MSG_FORBIDDEN + p))
+        hit, msg = up.rlike(portable(p)), F.lit(MSG_FORBIDDEN + p)
+        first_forbidden = F.when(hit, msg) if first_forbidden is None else first_forbidden.when(hit, msg)
+    reason = F.when(~(up.startswith("SELECT") | up.startswith("WITH")), F.lit(MSG_START))
+    gate = prefilter(up, FORBIDDEN_PATTERNS)
+    any_hit = up.rlike(_ANY_FORBIDDEN) if gate is None else (gate & up.rlike(_ANY_FORBIDDEN))
+    reason = reason.when(any_hit, first_forbidden)
     reason = reason.when(F.size(invalid) > 0, F.concat(
         F.lit(MSG_INVALID), _set_repr(invalid), F.lit(MSG_VALID), _set_repr(allowed_arr)))
     reason = reason.otherwise(F.lit(""))
@@ -96,8 +113,8 @@ def audit_sql(sql: Column, allowed: tuple[str, ...] = DOMAIN_TABLES) -> Column:
 
 
 def audit_statements(df: DataFrame, text_col: str, allowed: tuple[str, ...] = DOMAIN_TABLES) -> DataFrame:
-    """T-04 + T-05 over a table of free-text answers."""
-    return (df.withColumn("sql", extract_sql(F.col(text_col)))
+    """T-04 + T-05 over a table of free-text answers (rows spread over all task slots)."""
+    return (spread(df).withColumn("sql", extract_sql(F.col(text_col)))
             .withColumn("_a", audit_sql(F.col("sql"), allowed))
             .select("*", F.col("_a.is_valid").alias("is_valid"), F.col("_a.reason").alias("reason"),
                     F.col("_a.tables").alias("tables"), F.col("_a.invalid_tables").alias("invalid_tables"))

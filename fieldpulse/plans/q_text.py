@@ -50,9 +50,14 @@ def _infer_tables_sql(text: str) -> str:
 _STRIP = sql_str(sqlguard._STRIP)
 
 
+def _re2(pattern: str) -> str:
+    """RE2 spelling of a Spark pattern: RE2's (?i) already folds Unicode case, and has no (?u)."""
+    return sql_str(pattern.replace("(?isu)", "(?is)").replace("(?iu)", "(?i)"))
+
+
 def _extract_sql_ctes(src: str, text: str, out: str) -> str:
     """CTE chain computing T-04 over ``src.text`` into ``out`` (keeps all src columns)."""
-    fence, start = sql_str(sqlguard._FENCE), sql_str(sqlguard._START)
+    fence, start = _re2(sqlguard._FENCE), _re2(sqlguard._START)
     return f"""{out}_a AS (
   SELECT *, COALESCE({text}, '') AS _raw FROM {src}),
 {out}_b AS (
@@ -77,7 +82,7 @@ def _set_repr_sql(lst: str) -> str:
 def _audit_ctes(src: str, out: str, allowed: tuple[str, ...]) -> str:
     allowed_sql = "[" + ", ".join(sql_str(t) for t in allowed) + "]"
     allowed_log = "[" + ", ".join(sql_str(t) for t in allowed + (sqlguard.LOG_TABLE,)) + "]"
-    frm, join = sql_str(sqlguard._FROM), sql_str(sqlguard._JOIN)
+    frm, join = _re2(sqlguard._FROM), _re2(sqlguard._JOIN)
     whens = " ".join(
         f"WHEN regexp_matches(_up, {sql_str(portable(p))}) THEN {sql_str(sqlguard.MSG_FORBIDDEN + p)}"
         for p in sqlguard.FORBIDDEN_PATTERNS)
@@ -124,7 +129,9 @@ def _t01(ws):
 @R.query("t02_infer_tables_documents", f"SELECT doc_id, {_infer_tables_sql('text')} AS tables FROM documents",
          ("T-02",))
 def _t02(ws):
-    d = ws.raw.documents
+    from fieldpulse.functions.parallel import spread
+
+    d = spread(ws.raw.documents.select("doc_id", "text"))
     return d.select("doc_id", router.infer_tables(F.col("text")).alias("tables"))
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldpulse.functions.columns import elapsed_days, is_before
+from fieldpulse.functions.parallel import spread
 from fieldpulse.model import ADAPTER_ACTIVITY as A
 from fieldpulse.sources.tables import RawTables
 
@@ -49,10 +50,18 @@ def line_rollup(lineitem: DataFrame) -> DataFrame:
 
 def build_activity(orders: DataFrame, customer: DataFrame, nation: DataFrame,
                    region: DataFrame, lineitem: DataFrame,
-                   as_of: str = DEFAULT_AS_OF) -> DataFrame:
+                   as_of: str = DEFAULT_AS_OF, spread_orders: bool = True) -> DataFrame:
+    """orders ⋈ customer ⋈ nation ⋈ region ⟕ line roll-up, projected to the activity roles.
+
+    ``spread_orders``: orders drives the wide projection and everything fused
+    after it; when its scan has fewer splits than task slots it is spread
+    round-robin first (a no-op on cluster-sized input). lineitem is not: its
+    map-side partial aggregate is cheap and already shrinks it before the
+    shuffle.
+    """
     k = F.col("o_orderkey")
     lr = line_rollup(lineitem)
-    base = (orders
+    base = ((spread(orders) if spread_orders else orders)
             .join(customer, orders.o_custkey == customer.c_custkey, "inner")
             .join(nation, F.col("c_nationkey") == nation.n_nationkey, "inner")
             .join(region, F.col("n_regionkey") == region.r_regionkey, "inner")
