@@ -95,7 +95,7 @@ def _b06(ws):
     return brief.brief_long(ws.activity, ws.study)
 
 
-@R.query("b07_brief_text", None, ("B-07", "S-07"))
+@R.query("b07_brief_text", None, ("B-07", "S-07", "A-12"))
 def _b07(ws):
     a, s = ws.activity, ws.study
     return brief.brief_text(brief.survey_kpis(a), brief.study_kpis(s), brief.studies_by_type(s),
@@ -107,7 +107,7 @@ _DELAYED = "FROM activity WHERE is_delayed AND resource_p50 > 0"
 
 
 @R.query("r01_delayed_summary", with_adapter(
-    f"SELECT COUNT(*) AS n_delayed, SUM(resource_p50) AS total_resource {_DELAYED}"), ("R-01",))
+    f"SELECT COUNT(*) AS n_delayed, SUM(resource_p50) AS total_resource {_DELAYED}"), ("R-01", "A-07"))
 def _r01(ws):
     return risks.delayed_summary(ws.activity)
 

@@ -137,3 +137,51 @@ def export_snapshot_json(brief_long: DataFrame, risks: DataFrame, brief_text: Da
         .select(F.to_json(F.struct("brief", "risks", "formatted_brief",
                                    F.lit(updated_at).alias("updated_at"))).alias("value"))
     doc.coalesce(1).write.mode("overwrite").text(path)
+
+
+def ingest_all(spark: SparkSession, survey_sheets: dict[str, str], study_path: str, out_base: str,
+               log_path: str, as_of: str, fmt: str = "csv") -> DataFrame:
+    """S-03: load the survey workbook (sheet errors isolated) and the study workbook
+    (errors propagate), log both loads, and return the row counts of the loaded
+    non-internal tables (S-11/S-12, intended form).
+
+    ``survey_sheets`` maps the survey table names (``survey_main``,
+    ``survey_receiver``, ...) to landed paths; only ``survey_main`` is cleaned,
+    as in the reference.
+    """
+    from fieldpulse.operators.clean import STUDY_MAIN_SPEC, SURVEY_MAIN_SPEC
+    from fieldpulse.sources.catalog import ingest_summary, table_row_counts
+
+    sheets = {t: (p, SURVEY_MAIN_SPEC if t == "survey_main" else None) for t, p in survey_sheets.items()}
+    results = ingest_sheets(spark, sheets, out_base, log_path, "survey", as_of, fmt,
+                            isolate_errors=True, log_table="survey_main")
+    results += ingest_sheets(spark, {"study_main": (study_path, STUDY_MAIN_SPEC)}, out_base, log_path,
+                             "study", as_of, fmt, isolate_errors=False)
+    loaded = {r["table"]: spark.read.parquet(os.path.join(out_base, r["table"]))
+              for r in results if r["error"] is None}
+    return ingest_summary(table_row_counts(spark, loaded))
+
+
+def refresh_snapshot(activity: DataFrame, study: DataFrame, gold_dir: str, updated_at: str,
+                     m=None, s=None) -> dict[str, str]:
+    """S-07 / S-08 producer: brief, risks and brief text as gold tables plus one JSON document.
+
+    Each gold table is written once and the later steps read the written copy
+    (lineage cut: the text and the JSON never recompute the analytics).
+    """
+    from fieldpulse.model import ADAPTER_ACTIVITY, ADAPTER_STUDY
+    from fieldpulse.operators import brief, risks
+
+    m, s = m or ADAPTER_ACTIVITY, s or ADAPTER_STUDY
+    spark = activity.sparkSession
+    paths = {k: os.path.join(gold_dir, k) for k in ("brief", "risks", "brief_text", "snapshot_json")}
+    write_table(brief.brief_long(activity, study, m, s), paths["brief"])
+    write_table(risks.risk_table(activity, study, m, s).select("rule", "severity", "category", "message",
+                                                               "action"), paths["risks"])
+    b, r = spark.read.parquet(paths["brief"]), spark.read.parquet(paths["risks"])
+    text = brief.brief_text(brief.survey_kpis(activity, m), brief.study_kpis(study, s),
+                            brief.studies_by_type(study, s), brief.by_region(activity, m), r,
+                            as_of_label=updated_at)
+    write_table(text, paths["brief_text"])
+    export_snapshot_json(b, r, spark.read.parquet(paths["brief_text"]), paths["snapshot_json"], updated_at)
+    return paths

@@ -125,3 +125,34 @@ def test_stream_refresh_incremental_and_idempotent(spark, ws, scratch):
     versions = spark.read.parquet(os.path.join(silver, "survey_main")).select("batch_id").distinct().count()
     run_refresh_once(spark, sheets, silver, gold, ws.as_of, ck)
     assert spark.read.parquet(os.path.join(silver, "survey_main")).select("batch_id").distinct().count() == versions
+
+
+def test_refresh_snapshot_and_json(spark, ws, scratch):
+    import json
+
+    paths = store.refresh_snapshot(ws.activity, ws.study, scratch, "1999-06-30T12:00:00")
+    doc = json.loads(spark.read.text(paths["snapshot_json"]).first().value)
+    assert set(doc) == {"brief", "risks", "formatted_brief", "updated_at"}
+    assert doc["updated_at"] == "1999-06-30T12:00:00"
+    assert any(x["section"] == "survey" and x["measure"] == "total" for x in doc["brief"])
+    assert doc["formatted_brief"].startswith("=== EXECUTIVE BRIEF ===")
+    assert len(doc["risks"]) == spark.read.parquet(paths["risks"]).count()
+    # S-08: a second caller is served from the written gold table
+    served = store.read_or_compute(spark, paths["brief"], lambda: 1 / 0)
+    assert served.count() == spark.read.parquet(paths["brief"]).count()
+
+
+def test_ingest_all(spark, ws, scratch):
+    landing = os.path.join(scratch, "landing")
+    landed_survey_main(ws.activity).limit(40).write.option("header", True).csv(os.path.join(landing, "main"))
+    ws.receiver.limit(30).write.option("header", True).csv(os.path.join(landing, "receiver"))
+    landed_study_main(ws.study).limit(20).write.option("header", True).csv(os.path.join(landing, "study"))
+    summary = store.ingest_all(
+        spark, {"survey_main": os.path.join(landing, "main"),
+                "survey_receiver": os.path.join(landing, "receiver"),
+                "survey_shotpoint": os.path.join(landing, "not_there")},
+        os.path.join(landing, "study"), os.path.join(scratch, "silver"), os.path.join(scratch, "log"), ws.as_of)
+    got = {r.table: r.rows for r in summary.collect()}
+    assert got == {"survey_main": 40, "survey_receiver": 30, "study_main": 20}
+    log = {r.source: r.rows_total for r in spark.read.parquet(os.path.join(scratch, "log")).collect()}
+    assert log == {"survey": 40, "study": 20}
