@@ -53,3 +53,20 @@ def test_brief_reads_each_source_once(spark):
 def test_lineitem_aggregated_before_shuffle(spark):
     plan = plan_text(REGISTRY.callables()["b04_by_region"](spark, SF_SMALL))
     assert "partial_sum" in plan and "partial_count" in plan
+
+
+def test_silver_layer_joins_without_shuffle(spark, ws, scratch):
+    from fieldpulse.operators import catalogue
+
+    silver = ws.materialize(scratch, buckets=4, prefix="fp_test")
+    d = catalogue.detail_rollup(silver.activity, silver.receiver, silver.shotpoint, silver.recording)
+    # at this size Spark would broadcast the small side; at scale it cannot,
+    # and the bucketed layout must then need no shuffle at all
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(d)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and plan.count("Bucketed: true") == 4
+    raw = catalogue.detail_rollup(ws.activity, ws.receiver, ws.shotpoint, ws.recording)
+    assert d.exceptAll(raw).count() == 0 and raw.exceptAll(d).count() == 0
