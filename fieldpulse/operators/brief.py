@@ -182,74 +182,68 @@ def _fmt0(c) -> F.Column:
     return F.format_number(F.coalesce(c, F.lit(0.0)), 0)
 
 
-def _piece(df: DataFrame, order: int, text) -> DataFrame:
-    return df.select(F.lit(order).alias("o"), text.alias("t"))
-
-
-def _ordered_concat(df: DataFrame, sort_cols: list, render) -> F.Column:
-    """Aggregate expression: render each row, concatenate in ``sort_cols`` order."""
-    arr = F.sort_array(F.collect_list(F.struct(*sort_cols)))
-    return F.concat_ws("", F.transform(arr, render))
-
-
-def brief_text(survey: DataFrame, study: DataFrame, types: DataFrame, regions: DataFrame,
-               risks: DataFrame | None = None, as_of_label: str = "") -> DataFrame:
-    """One row, one column ``brief``: the formatted executive brief.
-
-    ``survey``/``study`` are the KPI rows (B-01, B-02), ``types`` is B-03,
-    ``regions`` is B-04, ``risks`` is the R-05 table. Each input renders its
-    own piece of text; the pieces are unioned and concatenated in order by one
-    aggregate (no joins). Percentages are rounded explicitly before formatting
-    (Spark formats halves up, Python half-even on the binary value; README).
+def brief_text(long: DataFrame, risks: DataFrame | None = None, as_of_label: str = "") -> DataFrame:
+    """B-07: one row, one column ``brief``: the formatted executive brief.
+
+    ``long`` is the long-form brief (B-06), ``risks`` the risk table (R-05).
+    The brief's rows (bounded: KPIs, one row per region, top-k holdings, one
+    per study type) are gathered into one array by a single aggregate and
+    the text is rendered with array functions, so the brief's source plan
+    runs once. Percentages are rounded explicitly before formatting.
     """
-    total_planned = F.col("total_planned")
-    pct = F.when(F.coalesce(total_planned, F.lit(0.0)) > 0,
-                 F.round(F.col("total_realised") / total_planned * 100, 1)).otherwise(F.lit(0.0))
-    s_txt = F.concat(
-        F.lit("=== EXECUTIVE BRIEF ===\nAs of: " + as_of_label + "\n\nACTIVITIES ("),
-        F.col("total").cast("string"), F.lit("):\n- Running: "), F.col("running").cast("string"),
-        F.lit(" | Done: "), F.col("done").cast("string"),
-        F.lit(" | Not started: "), F.col("not_started").cast("string"),
-        F.lit("\n- Kinds: 3D ("), F.col("kind_3d").cast("string"), F.lit("), 2D ("),
-        F.col("kind_2d").cast("string"), F.lit("), Other ("), F.col("kind_other").cast("string"),
-        F.lit(")\n- Area: Onshore ("), F.col("onshore").cast("string"), F.lit("), Offshore ("),
-        F.col("offshore").cast("string"),
-        F.lit(")\n- Planned: $"), _fmt0(total_planned), F.lit(" | Realised: $"),
-        _fmt0(F.col("total_realised")), F.lit(" ("), F.format_number(pct, 1), F.lit("%)"),
+    rows = long.agg(F.collect_list(F.struct("section", "key", "measure", "value")).alias("r"))
+    r = F.col("r")
+
+    def val(section: str, measure: str, key=None) -> F.Column:
+        def pick(x):
+            c = (x["section"] == section) & (x["measure"] == measure)
+            return c if key is None else c & (x["key"] == key)
+        return F.element_at(F.filter(r, pick), 1)["value"]
+
+    def n(section: str, measure: str) -> F.Column:
+        return F.coalesce(val(section, measure).cast("bigint"), F.lit(0)).cast("string")
+
+    planned, realised = val("survey", "total_planned"), val("survey", "total_realised")
+    pct = F.when(F.coalesce(planned, F.lit(0.0)) > 0, F.round(realised / planned * 100, 1)).otherwise(F.lit(0.0))
+    types = F.sort_array(F.transform(
+        F.filter(r, lambda x: x["section"] == "study_type"),
+        lambda x: F.struct((-x["value"]).alias("o"), F.coalesce(x["key"], F.lit("nan")).alias("k"),
+                           x["value"].cast("bigint").alias("n"))))
+    regions = F.sort_array(F.transform(
+        F.filter(r, lambda x: (x["section"] == "region") & (x["measure"] == "total_resource")),
+        lambda x: F.struct((-F.coalesce(x["value"], F.lit(0.0))).alias("o"), x["key"].alias("k"))))
+    region_lines = F.concat_ws("", F.transform(regions, lambda g: F.concat(
+        F.lit("\n- "), F.coalesce(g["k"], F.lit("nan")), F.lit(": "),
+        val("region", "n_activities", g["k"]).cast("bigint").cast("string"), F.lit(" activities, "),
+        val("region", "total_resource", g["k"]).cast("string"), F.lit(" resource, avg progress "),
+        val("region", "avg_progress", g["k"]).cast("string"), F.lit("%"))))
+    text = F.concat(
+        F.lit("=== EXECUTIVE BRIEF ===\nAs of: " + as_of_label + "\n\nACTIVITIES ("), n("survey", "total"),
+        F.lit("):\n- Running: "), n("survey", "running"), F.lit(" | Done: "), n("survey", "done"),
+        F.lit(" | Not started: "), n("survey", "not_started"),
+        F.lit("\n- Kinds: 3D ("), n("survey", "kind_3d"), F.lit("), 2D ("), n("survey", "kind_2d"),
+        F.lit("), Other ("), n("survey", "kind_other"),
+        F.lit(")\n- Area: Onshore ("), n("survey", "onshore"), F.lit("), Offshore ("), n("survey", "offshore"),
+        F.lit(")\n- Planned: $"), _fmt0(planned), F.lit(" | Realised: $"), _fmt0(realised),
+        F.lit(" ("), F.format_number(pct, 1), F.lit("%)"),
         F.lit("\n- Resource: "),
-        F.format_number(F.round(F.coalesce(F.col("total_resource"), F.lit(0.0)), 1), 1),
+        F.format_number(F.round(F.coalesce(val("survey", "total_resource"), F.lit(0.0)), 1), 1),
         F.lit(" (P50)\n- Avg progress: "),
-        F.coalesce(F.col("avg_progress").cast("string"), F.lit("None")), F.lit("%"))
-    st_txt = F.concat(
-        F.lit("\n\nSTUDIES ("), F.col("total").cast("string"),
-        F.lit("):\n- Not started: "), F.col("not_started").cast("string"),
-        F.lit(" | Done: "), F.col("done").cast("string"),
-        F.lit("\n- Budget: $"), _fmt0(F.col("total_budget")))
-    ty_txt = F.concat(F.lit("\n- Types: "), _ordered_concat(
-        types, [(-F.col("n_studies")).alias("o"),
-                F.coalesce(F.col("study_type"), F.lit("nan")).alias("t"),
-                F.col("n_studies").alias("n")],
-        lambda x: F.concat(x["t"], F.lit(" ("), x["n"].cast("string"), F.lit("), "))))
-    rg_txt = F.concat(F.lit("\n\nBY REGION:"), _ordered_concat(
-        regions, [(-F.coalesce(F.col("total_resource"), F.lit(0.0))).alias("o"),
-                  F.coalesce(F.col("region"), F.lit("nan")).alias("r"),
-                  F.col("n_activities").alias("n"), F.col("total_resource").alias("res"),
-                  F.col("avg_progress").alias("p")],
-        lambda x: F.concat(F.lit("\n- "), x["r"], F.lit(": "), x["n"].cast("string"),
-                           F.lit(" activities, "), x["res"].cast("string"),
-                           F.lit(" resource, avg progress "), x["p"].cast("string"), F.lit("%"))))
-    pieces = (_piece(survey, 0, s_txt)
-              .unionByName(_piece(study, 1, st_txt))
-              .unionByName(_piece(types.agg(ty_txt.alias("x")), 2,
-                                  F.regexp_replace(F.col("x"), ", $", "")))
-              .unionByName(_piece(regions.agg(rg_txt.alias("x")), 3, F.col("x"))))
+        F.coalesce(val("survey", "avg_progress").cast("string"), F.lit("None")), F.lit("%"),
+        F.lit("\n\nSTUDIES ("), n("study", "total"), F.lit("):\n- Not started: "), n("study", "not_started"),
+        F.lit(" | Done: "), n("study", "done"), F.lit("\n- Budget: $"), _fmt0(val("study", "total_budget")),
+        F.lit("\n- Types: "), F.concat_ws(", ", F.transform(
+            types, lambda x: F.concat(x["k"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))),
+        F.lit("\n\nBY REGION:"), region_lines)
+    pieces = rows.select(F.lit(0).alias("o"), text.alias("t"))
     if risks is not None:
-        rk_txt = _ordered_concat(
-            risks, [F.col("rule"), F.col("severity"), F.col("message"), F.col("action")],
+        rk = F.concat_ws("", F.transform(
+            F.sort_array(F.collect_list(F.struct("rule", "severity", "message", "action"))),
             lambda x: F.concat(F.lit("\n- ["), x["severity"], F.lit("] "), x["message"],
-                               F.lit("\n  -> Action: "), x["action"]))
-        pieces = pieces.unionByName(_piece(
-            risks.agg(rk_txt.alias("x")), 4,
-            F.when(F.col("x") != "", F.concat(F.lit("\n\nRISK ALERTS:"), F.col("x"))).otherwise(F.lit(""))))
-    body = _ordered_concat(pieces, [F.col("o"), F.col("t")], lambda x: x["t"])
+                               F.lit("\n  -> Action: "), x["action"])))
+        pieces = pieces.unionByName(risks.agg(rk.alias("x")).select(
+            F.lit(1).alias("o"),
+            F.when(F.col("x") != "", F.concat(F.lit("\n\nRISK ALERTS:"), F.col("x"))).otherwise(F.lit(""))
+            .alias("t")))
+    body = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]))
     return pieces.agg(F.concat(body, F.lit("\n=======================")).alias("brief"))

@@ -1,10 +1,11 @@
 """Rule-based risk alerts (R-01..R-05).
 
-Each rule is a DataFrame of zero or one row with the columns
-``rule, severity, category, message, action`` (R-01 adds ``details``). The
-risk table is their union. Rules only aggregate; the only "list" they carry is
-R-01's top three, taken by ``orderBy().limit(3)`` (bounded per partition) and
-folded into the single rule row by one aggregate over at most four rows.
+Each rule function returns a DataFrame of zero or one row with the columns
+``rule, severity, category, message, action`` (R-01 adds ``details``).
+``risk_table`` computes all four from one aggregate instead of unioning the
+rule functions (which would evaluate the activity plan once per rule). Rules
+only aggregate; the only "list" they carry is R-01's top three, taken by
+``orderBy().limit(3)`` (bounded per partition).
 """
 
 from __future__ import annotations
@@ -140,11 +141,79 @@ def rule_permits(activity: DataFrame, m: ActivityModel = ADAPTER_ACTIVITY) -> Da
         F.lit(ACTION_PERMITS).alias("action"))
 
 
+def _rule_row(rule: int, severity: str, category: str, message, action: str, details=None) -> F.Column:
+    return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
+                    F.lit(category).alias("category"), message.alias("message"),
+                    (details if details is not None else F.lit(None).cast(_DETAILS_TYPE)).alias("details"),
+                    F.lit(action).alias("action"))
+
+
+_DETAIL_FIELDS = ("activity_name:string,work_area:string,resource_p50:double,"
+                  "days_since_planned_start:bigint")
+_DETAILS_TYPE = f"array<struct<{_DETAIL_FIELDS}>>"
+
+
 def risk_table(activity: DataFrame, study: DataFrame, m: ActivityModel = ADAPTER_ACTIVITY,
                s: StudyModel = ADAPTER_STUDY,
                threshold_pct: float = ABSORPTION_THRESHOLD_PCT) -> DataFrame:
-    """R-05: union of the fired rules, ``details`` only filled for R-01."""
-    return (rule_delay(activity, m)
-            .unionByName(rule_absorption(activity, m, threshold_pct), allowMissingColumns=True)
-            .unionByName(rule_studies(study, s), allowMissingColumns=True)
-            .unionByName(rule_permits(activity, m), allowMissingColumns=True))
+    """R-05: the fired rules as rows ``rule, severity, category, message, details, action``.
+
+    All four rules come from ONE aggregate: the activity measures of R-01,
+    R-02 and R-04 are conditional sums/counts in a single pass over activity,
+    R-01's three details come from a bounded ``orderBy().limit(3)``, R-03's
+    counts from one pass over study; the three inputs are unioned and folded
+    into one row, from which the fired rules are exploded. (The rule
+    functions above give the same rows one rule at a time.)
+    """
+    delayed = m.c("is_delayed") & (m.c("resource_p50") > 0)
+    planned_pos = m.c("planned_amount") > 0
+    blocked = ((m.c("status") == m.not_started)
+               & ((m.c("permit_a_pct") < 100) | (m.c("permit_b_pct") < 100) | (m.c("procurement_pct") < 100))
+               & m.c("planned_start").isNotNull())
+    nul_l, nul_d = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    detail_t = f"struct<{_DETAIL_FIELDS}>"
+    measures = activity.agg(
+        F.count(F.when(delayed, F.lit(1))).alias("d_n"),
+        F.sum(F.when(delayed, m.c("resource_p50"))).alias("d_total"),
+        F.round(F.sum(F.when(planned_pos, m.c("realised_amount"))), 0).alias("ab_realised"),
+        F.round(F.sum(F.when(planned_pos, m.c("planned_amount"))), 0).alias("ab_planned"),
+        F.count(F.when(blocked, F.lit(1))).alias("p_n"),
+    ).select("*", nul_l.alias("s_total"), nul_l.alias("s_open"), F.lit(None).cast("long").alias("o"),
+             F.lit(None).cast(detail_t).alias("d"))
+    top = delayed_top(activity, m).select(
+        nul_l.alias("d_n"), nul_d.alias("d_total"), nul_d.alias("ab_realised"), nul_d.alias("ab_planned"),
+        nul_l.alias("p_n"), nul_l.alias("s_total"), nul_l.alias("s_open"),
+        F.col("activity_id").cast("long").alias("o"),
+        F.struct(F.col("activity_name"), F.col("work_area"), F.col("resource_p50"),
+                 F.col("days_since_planned_start").cast("bigint").alias("days_since_planned_start")).alias("d"))
+    st = study_status_summary(study, s).select(
+        nul_l.alias("d_n"), nul_d.alias("d_total"), nul_d.alias("ab_realised"), nul_d.alias("ab_planned"),
+        nul_l.alias("p_n"), F.col("total").alias("s_total"), F.col("not_started").alias("s_open"),
+        F.lit(None).cast("long").alias("o"), F.lit(None).cast(detail_t).alias("d"))
+    one = measures.unionByName(top).unionByName(st).agg(
+        *[F.max(c).alias(c) for c in ("d_n", "d_total", "ab_realised", "ab_planned", "p_n", "s_total", "s_open")],
+        F.sort_array(F.collect_list(F.when(F.col("d").isNotNull(), F.struct(
+            (-F.col("d.resource_p50")).alias("k"), F.col("o").alias("o"), F.col("d").alias("d"))))).alias("ds"))
+    pct = F.try_divide(F.col("ab_realised"), F.col("ab_planned")) * 100
+    rules = F.array(
+        F.when(F.col("d_n") > 0, _rule_row(
+            1, SEVERITY_HIGH, CATEGORY_DELAY,
+            F.concat(F.col("d_n").cast("string"), F.lit(" delayed activities with total potential "),
+                     _fmt1(F.col("d_total")), F.lit(" MMBOE")),
+            ACTION_DELAY, F.transform("ds", lambda x: x["d"]))),
+        F.when((F.coalesce(F.col("ab_planned"), F.lit(0.0)) > 0) & (pct < threshold_pct), _rule_row(
+            2, SEVERITY_MEDIUM, CATEGORY_ABSORPTION,
+            F.concat(F.lit("Realised spend is only "), _fmt1(pct), F.lit("% ($"),
+                     F.format_number(F.col("ab_realised"), 0), F.lit(" of $"),
+                     F.format_number(F.col("ab_planned"), 0), F.lit(")")),
+            ACTION_ABSORPTION)),
+        F.when((F.col("s_total") > 0) & (F.col("s_total") == F.col("s_open")), _rule_row(
+            3, SEVERITY_HIGH, CATEGORY_STUDIES,
+            F.concat(F.lit("All "), F.col("s_total").cast("string"), F.lit(" studies are still 'not started'")),
+            ACTION_STUDIES)),
+        F.when(F.col("p_n") > 0, _rule_row(
+            4, SEVERITY_MEDIUM, CATEGORY_PERMITS,
+            F.concat(F.col("p_n").cast("string"), F.lit(" activities held up by incomplete permits")),
+            ACTION_PERMITS)),
+    )
+    return one.select(F.inline(F.filter(rules, lambda r: r.isNotNull())))

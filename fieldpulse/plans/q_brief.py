@@ -98,8 +98,7 @@ def _b06(ws):
 @R.query("b07_brief_text", None, ("B-07", "S-07", "A-12"))
 def _b07(ws):
     a, s = ws.activity, ws.study
-    return brief.brief_text(brief.survey_kpis(a), brief.study_kpis(s), brief.studies_by_type(s),
-                            brief.by_region(a), risks.risk_table(a, s), as_of_label=ws.as_of)
+    return brief.brief_text(brief.brief_long(a, s), risks.risk_table(a, s), as_of_label=ws.as_of)
 
 
 # ---------------------------------------------------------------- risk rules

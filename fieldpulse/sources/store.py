@@ -179,9 +179,7 @@ def refresh_snapshot(activity: DataFrame, study: DataFrame, gold_dir: str, updat
     write_table(risks.risk_table(activity, study, m, s).select("rule", "severity", "category", "message",
                                                                "action"), paths["risks"])
     b, r = spark.read.parquet(paths["brief"]), spark.read.parquet(paths["risks"])
-    text = brief.brief_text(brief.survey_kpis(activity, m), brief.study_kpis(study, s),
-                            brief.studies_by_type(study, s), brief.by_region(activity, m), r,
-                            as_of_label=updated_at)
+    text = brief.brief_text(b, r, as_of_label=updated_at)
     write_table(text, paths["brief_text"])
     export_snapshot_json(b, r, spark.read.parquet(paths["brief_text"]), paths["snapshot_json"], updated_at)
     return paths

@@ -55,10 +55,17 @@ def test_delay_rule_details_are_top_three(spark, ws):
 
 def test_brief_text_renders(spark, ws):
     a, s = ws.activity, ws.study
-    t = brief.brief_text(brief.survey_kpis(a), brief.study_kpis(s), brief.studies_by_type(s),
-                         brief.by_region(a), risks.risk_table(a, s)).first().brief
+    t = brief.brief_text(brief.brief_long(a, s), risks.risk_table(a, s)).first().brief
     assert t.startswith("=== EXECUTIVE BRIEF ===")
     assert "BY REGION:" in t and "RISK ALERTS:" in t
+    k = brief.survey_kpis(a).first()
+    assert f"ACTIVITIES ({k.total}):" in t and f"Not started: {k.not_started}" in t
+    regions = brief.by_region(a).collect()
+    first = regions[0]
+    assert f"\n- {first.region}: {first.n_activities} activities, {first.total_resource} resource" in t
+    assert t.index(regions[0].region + ":") < t.index(regions[-1].region + ":")
+    types = ", ".join(f"{x.study_type} ({x.n_studies})" for x in brief.studies_by_type(s).collect())
+    assert f"- Types: {types}" in t
 
 
 def test_cross_table_totals_without_join(spark, ws):
