@@ -57,18 +57,23 @@ def delayed_top(activity: DataFrame, m: ActivityModel = ADAPTER_ACTIVITY,
             .limit(k))
 
 
+def _id_type(activity: DataFrame, m: ActivityModel) -> str:
+    return activity.schema[m.id].dataType.simpleString()
+
+
 def rule_delay(activity: DataFrame, m: ActivityModel = ADAPTER_ACTIVITY) -> DataFrame:
     """R-01: HIGH when any delayed activity has resource > 0."""
+    idt = _id_type(activity, m)
     summary = delayed_summary(activity, m).select(
         F.lit(0).alias("part"), "n_delayed", "total_resource",
         F.lit(None).cast("struct<activity_name:string,work_area:string,resource_p50:double,"
-                         "days_since_planned_start:bigint,activity_id:bigint>").alias("d"))
+                         f"days_since_planned_start:bigint,activity_id:{idt}>").alias("d"))
     top = delayed_top(activity, m).select(
         F.lit(1).alias("part"), F.lit(None).cast("bigint").alias("n_delayed"),
         F.lit(None).cast("double").alias("total_resource"),
         F.struct(F.col("activity_name"), F.col("work_area"), F.col("resource_p50"),
                  F.col("days_since_planned_start").cast("bigint").alias("days_since_planned_start"),
-                 F.col("activity_id").cast("bigint").alias("activity_id")).alias("d"))
+                 F.col("activity_id")).alias("d"))
     folded = summary.unionByName(top).agg(
         F.max("n_delayed").alias("n"), F.max("total_resource").alias("total"),
         F.sort_array(F.collect_list(F.struct(
@@ -171,6 +176,7 @@ def risk_table(activity: DataFrame, study: DataFrame, m: ActivityModel = ADAPTER
                & ((m.c("permit_a_pct") < 100) | (m.c("permit_b_pct") < 100) | (m.c("procurement_pct") < 100))
                & m.c("planned_start").isNotNull())
     nul_l, nul_d = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+    nul_id = F.lit(None).cast(_id_type(activity, m))  # tie-break key keeps the id's own type
     detail_t = f"struct<{_DETAIL_FIELDS}>"
     measures = activity.agg(
         F.count(F.when(delayed, F.lit(1))).alias("d_n"),
@@ -178,18 +184,18 @@ def risk_table(activity: DataFrame, study: DataFrame, m: ActivityModel = ADAPTER
         F.round(F.sum(F.when(planned_pos, m.c("realised_amount"))), 0).alias("ab_realised"),
         F.round(F.sum(F.when(planned_pos, m.c("planned_amount"))), 0).alias("ab_planned"),
         F.count(F.when(blocked, F.lit(1))).alias("p_n"),
-    ).select("*", nul_l.alias("s_total"), nul_l.alias("s_open"), F.lit(None).cast("long").alias("o"),
+    ).select("*", nul_l.alias("s_total"), nul_l.alias("s_open"), nul_id.alias("o"),
              F.lit(None).cast(detail_t).alias("d"))
     top = delayed_top(activity, m).select(
         nul_l.alias("d_n"), nul_d.alias("d_total"), nul_d.alias("ab_realised"), nul_d.alias("ab_planned"),
         nul_l.alias("p_n"), nul_l.alias("s_total"), nul_l.alias("s_open"),
-        F.col("activity_id").cast("long").alias("o"),
+        F.col("activity_id").alias("o"),
         F.struct(F.col("activity_name"), F.col("work_area"), F.col("resource_p50"),
                  F.col("days_since_planned_start").cast("bigint").alias("days_since_planned_start")).alias("d"))
     st = study_status_summary(study, s).select(
         nul_l.alias("d_n"), nul_d.alias("d_total"), nul_d.alias("ab_realised"), nul_d.alias("ab_planned"),
         nul_l.alias("p_n"), F.col("total").alias("s_total"), F.col("not_started").alias("s_open"),
-        F.lit(None).cast("long").alias("o"), F.lit(None).cast(detail_t).alias("d"))
+        nul_id.alias("o"), F.lit(None).cast(detail_t).alias("d"))
     one = measures.unionByName(top).unionByName(st).agg(
         *[F.max(c).alias(c) for c in ("d_n", "d_total", "ab_realised", "ab_planned", "p_n", "s_total", "s_open")],
         F.sort_array(F.collect_list(F.when(F.col("d").isNotNull(), F.struct(

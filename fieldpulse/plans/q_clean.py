@@ -66,7 +66,9 @@ _LANDED_SURVEY = f"""landed AS (
          CASE activity_id % 13 WHEN 0 THEN 'garbage' WHEN 1 THEN strftime(planned_start, '%d/%m/%Y') WHEN 2 THEN NULL
               ELSE strftime(planned_start, '%Y-%m-%d %H:%M:%S') END AS RENCANA_WAKTU_MULAI,
          planned_start AS RENCANA_WAKTU_SELESAI,
-         obstacle AS KENDALA_OPERASIONAL_LAPANGAN, play AS PLAY
+         obstacle AS KENDALA_OPERASIONAL_LAPANGAN, play AS PLAY,
+         CASE WHEN technical_approval = 'Yes' THEN 'Sudah' ELSE 'Belum' END AS STATUS_PERSETUJUAN_TEKNIS,
+         prospects AS PROSPECT, leads AS LEAD
   FROM activity)"""
 
 
@@ -89,7 +91,7 @@ SELECT NAMA_KEGIATAN, TAHUN, {_std('WK')} AS WK, {_std('KKKS')} AS KKKS, {_std('
        {_clamp('P_REALISASI_KEGIATAN')} AS P_REALISASI_KEGIATAN, {_clamp('P_IZIN_PPKH')} AS P_IZIN_PPKH,
        P_IZIN_UKL_UPL, {_clamp('P_PENGADAAN_KONTRAKTOR_SURVEI')} AS P_PENGADAAN_KONTRAKTOR_SURVEI,
        {planned} AS RENCANA_WAKTU_MULAI, CAST(RENCANA_WAKTU_SELESAI AS TIMESTAMP) AS RENCANA_WAKTU_SELESAI,
-       KENDALA_OPERASIONAL_LAPANGAN, PLAY,
+       KENDALA_OPERASIONAL_LAPANGAN, PLAY, STATUS_PERSETUJUAN_TEKNIS, PROSPECT, LEAD,
        COALESCE(REALISASI_STATUS_PELAKSANAAN = 'Belum Mulai' AND epoch_us({planned}) < {as_of}, false) AS IS_DELAYED,
        CAST(COALESCE(GREATEST(0, CAST(FLOOR(({as_of} - epoch_us({planned})) / 86400000000.0) AS BIGINT)), 0)
             AS INTEGER) AS DAYS_SINCE_PLANNED_START
@@ -155,7 +157,7 @@ def _c_study(ws):
 
 
 @R.query("c11_load_quality", with_adapter(
-    """SELECT 'survey_main' AS "table", COUNT(*) AS rows, 27 AS columns FROM activity
+    """SELECT 'survey_main' AS "table", COUNT(*) AS rows, 30 AS columns FROM activity
        UNION ALL SELECT 'study_main', COUNT(*), 15 FROM study"""), ("C-11",))
 def _c11(ws):
     return load_quality(cleaned_survey(ws), "survey_main").unionByName(

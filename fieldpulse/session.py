@@ -63,8 +63,12 @@ def shared_dir(spark: SparkSession, purpose: str, fallback: str | None = None) -
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if fallback is None and spark.sparkContext.master.startswith("local"):
+            # single machine: a local folder is visible to every task
+            import tempfile
+            fallback = tempfile.mkdtemp(prefix="fieldpulse-")
         if fallback is None:
-            raise RuntimeError("spark.checkpoint.dir is not set and no fallback given")
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder for this cluster")
         base = fallback
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -94,6 +94,10 @@ def landed_survey_main(activity: DataFrame) -> DataFrame:
         F.col(A.planned_start).alias("RENCANA_WAKTU_SELESAI"),
         F.col(A.obstacle).alias("KENDALA_OPERASIONAL_LAPANGAN"),
         F.col(A.play).alias("PLAY"),
+        F.when(F.col(A.technical_approval) == A.approved, F.lit("Sudah")).otherwise(F.lit("Belum"))
+         .alias("STATUS_PERSETUJUAN_TEKNIS"),
+        F.col(A.prospects).alias("PROSPECT"),
+        F.col(A.leads).alias("LEAD"),
     )
 
 

@@ -65,7 +65,7 @@ def refresh_gold(spark: SparkSession, silver_dir: str, gold_dir: str,
 
 def make_batch_handler(spark: SparkSession, table: str, spec: CleanSpec | None, silver_dir: str,
                        gold_dir: str, as_of: str, m: ActivityModel = DOMAIN_ACTIVITY,
-                       s: StudyModel = DOMAIN_STUDY):
+                       s: StudyModel = DOMAIN_STUDY, refresh_each_batch: bool = True):
     silver_path = os.path.join(silver_dir, table)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -78,7 +78,8 @@ def make_batch_handler(spark: SparkSession, table: str, spec: CleanSpec | None,
         (rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(silver_path))
-        refresh_gold(spark, silver_dir, gold_dir, m, s)
+        if refresh_each_batch:
+            refresh_gold(spark, silver_dir, gold_dir, m, s)
 
     return handle
 
@@ -86,7 +87,7 @@ def make_batch_handler(spark: SparkSession, table: str, spec: CleanSpec | None,
 def start_refresh(spark: SparkSession, landing_dir: str, table: str, spec: CleanSpec | None,
                   silver_dir: str, gold_dir: str, as_of: str, schema=None, fmt: str = "parquet",
                   checkpoint: str | None = None, files_per_batch: int | None = None,
-                  available_now: bool = True) -> StreamingQuery:
+                  available_now: bool = True, refresh_each_batch: bool = True) -> StreamingQuery:
     """Start the incremental refresh of one landed sheet; returns the running query.
 
     ``schema`` defaults to the schema of the files already landed (a stream
@@ -105,16 +106,28 @@ def start_refresh(spark: SparkSession, landing_dir: str, table: str, spec: Clean
     stream = reader.load(landing_dir).withColumn(
         FILE_COL, F.regexp_extract(F.col("_metadata.file_path"), under, 1))
     ckpt = checkpoint or shared_dir(spark, f"stream-{table}")
-    writer = (stream.writeStream.foreachBatch(make_batch_handler(spark, table, spec, silver_dir, gold_dir, as_of))
+    handler = make_batch_handler(spark, table, spec, silver_dir, gold_dir, as_of,
+                                 refresh_each_batch=refresh_each_batch)
+    writer = (stream.writeStream.foreachBatch(handler)
               .option("checkpointLocation", ckpt).queryName(f"refresh_{table}"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="6 hours")
     return writer.start()
 
 
 def run_refresh_once(spark: SparkSession, sheets: dict[str, tuple[str, CleanSpec | None]], silver_dir: str,
-                     gold_dir: str, as_of: str, checkpoint_base: str, fmt: str = "parquet") -> None:
-    """Process everything pending for each sheet and wait (one scheduler tick)."""
+                     gold_dir: str, as_of: str, checkpoint_base: str, fmt: str = "parquet") -> bool:
+    """Process everything pending for each sheet, then rebuild gold once (one scheduler tick).
+
+    Within one tick the gold tables are rebuilt after all sheets are loaded
+    rather than after each sheet's batch: same end state, one rebuild.
+    Returns whether the gold tables were rebuilt (both sheets present).
+    """
+    progressed = False
     for table, (landing, spec) in sheets.items():
         q = start_refresh(spark, landing, table, spec, silver_dir, gold_dir, as_of, fmt=fmt,
-                          checkpoint=os.path.join(checkpoint_base, table))
+                          checkpoint=os.path.join(checkpoint_base, table), refresh_each_batch=False)
         q.awaitTermination()
+        progressed |= any(p["numInputRows"] > 0 for p in q.recentProgress)
+    if progressed:
+        return refresh_gold(spark, silver_dir, gold_dir)
+    return False
