@@ -40,7 +40,7 @@ def main() -> None:
     from fieldpulse.plans.registry import REGISTRY
     from fieldpulse.session import build_session
 
-    spark = build_session(f"local[{cpus}]", app_name="fieldpulse-bench", shuffle_partitions=cpus * 2,
+    spark = build_session(f"local[{cpus}]", app_name="fieldpulse-bench", shuffle_partitions=cpus,
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")})
     items = REGISTRY.items()
     callables = REGISTRY.callables()

@@ -56,9 +56,14 @@ def q06_total_study_budget(s: DataFrame, st: StudyModel = S) -> DataFrame:
     return s.agg(F.round(F.sum(st.c("planned_budget")), 0).alias("total_budget"))
 
 
-def q07_distinct_exploration_areas(a: DataFrame, m: ActivityModel = A) -> DataFrame:
+def _distinct(c: F.Column, approx: bool) -> F.Column:
+    """Exact distinct count, or the HyperLogLog++ estimate (bounded memory) when ``approx``."""
+    return F.approx_count_distinct(c) if approx else F.count_distinct(c)
+
+
+def q07_distinct_exploration_areas(a: DataFrame, m: ActivityModel = A, approx: bool = False) -> DataFrame:
     return (a.filter(m.c("block_status") == m.exploration)
-            .agg(F.count_distinct(m.c("work_area")).alias("n_work_areas")))
+            .agg(_distinct(m.c("work_area"), approx).alias("n_work_areas")))
 
 
 def q08_region_spend(a: DataFrame, region: str = "ASIA", m: ActivityModel = A) -> DataFrame:
@@ -199,10 +204,12 @@ def q26_studies_per_validator(s: DataFrame, st: StudyModel = S) -> DataFrame:
             .orderBy(_desc("n_studies")))
 
 
-def q27_exploration_area(s: DataFrame, st: StudyModel = S) -> DataFrame:
+def q27_exploration_area(s: DataFrame, st: StudyModel = S, approx: bool = False) -> DataFrame:
+    """Sum beside a distinct count: Spark plans one distinct aggregate as two
+    levels (partial sums per work area, then the count), without ``Expand``."""
     return (s.filter(st.c("block_status") == st.exploration)
             .agg(F.round(F.sum(st.c("area_km2")), 2).alias("total_area_km2"),
-                 F.count_distinct(st.c("work_area")).alias("n_work_areas")))
+                 _distinct(st.c("work_area"), approx).alias("n_work_areas")))
 
 
 # The two spellings of "carbonate" the reference searches for.
