@@ -118,14 +118,17 @@ def run_refresh_once(spark: SparkSession, sheets: dict[str, tuple[str, CleanSpec
                      gold_dir: str, as_of: str, checkpoint_base: str, fmt: str = "parquet") -> bool:
     """Process everything pending for each sheet, then rebuild gold once (one scheduler tick).
 
-    Within one tick the gold tables are rebuilt after all sheets are loaded
-    rather than after each sheet's batch: same end state, one rebuild.
-    Returns whether the gold tables were rebuilt (both sheets present).
+    The sheets' streams are independent, so they run concurrently (each
+    query drives its micro-batches from its own thread). Within one tick the
+    gold tables are rebuilt after all sheets are loaded rather than after each
+    sheet's batch: same end state, one rebuild. Returns whether the gold
+    tables were rebuilt.
     """
+    queries = [start_refresh(spark, landing, table, spec, silver_dir, gold_dir, as_of, fmt=fmt,
+                             checkpoint=os.path.join(checkpoint_base, table), refresh_each_batch=False)
+               for table, (landing, spec) in sheets.items()]
     progressed = False
-    for table, (landing, spec) in sheets.items():
-        q = start_refresh(spark, landing, table, spec, silver_dir, gold_dir, as_of, fmt=fmt,
-                          checkpoint=os.path.join(checkpoint_base, table), refresh_each_batch=False)
+    for q in queries:
         q.awaitTermination()
         progressed |= any(p["numInputRows"] > 0 for p in q.recentProgress)
     if progressed:
