@@ -210,9 +210,12 @@ class Workspace:
 
         activity and its three detail tables are bucketed and sorted by
         ``activity_id`` into the same number of buckets, so joins between
-        them (J-01/J-02) are planned without a shuffle; ``partition_activity_by``
-        (e.g. ``("year",)``) adds partition pruning for filters on those
-        columns. The tables live under ``out_dir`` (shared storage), so the
+        them (J-01/J-02) are planned without a shuffle. Each is first
+        hash-partitioned on the bucket column into exactly ``buckets``
+        partitions (the same hash the bucketing uses), so every task writes
+        one file instead of one file per bucket (tasks x buckets small
+        files). ``partition_activity_by`` (e.g. ``("year",)``) adds partition
+        pruning for filters on those columns. The tables live under ``out_dir`` (shared storage), so the
         queries that follow read files and never recompute the adapter joins,
         also after an executor is lost.
         """
@@ -220,8 +223,11 @@ class Workspace:
         for name in self.RELATIONS:
             df = getattr(self, name)
             table = f"{prefix}_{name}"
+            bucketed = name in self.BUCKETED
+            if bucketed:
+                df = df.repartition(buckets, "activity_id")
             w = df.write.mode("overwrite").format("parquet").option("path", f"{out_dir.rstrip('/')}/{name}")
-            if name in self.BUCKETED:
+            if bucketed:
                 w = w.bucketBy(buckets, "activity_id").sortBy("activity_id")
             if name == "activity" and partition_activity_by:
                 w = w.partitionBy(*partition_activity_by)
