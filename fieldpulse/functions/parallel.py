@@ -19,8 +19,14 @@ def task_slots(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition to ``min_partitions`` (default: task slots) if the input has fewer."""
-    target = min_partitions or task_slots(df)
-    if df.rdd.getNumPartitions() >= target:
+    """Round-robin repartition to ``min_partitions`` (default: task slots) if the input has fewer.
+
+    Where the partition count cannot be asked (a Spark Connect session has no
+    ``rdd``), the input is returned unchanged.
+    """
+    try:
+        target = min_partitions or task_slots(df)
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of this DataFrame: leave it as it is
         return df
-    return df.repartition(target)
+    return df if current >= target else df.repartition(target)

@@ -21,10 +21,6 @@ from fieldpulse.plans.sqltext import sql_str
 R = REGISTRY
 
 
-def _q(ws, name):
-    return getattr(ws.raw, name)
-
-
 # ------------------------------------------------------------ DuckDB renderings
 def _route_case(text: str) -> tuple[str, str, str]:
     """CASE expressions (route, pattern, fixed tables) of the first matching rule."""

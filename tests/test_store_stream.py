@@ -69,6 +69,8 @@ def test_counts_summary_and_schema(spark, ws):
     assert catalog.ingest_summary(counts, reference_like=True).count() == 0  # the reference's LIKE '_%'
     assert [r.table for r in catalog.ingest_summary(counts).collect()] == ["activity"]
     ws.register_views()
+    health = catalog.table_row_counts(spark, catalog.views_or_none(spark, ["study", "no_such_table"]))
+    assert {r.table: r.rows for r in health.collect()} == {"study": ws.study.count(), "no_such_table": 0}
     text = catalog.schema_text(catalog.schema_listing(spark, ["study"])).first().text
     assert text.startswith("TABLE study:\n  - study_id (bigint)")
 
