@@ -67,13 +67,28 @@ def has_text(c: str | Column, null_token: str = NULL_TOKEN) -> Column:
     return x.isNotNull() & (F.trim(x) != F.lit("")) & (x != F.lit(null_token))
 
 
+# Decimal number text as a lenient numeric parser (the reference's) accepts
+# it: sign, digits with an optional point, optional exponent, or the words
+# inf / infinity / nan; surrounding whitespace allowed. Java's parser behind
+# Spark's cast would also take type suffixes ("1.5d") and hex floats.
+DECIMAL_TEXT = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+
+
 def coerce_number(c: str | Column, default: float | None = 0.0, numeric: bool = False) -> Column:
     """Text or number -> double; unparseable, NULL or NaN -> ``default``.
 
-    ``numeric=True`` when the input is already a number (no text round trip).
+    Text must be decimal number syntax (``DECIMAL_TEXT``); a finite-looking
+    text that overflows to infinity counts as unparseable. ``numeric=True``
+    when the input is already a number (no text round trip).
     """
     x = col_of(c)
-    d = x.cast("double") if numeric else x.cast("string").try_cast("double")
+    if numeric:
+        d = x.cast("double")
+    else:
+        txt = x.cast("string")
+        d = F.when(txt.rlike(DECIMAL_TEXT), txt.try_cast("double"))
+        overflow = (F.abs(d) == F.lit(float("inf"))) & ~F.lower(txt).contains("inf")
+        d = F.when(~overflow, d)
     d = F.nanvl(d, F.lit(None).cast("double"))
     return d if default is None else F.coalesce(d, F.lit(float(default)))
 

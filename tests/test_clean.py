@@ -126,3 +126,19 @@ def test_nan_amount_text(spark):
     df = spark.createDataFrame([("nan",), ("inf",)], "v string")
     vals = [r[0] for r in df.select(coerce_number("v")).collect()]
     assert vals[0] == 0.0 and math.isinf(vals[1])
+
+
+def test_number_coercion_matches_pandas(spark):
+    """Brute force: pandas ``to_numeric(errors='coerce').fillna(0)`` is the reference behaviour."""
+    import pandas as pd
+
+    from fieldpulse.functions.columns import coerce_number
+
+    cases = ["1", " 1.5 ", "+5", "-5", ".5", "5.", "1e5", "1E-3", "1.5d", "1.5f", "0x1p3", "inf", "-inf",
+             "Infinity", "INF", "nan", "NaN", "1,000", "1_000", "abc", "", " ", "\t2\n", "1e", "e5", "--1",
+             "1.2.3", "1e400", "0x10", "+inf", "  -0.0 ", "007", "1e+2", "-.5e-1"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(cases)], "i int, s string")
+    got = {r.i: r.v for r in df.select("i", coerce_number("s").alias("v")).collect()}
+    for i, v in enumerate(cases):
+        want = float(pd.to_numeric(pd.Series([v], dtype=object), errors="coerce").fillna(0).iloc[0])
+        assert got[i] == want, (v, got[i], want)
