@@ -70,3 +70,10 @@ def test_silver_layer_joins_without_shuffle(spark, ws, scratch):
     assert "Exchange" not in plan and plan.count("Bucketed: true") == 4
     raw = catalogue.detail_rollup(ws.activity, ws.receiver, ws.shotpoint, ws.recording)
     assert d.exceptAll(raw).count() == 0 and raw.exceptAll(d).count() == 0
+
+
+@pytest.mark.parametrize("name", ["t07_attempt_log", "t11_page_text_merge"])
+def test_per_group_first_n_is_limited_map_side(spark, name):
+    """row_number() <= n runs as a group limit before the shuffle, so no group reaches one task whole."""
+    plan = plan_text(REGISTRY.callables()[name](spark, SF_SMALL))
+    assert plan.count("WindowGroupLimit") >= 2, plan
