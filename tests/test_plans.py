@@ -77,3 +77,12 @@ def test_per_group_first_n_is_limited_map_side(spark, name):
     """row_number() <= n runs as a group limit before the shuffle, so no group reaches one task whole."""
     plan = plan_text(REGISTRY.callables()[name](spark, SF_SMALL))
     assert plan.count("WindowGroupLimit") >= 2, plan
+
+
+def test_silver_partitioned_by_year_prunes(spark, ws, scratch):
+    from fieldpulse.operators import catalogue
+
+    silver = ws.materialize(scratch, buckets=2, prefix="fp_year", partition_activity_by=("year",))
+    q = catalogue.q01_count_in_year(silver.activity)
+    assert "PartitionFilters: [isnotnull(year" in plan_text(q) and "= 1998)]" in plan_text(q)
+    assert q.first()[0] == catalogue.q01_count_in_year(ws.activity).first()[0]
