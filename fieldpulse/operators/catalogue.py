@@ -260,9 +260,11 @@ def detail_rollup(a: DataFrame, receiver: DataFrame, shotpoint: DataFrame, recor
     joining raw detail rows.
     """
     def roll(df: DataFrame, prefix: str, cols: tuple[str, ...]) -> DataFrame:
+        # sums of doubles depend on summation order in their last bits; they
+        # are reported rounded (4 decimals), as the reference rounds its sums
         return df.groupBy(F.col(d.key).alias(f"_{prefix}k")).agg(
             F.count(F.lit(1)).alias(f"{prefix}_rows"),
-            *[F.sum(c).alias(f"{prefix}_sum_{c}") for c in cols])
+            *[F.round(F.sum(c), 4).alias(f"{prefix}_sum_{c}") for c in cols])
 
     r = roll(receiver, "rcv", d.receiver_cols)
     s = roll(shotpoint, "shot", d.shotpoint_cols)

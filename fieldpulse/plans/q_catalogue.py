@@ -105,14 +105,14 @@ _SPECS = [
                COALESCE(s.shot_rows, 0) AS shot_rows, s.shot_sum_n_shot, s.shot_sum_charge, s.shot_sum_charge_depth,
                COALESCE(c.rec_rows, 0) AS rec_rows, c.rec_sum_fold, c.rec_sum_far_offset
         FROM activity a
-        LEFT JOIN (SELECT activity_id, COUNT(*) AS rcv_rows, SUM(n_receiver) AS rcv_sum_n_receiver,
-                          SUM(receiver_spacing) AS rcv_sum_receiver_spacing FROM receiver GROUP BY 1) r
+        LEFT JOIN (SELECT activity_id, COUNT(*) AS rcv_rows, ROUND(SUM(n_receiver), 4) AS rcv_sum_n_receiver,
+                          ROUND(SUM(receiver_spacing), 4) AS rcv_sum_receiver_spacing FROM receiver GROUP BY 1) r
                ON a.activity_id = r.activity_id
-        LEFT JOIN (SELECT activity_id, COUNT(*) AS shot_rows, SUM(n_shot) AS shot_sum_n_shot,
-                          SUM(charge) AS shot_sum_charge, SUM(charge_depth) AS shot_sum_charge_depth
+        LEFT JOIN (SELECT activity_id, COUNT(*) AS shot_rows, ROUND(SUM(n_shot), 4) AS shot_sum_n_shot,
+                          ROUND(SUM(charge), 4) AS shot_sum_charge, ROUND(SUM(charge_depth), 4) AS shot_sum_charge_depth
                    FROM shotpoint GROUP BY 1) s ON a.activity_id = s.activity_id
-        LEFT JOIN (SELECT activity_id, COUNT(*) AS rec_rows, SUM(fold) AS rec_sum_fold,
-                          SUM(far_offset) AS rec_sum_far_offset FROM recording GROUP BY 1) c
+        LEFT JOIN (SELECT activity_id, COUNT(*) AS rec_rows, ROUND(SUM(fold), 4) AS rec_sum_fold,
+                          ROUND(SUM(far_offset), 4) AS rec_sum_far_offset FROM recording GROUP BY 1) c
                ON a.activity_id = c.activity_id"""),
 ]
 

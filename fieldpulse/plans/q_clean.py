@@ -56,7 +56,7 @@ _LANDED_SURVEY = f"""landed AS (
          CASE activity_id % 23 WHEN 0 THEN ' ' || {_STATUS} WHEN 1 THEN {_STATUS} || {TAB} ELSE {_STATUS} END
            AS REALISASI_STATUS_PELAKSANAAN,
          {_messy_num('planned_amount', 'activity_id')} AS NILAI_AFE_INVESTASI,
-         CAST(realised_amount AS VARCHAR) AS REALISASI_AFE_INVESTASI,
+         CAST(ROUND(realised_amount, 4) AS VARCHAR) AS REALISASI_AFE_INVESTASI,
          resource_p50 AS RR_TOTAL_P50_MMBOE, resource_oil AS RR_P50_OIL_MMBOE, resource_gas AS RR_P50_GAS_BSCF,
          planned_qty AS RENCANA_KUANTITAS_PEKERJAAN, realised_qty AS REALISASI_KUANTITAS_PEKERJAAN,
          CASE activity_id % 19 WHEN 0 THEN 150.0 WHEN 1 THEN -5.0 WHEN 2 THEN 'NaN'::DOUBLE WHEN 3 THEN NULL

@@ -80,7 +80,8 @@ def landed_survey_main(activity: DataFrame) -> DataFrame:
         F.when(r23 == 0, F.concat(F.lit(" "), status)).when(r23 == 1, F.concat(status, F.lit("\t")))
          .otherwise(status).alias("REALISASI_STATUS_PELAKSANAAN"),
         messy_number_text(F.col(A.planned_amount), k).alias("NILAI_AFE_INVESTASI"),
-        F.col(A.realised_amount).cast("string").alias("REALISASI_AFE_INVESTASI"),
+        # exported amounts carry 4 decimals (a sum of doubles is exact only to its last bits)
+        F.round(F.col(A.realised_amount), 4).cast("string").alias("REALISASI_AFE_INVESTASI"),
         F.col(A.resource_p50).alias("RR_TOTAL_P50_MMBOE"),
         F.col(A.resource_oil).alias("RR_P50_OIL_MMBOE"),
         F.col(A.resource_gas).alias("RR_P50_GAS_BSCF"),
