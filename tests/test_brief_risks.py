@@ -74,8 +74,14 @@ def test_cross_table_totals_without_join(spark, ws):
 
 
 def test_detail_fanout_matches_sql_semantics(spark, ws):
-    d = catalogue.technical_detail(ws.activity, ws.receiver, ws.shotpoint)
+    """Q-29's pair form (library only) against the reference's SQL, run by Spark SQL, on the small fixture."""
     ws.register_views()
-    n = spark.sql("SELECT COUNT(*) FROM activity a LEFT JOIN receiver r ON a.activity_id = r.activity_id "
-                  "LEFT JOIN shotpoint s ON a.activity_id = s.activity_id").first()[0]
-    assert d.count() == n
+    for name in (None, "act-77"):
+        d = catalogue.technical_detail(ws.activity, ws.receiver, ws.shotpoint, name_contains=name)
+        where = "" if name is None else f"WHERE LOWER(a.activity_name) LIKE '%{name}%'"
+        ref = spark.sql(
+            "SELECT a.activity_name, a.kind, r.n_receiver, r.receiver_spacing, s.n_shot, s.charge, s.charge_depth "
+            "FROM activity a LEFT JOIN receiver r ON a.activity_id = r.activity_id "
+            f"LEFT JOIN shotpoint s ON a.activity_id = s.activity_id {where}")
+        assert d.exceptAll(ref).count() == 0 and ref.exceptAll(d).count() == 0
+        assert d.count() == ref.count()

@@ -27,8 +27,10 @@ def test_no_python_or_cartesian_nodes(spark, name):
         assert node not in plan, f"{name}: {node}"
 
 
-def test_filter_pushed_to_parquet(spark):
-    plan = plan_text(REGISTRY.callables()["q29_technical_detail"](spark, SF_SMALL))
+def test_filter_pushed_to_parquet(spark, ws):
+    from fieldpulse.operators import catalogue
+
+    plan = plan_text(catalogue.technical_detail(ws.activity, ws.receiver, ws.shotpoint, name_contains="act-77"))
     pushed = [ln for ln in plan.splitlines() if ln.startswith("PushedFilters")]
     assert any("EqualTo(l_linenumber,1)" in ln for ln in pushed)
     assert any("EqualTo(l_linenumber,2)" in ln for ln in pushed)
