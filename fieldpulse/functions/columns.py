@@ -7,6 +7,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldpulse.functions.regex import SPACE_CHARS
+
 MICROS_PER_DAY = 86_400_000_000
 
 # Fixed value: the text the reference stores for a missing text cell.
@@ -51,8 +53,11 @@ def elapsed_days(c: str | Column, as_of: str | datetime) -> Column:
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Strip leading/trailing whitespace of any kind (SQL ``trim`` only strips spaces)."""
-    return F.regexp_replace(col_of(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: leading/trailing Unicode whitespace (SQL ``trim`` only strips spaces).
+
+    ``trim`` with a character set touches only the two ends of the string.
+    """
+    return F.trim(col_of(c), F.lit(SPACE_CHARS))
 
 
 def standardise_text(c: str | Column, null_token: str | None = NULL_TOKEN) -> Column:

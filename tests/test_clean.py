@@ -142,3 +142,12 @@ def test_number_coercion_matches_pandas(spark):
     for i, v in enumerate(cases):
         want = float(pd.to_numeric(pd.Series([v], dtype=object), errors="coerce").fillna(0).iloc[0])
         assert got[i] == want, (v, got[i], want)
+
+
+def test_strip_is_python_strip(spark):
+    from fieldpulse.functions.columns import strip_ws
+
+    values = ["\t a \n", " b　", " c\x0b", " d e ", "", "\x1ce\x1f"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = {r.i: r.s for r in df.select("i", strip_ws("v").alias("s")).collect()}
+    assert [got[i] for i in range(len(values))] == [v.strip() for v in values]
