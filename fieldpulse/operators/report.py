@@ -34,18 +34,27 @@ def label(name: str) -> str:
 
 
 def py_str_double(x: Column) -> Column:
-    """Render a double like Python ``str(float)`` for the usual range.
+    """Render a double like Python ``str(float)``.
 
-    Plain notation for 1e-4 <= |x| < 1e16 (shortest digits, ``.0`` for whole
-    numbers); Spark's own text form outside that range.
+    Plain notation for 1e-4 <= |x| < 1e16 (the shortest digits, ``.0`` for
+    whole numbers, via an exact decimal); outside that range Python's
+    scientific form (``1e+16``, ``9.99e-05``) rebuilt from Java's
+    (``1.0E16``, ``9.99E-5``); signed zero kept.
     """
     ax = F.abs(x)
-    plain = F.regexp_replace(x.cast("decimal(38,18)").cast("string"), r"0+$", "")
+    plain = F.regexp_replace(x.cast("decimal(38,21)").cast("string"), r"0+$", "")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    js = x.cast("string")  # Java's Double.toString
+    mant = F.regexp_replace(F.regexp_extract(js, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    sign = F.when(F.regexp_extract(js, r"E(-?)", 1) == "-", F.lit("-")).otherwise(F.lit("+"))
+    exp = F.regexp_extract(js, r"E-?([0-9]+)$", 1)
+    sci = F.concat(mant, F.lit("e"), sign, F.when(F.length(exp) < 2, F.lpad(exp, 2, "0")).otherwise(exp))
     return (F.when(x.isNull(), F.lit("None")).when(F.isnan(x), F.lit("nan"))
             .when(x == F.lit(float("inf")), F.lit("inf")).when(x == F.lit(float("-inf")), F.lit("-inf"))
-            .when((ax < 1e16) & ((ax >= 1e-4) | (x == 0)), plain)
-            .otherwise(x.cast("string")))
+            .when(x == 0, js)
+            .when((ax < 1e16) & (ax >= 1e-4), plain)
+            .when(js.contains("E"), sci)
+            .otherwise(js))
 
 
 def py_str(c: Column, dtype) -> Column:

@@ -57,3 +57,17 @@ def test_page_merge_bounded_and_cut(spark):
     assert len(t) == report.PAGE_TOTAL_CHARS
     assert t.startswith("\n\n--- 0 ---\n" + "w" * 100)
     assert "\n\n--- 2 ---\n" in t
+
+
+def test_python_float_rendering(spark):
+    """Brute force against Python ``str(float)`` (T-09 renders cells like the reference's str())."""
+    import random
+
+    random.seed(11)
+    vals = [0.0, -0.0, 1.0, 0.1, 1 / 3, 1e-4, 9.99e-05, 1e15, 1e16, 12345678.9, 150.55, 2.675,
+            1.7976931348623157e308, 1e-300, -1e22, float("nan"), float("inf"), float("-inf")]
+    vals += [round(random.uniform(-1e6, 1e6), random.randint(0, 6)) for _ in range(300)]
+    vals += [random.uniform(0, 1) for _ in range(150)] + [random.uniform(-1e12, 1e12) for _ in range(150)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
+    got = {r.i: r.s for r in df.select("i", report.py_str_double(F.col("v")).alias("s")).collect()}
+    assert [got[i] for i in range(len(vals))] == [str(v) for v in vals]
