@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldpulse.model import ADAPTER_ACTIVITY, ADAPTER_STUDY, ActivityModel, StudyModel
+from fieldpulse.operators.report import py_str_double
 
 
 def _count_when(pred) -> F.Column:
@@ -189,7 +190,9 @@ def brief_text(long: DataFrame, risks: DataFrame | None = None, as_of_label: str
     The brief's rows (bounded: KPIs, one row per region, top-k holdings, one
     per study type) are gathered into one array by a single aggregate and
     the text is rendered with array functions, so the brief's source plan
-    runs once. Percentages are rounded explicitly before formatting.
+    runs once. Numbers are formatted as the reference's f-strings do
+    (``format_number`` rounds half-even on the binary value like Python;
+    plain floats render like ``str()``).
     """
     rows = long.agg(F.collect_list(F.struct("section", "key", "measure", "value")).alias("r"))
     r = F.col("r")
@@ -204,7 +207,7 @@ def brief_text(long: DataFrame, risks: DataFrame | None = None, as_of_label: str
         return F.coalesce(val(section, measure).cast("bigint"), F.lit(0)).cast("string")
 
     planned, realised = val("survey", "total_planned"), val("survey", "total_realised")
-    pct = F.when(F.coalesce(planned, F.lit(0.0)) > 0, F.round(realised / planned * 100, 1)).otherwise(F.lit(0.0))
+    pct = F.when(F.coalesce(planned, F.lit(0.0)) > 0, realised / planned * 100).otherwise(F.lit(0.0))
     types = F.sort_array(F.transform(
         F.filter(r, lambda x: x["section"] == "study_type"),
         lambda x: F.struct((-x["value"]).alias("o"), F.coalesce(x["key"], F.lit("nan")).alias("k"),
@@ -215,8 +218,8 @@ def brief_text(long: DataFrame, risks: DataFrame | None = None, as_of_label: str
     region_lines = F.concat_ws("", F.transform(regions, lambda g: F.concat(
         F.lit("\n- "), F.coalesce(g["k"], F.lit("nan")), F.lit(": "),
         val("region", "n_activities", g["k"]).cast("bigint").cast("string"), F.lit(" activities, "),
-        val("region", "total_resource", g["k"]).cast("string"), F.lit(" resource, avg progress "),
-        val("region", "avg_progress", g["k"]).cast("string"), F.lit("%"))))
+        py_str_double(val("region", "total_resource", g["k"])), F.lit(" resource, avg progress "),
+        py_str_double(val("region", "avg_progress", g["k"])), F.lit("%"))))
     text = F.concat(
         F.lit("=== EXECUTIVE BRIEF ===\nAs of: " + as_of_label + "\n\nACTIVITIES ("), n("survey", "total"),
         F.lit("):\n- Running: "), n("survey", "running"), F.lit(" | Done: "), n("survey", "done"),
@@ -225,11 +228,11 @@ def brief_text(long: DataFrame, risks: DataFrame | None = None, as_of_label: str
         F.lit("), Other ("), n("survey", "kind_other"),
         F.lit(")\n- Area: Onshore ("), n("survey", "onshore"), F.lit("), Offshore ("), n("survey", "offshore"),
         F.lit(")\n- Planned: $"), _fmt0(planned), F.lit(" | Realised: $"), _fmt0(realised),
-        F.lit(" ("), F.format_number(pct, 1), F.lit("%)"),
+        F.lit(" ("), F.regexp_replace(F.format_number(pct, 1), ",", ""), F.lit("%)"),
         F.lit("\n- Resource: "),
-        F.format_number(F.round(F.coalesce(val("survey", "total_resource"), F.lit(0.0)), 1), 1),
+        F.format_number(F.coalesce(val("survey", "total_resource"), F.lit(0.0)), 1),
         F.lit(" (P50)\n- Avg progress: "),
-        F.coalesce(val("survey", "avg_progress").cast("string"), F.lit("None")), F.lit("%"),
+        py_str_double(val("survey", "avg_progress")), F.lit("%"),
         F.lit("\n\nSTUDIES ("), n("study", "total"), F.lit("):\n- Not started: "), n("study", "not_started"),
         F.lit(" | Done: "), n("study", "done"), F.lit("\n- Budget: $"), _fmt0(val("study", "total_budget")),
         F.lit("\n- Types: "), F.concat_ws(", ", F.transform(

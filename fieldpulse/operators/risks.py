@@ -31,8 +31,12 @@ TOP_DETAILS = 3
 
 
 def _fmt1(c) -> F.Column:
-    """One decimal with thousands separators, after explicit half-up rounding."""
-    return F.format_number(F.round(c, 1), 1)
+    """Python ``f"{x:.1f}"``: one decimal, no separators, rounded half-even on the binary value.
+
+    ``format_number`` (DecimalFormat, half-even on the exact value) rounds
+    like Python; its thousands separators are removed.
+    """
+    return F.regexp_replace(F.format_number(c, 1), ",", "")
 
 
 def delayed_activities(activity: DataFrame, m: ActivityModel = ADAPTER_ACTIVITY) -> DataFrame:

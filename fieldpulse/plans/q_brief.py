@@ -153,11 +153,11 @@ s2 AS (SELECT realised, planned, realised / planned * 100 AS pct FROM ({_ABSORB}
 s3 AS (SELECT COUNT(*) AS total, COUNT(CASE WHEN status = 'Not started' THEN 1 END) AS nb FROM study {study_filter}),
 s4 AS (SELECT COUNT(*) AS n {_PERMIT})""", body=f"""
 SELECT 1 AS rule, {sql_str(r.SEVERITY_HIGH)} AS severity, {sql_str(r.CATEGORY_DELAY)} AS category,
-       CAST(n AS VARCHAR) || ' delayed activities with total potential ' || format('{{:,.1f}}', ROUND(total, 1)) || ' MMBOE' AS message,
+       CAST(n AS VARCHAR) || ' delayed activities with total potential ' || format('{{:.1f}}', total) || ' MMBOE' AS message,
        {sql_str(r.ACTION_DELAY)} AS action FROM s1 WHERE n > 0
 UNION ALL
 SELECT 2, {sql_str(r.SEVERITY_MEDIUM)}, {sql_str(r.CATEGORY_ABSORPTION)},
-       'Realised spend is only ' || format('{{:,.1f}}', ROUND(pct, 1)) || '% ($' || format('{{:,.0f}}', realised) || ' of $' || format('{{:,.0f}}', planned) || ')',
+       'Realised spend is only ' || format('{{:.1f}}', pct) || '% ($' || format('{{:,.0f}}', realised) || ' of $' || format('{{:,.0f}}', planned) || ')',
        {sql_str(r.ACTION_ABSORPTION)} FROM s2 WHERE COALESCE(planned, 0) > 0 AND pct < {threshold}
 UNION ALL
 SELECT 3, {sql_str(r.SEVERITY_HIGH)}, {sql_str(r.CATEGORY_STUDIES)},

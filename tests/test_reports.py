@@ -71,3 +71,18 @@ def test_python_float_rendering(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
     got = {r.i: r.s for r in df.select("i", report.py_str_double(F.col("v")).alias("s")).collect()}
     assert [got[i] for i in range(len(vals))] == [str(v) for v in vals]
+
+
+def test_number_formats_match_python_fstrings(spark):
+    """Half-even on the binary value, as Python formats: ties such as 0.25 or 42.25 round to even."""
+    from fieldpulse.operators.risks import _fmt1
+
+    vals = [0.25, 0.35, 0.15, 2.675, 42.25, 343760.05, 1234567.25, 1e6 + 0.5, 2.5, 3.5, -2.5, 40.1, 99.95, 0.0, 123.45]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
+    rows = {r.i: r for r in df.select("i", _fmt1(F.col("v")).alias("a"), F.format_number("v", 0).alias("b"),
+                                      report.format_cell(F.col("v"), df.schema["v"].dataType).alias("c")).collect()}
+    for i, v in enumerate(vals):
+        assert rows[i].a == f"{v:.1f}", v
+        assert rows[i].b == f"{v:,.0f}", v
+        want = f"${v:,.0f}" if abs(v) > 1_000_000 else (f"{v:,.1f}" if abs(v) > 100 else f"{v:.1f}%")
+        assert rows[i].c == want, v
