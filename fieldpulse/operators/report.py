@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType, IntegralType, BooleanType
 
-from fieldpulse.functions.columns import has_text
+from fieldpulse.functions.columns import strip_ws
 from fieldpulse.functions.parallel import spread
 
 # Report texts (English renderings of the reference's texts)
@@ -98,11 +98,12 @@ def simple_result(df: DataFrame) -> DataFrame:
 
 
 def _row_pairs(df: DataFrame) -> Column:
-    """Up to five ``key: value`` pairs of non-empty cells, in column order."""
+    """Up to five ``key: value`` pairs of cells that are not NULL, not blank and not ``nan``, in column order."""
     pairs = F.array(*[
-        F.struct(py_str(F.col(f.name), f.dataType).alias("v"), F.lit(f.name).alias("k"))
+        F.struct(py_str(F.col(f.name), f.dataType).alias("v"), F.lit(f.name).alias("k"),
+                 F.col(f.name).isNotNull().alias("present"))
         for f in df.schema.fields])
-    kept = F.filter(pairs, lambda p: has_text(p["v"]) & (p["v"] != "None"))
+    kept = F.filter(pairs, lambda p: p["present"] & (strip_ws(p["v"]) != "") & (p["v"] != "nan"))
     return F.concat_ws(" | ", F.transform(F.slice(kept, 1, LIST_PAIRS),
                                           lambda p: F.concat(p["k"], F.lit(": "), p["v"])))
 

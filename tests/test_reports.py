@@ -86,3 +86,11 @@ def test_number_formats_match_python_fstrings(spark):
         assert rows[i].b == f"{v:,.0f}", v
         want = f"${v:,.0f}" if abs(v) > 1_000_000 else (f"{v:,.1f}" if abs(v) > 100 else f"{v:.1f}%")
         assert rows[i].c == want, v
+
+
+def test_list_report_pair_filter(spark):
+    df = spark.createDataFrame([(1, None, "\t", "nan", "None", 2.5, "x")],
+                               "a int, b string, c string, d string, e string, f double, g string")
+    line = report.list_report(df, [F.asc("a")]).first().report.split("\n")[2]
+    # the reference keeps a pair when the value is not None, str(value).strip() and != "nan"; five at most
+    assert line == "1. a: 1 | e: None | f: 2.5 | g: x"
