@@ -96,17 +96,27 @@ def top_holdings(activity: DataFrame, m: ActivityModel = ADAPTER_ACTIVITY, k: in
             .limit(k))
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _measure_array_sql(measures: list[tuple[str, str] | str]) -> str:
+    """SQL text: array of (measure, value double) structs.
+
+    Built as one SQL expression string (parsed once by ``F.expr``) rather
+    than Column by Column: same plan, a fraction of the driver round trips.
+    """
+    pairs = [(m, m) if isinstance(m, str) else m for m in measures]
+    items = ", ".join(f"named_struct('measure', '{name}', 'value', CAST({_q(src)} AS DOUBLE))"
+                      for name, src in pairs)
+    return f"array({items})"
+
+
 def _long(df: DataFrame, section: str, key_col, measures: list[str]) -> DataFrame:
     """Unpivot measure columns into (section, key, measure, value double)."""
     key = F.lit(None).cast("string") if key_col is None else F.col(key_col).cast("string")
     return df.select(F.lit(section).alias("section"), key.alias("key"),
-                     F.inline(_measure_array(measures)))
-
-
-def _measure_array(measures: list[tuple[str, str] | str]) -> F.Column:
-    pairs = [(m, m) if isinstance(m, str) else m for m in measures]
-    return F.array(*[F.struct(F.lit(name).alias("measure"), F.col(src).cast("double").alias("value"))
-                     for name, src in pairs])
+                     F.inline(F.expr(_measure_array_sql(measures))))
 
 
 def long_by_grouping(g: DataFrame, cases: dict[int, tuple[str, str | None, list]]) -> DataFrame:
@@ -117,14 +127,15 @@ def long_by_grouping(g: DataFrame, cases: dict[int, tuple[str, str | None, list]
     the optimizer push each ``gid`` filter below the aggregate and re-run the
     whole input plan once per branch.
     """
-    section, key, arr = None, None, None
+    sec, key, arr = [], [], []
     for gid, (name, key_col, measures) in cases.items():
-        cond = F.col("gid") == gid
-        k = F.lit(None).cast("string") if key_col is None else F.col(key_col).cast("string")
-        section = F.when(cond, F.lit(name)) if section is None else section.when(cond, F.lit(name))
-        key = F.when(cond, k) if key is None else key.when(cond, k)
-        arr = F.when(cond, _measure_array(measures)) if arr is None else arr.when(cond, _measure_array(measures))
-    return g.select(section.alias("section"), key.alias("key"), F.inline(arr))
+        sec.append(f"WHEN gid = {gid} THEN '{name}'")
+        key.append(f"WHEN gid = {gid} THEN " + ("CAST(NULL AS STRING)" if key_col is None
+                                                else f"CAST({_q(key_col)} AS STRING)"))
+        arr.append(f"WHEN gid = {gid} THEN {_measure_array_sql(measures)}")
+    return g.select(F.expr("CASE " + " ".join(sec) + " END").alias("section"),
+                    F.expr("CASE " + " ".join(key) + " END").alias("key"),
+                    F.inline(F.expr("CASE " + " ".join(arr) + " END")))
 
 
 def brief_long(activity: DataFrame, study: DataFrame,
