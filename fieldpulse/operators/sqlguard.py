@@ -75,9 +75,15 @@ def _set_repr(arr: Column) -> Column:
 
 
 def referenced_tables(sql: Column) -> Column:
-    """Distinct names following FROM or JOIN (only the first name after each)."""
-    return F.array_distinct(F.concat(F.regexp_extract_all(sql, F.lit(_FROM), 1),
-                                     F.regexp_extract_all(sql, F.lit(_JOIN), 1)))
+    """Distinct names following FROM or JOIN (only the first name after each).
+
+    The two regex scans only run on text whose upper-cased form contains
+    FROM or JOIN (a byte search); other text has no table reference.
+    """
+    up = F.upper(sql)
+    found = F.array_distinct(F.concat(F.regexp_extract_all(sql, F.lit(_FROM), 1),
+                                      F.regexp_extract_all(sql, F.lit(_JOIN), 1)))
+    return F.when(up.contains("FROM") | up.contains("JOIN"), found).otherwise(F.array().cast("array<string>"))
 
 
 def audit_sql(sql: Column, allowed: tuple[str, ...] = DOMAIN_TABLES) -> Column:
