@@ -26,6 +26,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldpulse.model import DOMAIN_ACTIVITY, DOMAIN_STUDY, ActivityModel, StudyModel
@@ -37,29 +38,59 @@ from fieldpulse.session import shared_dir
 FILE_COL = "_landed_export"
 
 
-def current_version(spark: SparkSession, silver_path: str) -> DataFrame | None:
-    """The newest ``batch_id`` version of a silver table, or None when empty."""
+def silver_version(spark: SparkSession, silver_path: str) -> int | None:
+    """The newest ``batch_id`` written to a silver table, or None when nothing is written yet."""
     try:
-        df = spark.read.parquet(silver_path)
-    except Exception:  # nothing written yet
+        return spark.read.parquet(silver_path).agg(F.max("batch_id").alias("b")).first()["b"]
+    except AnalysisException:
         return None
-    newest = df.agg(F.max("batch_id").alias("b")).first()["b"]
+
+
+def current_version(spark: SparkSession, silver_path: str) -> DataFrame | None:
+    """The newest ``batch_id`` version of a silver table, or None when empty."""
+    newest = silver_version(spark, silver_path)
     if newest is None:
         return None
-    return df.filter(F.col("batch_id") == newest).drop("batch_id")
+    return spark.read.parquet(silver_path).filter(F.col("batch_id") == newest).drop("batch_id")
+
+
+def _recorded_sources(spark: SparkSession, gold_dir: str) -> dict[str, int]:
+    try:
+        return {r.table: r.batch_id for r in spark.read.parquet(os.path.join(gold_dir, "_sources")).collect()}
+    except AnalysisException:
+        return {}
+
+
+def gold_is_current(spark: SparkSession, silver_dir: str, gold_dir: str,
+                    tables: tuple[str, str] = ("survey_main", "study_main")) -> bool:
+    """Were the gold tables built from the silver versions that are current now?"""
+    now = {t: silver_version(spark, os.path.join(silver_dir, t)) for t in tables}
+    return _recorded_sources(spark, gold_dir) == now
 
 
 def refresh_gold(spark: SparkSession, silver_dir: str, gold_dir: str,
                  m: ActivityModel = DOMAIN_ACTIVITY, s: StudyModel = DOMAIN_STUDY,
                  activity_table: str = "survey_main", study_table: str = "study_main") -> bool:
-    """Rebuild gold ``brief`` and ``risks`` from the current silver tables (both needed)."""
-    activity = current_version(spark, os.path.join(silver_dir, activity_table))
-    study = current_version(spark, os.path.join(silver_dir, study_table))
-    if activity is None or study is None:
+    """Rebuild gold ``brief`` and ``risks`` from the current silver tables (both needed).
+
+    The silver versions used are recorded last, in ``gold/_sources``: a run
+    that dies half way leaves a record that no longer matches, so the next
+    tick rebuilds (see ``gold_is_current``).
+    """
+    versions = {t: silver_version(spark, os.path.join(silver_dir, t)) for t in (activity_table, study_table)}
+    if None in versions.values():
         return False
+
+    def at(t: str) -> DataFrame:
+        return (spark.read.parquet(os.path.join(silver_dir, t))
+                .filter(F.col("batch_id") == versions[t]).drop("batch_id"))
+
+    activity, study = at(activity_table), at(study_table)
     brief_long(activity, study, m, s).write.mode("overwrite").parquet(os.path.join(gold_dir, "brief"))
     (risk_table(activity, study, m, s).select("rule", "severity", "category", "message", "action")
      .write.mode("overwrite").parquet(os.path.join(gold_dir, "risks")))
+    spark.createDataFrame(sorted(versions.items()), "table string, batch_id long") \
+        .write.mode("overwrite").parquet(os.path.join(gold_dir, "_sources"))
     return True
 
 
@@ -122,7 +153,7 @@ def run_refresh_once(spark: SparkSession, sheets: dict[str, tuple[str, CleanSpec
     query drives its micro-batches from its own thread). Within one tick the
     gold tables are rebuilt after all sheets are loaded rather than after each
     sheet's batch: same end state, one rebuild. Returns whether the gold
-    tables were rebuilt.
+    tables were rebuilt (new data, or gold not built from the current silver).
     """
     queries = [start_refresh(spark, landing, table, spec, silver_dir, gold_dir, as_of, fmt=fmt,
                              checkpoint=os.path.join(checkpoint_base, table), refresh_each_batch=False)
@@ -131,6 +162,8 @@ def run_refresh_once(spark: SparkSession, sheets: dict[str, tuple[str, CleanSpec
     for q in queries:
         q.awaitTermination()
         progressed |= any(p["numInputRows"] > 0 for p in q.recentProgress)
-    if progressed:
+    # also rebuild when an earlier tick died between its silver write and its
+    # gold rebuild: the recorded source versions then differ from silver's
+    if progressed or not gold_is_current(spark, silver_dir, gold_dir):
         return refresh_gold(spark, silver_dir, gold_dir)
     return False

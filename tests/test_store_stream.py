@@ -158,3 +158,25 @@ def test_ingest_all(spark, ws, scratch):
     assert got == {"survey_main": 40, "survey_receiver": 30, "study_main": 20}
     log = {r.source: r.rows_total for r in spark.read.parquet(os.path.join(scratch, "log")).collect()}
     assert log == {"survey": 40, "study": 20}
+
+
+def test_stream_tick_recovers_from_a_lost_gold_rebuild(spark, ws, scratch):
+    """A tick that died after its silver write but before gold is repaired by the next tick."""
+    from fieldpulse.streaming.refresh import gold_is_current, start_refresh
+
+    landing = {t: os.path.join(scratch, "landing", t) for t in ("survey_main", "study_main")}
+    sheets = {"survey_main": (landing["survey_main"], SURVEY_MAIN_SPEC),
+              "study_main": (landing["study_main"], STUDY_MAIN_SPEC)}
+    silver, gold, ck = (os.path.join(scratch, x) for x in ("silver", "gold", "ck"))
+    landed_survey_main(ws.activity).write.parquet(os.path.join(landing["survey_main"], "S_001"))
+    landed_study_main(ws.study).write.parquet(os.path.join(landing["study_main"], "T_001"))
+    # the "crashed" tick: streams commit their batches, the gold rebuild never happens
+    for table, (land, spec) in sheets.items():
+        start_refresh(spark, land, table, spec, silver, gold, ws.as_of, checkpoint=os.path.join(ck, table),
+                      refresh_each_batch=False).awaitTermination()
+    assert not gold_is_current(spark, silver, gold)
+    # next tick: no new input, but the gold tables are rebuilt from the current silver
+    assert run_refresh_once(spark, sheets, silver, gold, ws.as_of, ck) is True
+    assert gold_is_current(spark, silver, gold)
+    assert spark.read.parquet(os.path.join(gold, "brief")).count() > 0
+    assert run_refresh_once(spark, sheets, silver, gold, ws.as_of, ck) is False  # nothing to do
