@@ -43,6 +43,8 @@ _START_AT = rf"(?iu)(?:SELECT|WITH)(?:[^{WORD}]|$)"   # first keyword only (stop
 _FROM = rf"(?iu)(?:^|[^{WORD}])FROM[{SPACE}]+([{WORD}]+)"
 _JOIN = rf"(?iu)(?:^|[^{WORD}])JOIN[{SPACE}]+([{WORD}]+)"
 _ANY_FORBIDDEN = "|".join(f"(?:{portable(p)})" for p in FORBIDDEN_PATTERNS)
+# Names defined by a WITH clause: "WITH a AS (", ", b AS (" (only used when strict=False).
+_CTE = rf"(?iu)(?:(?:^|[^{WORD}])WITH|,)[{SPACE}]*([{WORD}]+)[{SPACE}]+AS[{SPACE}]*\("
 
 
 def py_strip(c: Column) -> Column:
@@ -86,18 +88,24 @@ def referenced_tables(sql: Column) -> Column:
     return F.when(up.contains("FROM") | up.contains("JOIN"), found).otherwise(F.array().cast("array<string>"))
 
 
-def audit_sql(sql: Column, allowed: tuple[str, ...] = DOMAIN_TABLES) -> Column:
+def audit_sql(sql: Column, allowed: tuple[str, ...] = DOMAIN_TABLES, strict: bool = True) -> Column:
     """T-05: struct(is_valid, reason, tables, invalid_tables) for each statement.
 
     Same order of checks as the reference: start keyword, the forbidden
     patterns in list order (on the upper-cased text), then the table
-    allow-list (case-sensitive; the log table is always allowed).
+    allow-list (case-sensitive; the log table is always allowed). With the
+    default ``strict=True`` a CTE name read after FROM fails the allow-list,
+    as in the reference; ``strict=False`` also accepts the names the
+    statement defines in its WITH clause.
     """
     sql = F.coalesce(sql, F.lit(""))
     up = py_strip(F.upper(sql))
     tables = referenced_tables(sql)
     allowed_arr = F.array(*[F.lit(t) for t in allowed])
-    invalid = F.array_sort(F.array_except(tables, F.array_union(allowed_arr, F.array(F.lit(LOG_TABLE)))))
+    permitted = F.array_union(allowed_arr, F.array(F.lit(LOG_TABLE)))
+    if not strict:
+        permitted = F.array_union(permitted, F.regexp_extract_all(sql, F.lit(_CTE), 1))
+    invalid = F.array_sort(F.array_except(tables, permitted))
     # A forbidden pattern can only occur where its literal core does (DROP,
     # --, ;): that ``contains`` gate is a fast byte search. Only rows passing
     # it run the combined regex (``And`` short-circuits), and only rows that
@@ -131,7 +139,8 @@ class GuardError(ValueError):
     """Raised when a statement fails the audit."""
 
 
-def run_guarded(spark: SparkSession, sql: str, allowed: tuple[str, ...] = DOMAIN_TABLES) -> DataFrame:
+def run_guarded(spark: SparkSession, sql: str, allowed: tuple[str, ...] = DOMAIN_TABLES,
+                strict: bool = True) -> DataFrame:
     """T-06: audit one statement, then run it with ``spark.sql`` (lazily).
 
     The audit is evaluated on a one-row frame (a single tiny action); the
@@ -139,7 +148,7 @@ def run_guarded(spark: SparkSession, sql: str, allowed: tuple[str, ...] = DOMAIN
     registered, so the full Spark SQL dialect is available, as the reference
     delegates to its host engine.
     """
-    verdict = spark.range(1).select(audit_sql(F.lit(sql), allowed).alias("a")).first()["a"]
+    verdict = spark.range(1).select(audit_sql(F.lit(sql), allowed, strict).alias("a")).first()["a"]
     if not verdict["is_valid"]:
         raise GuardError(verdict["reason"])
     return spark.sql(sql)

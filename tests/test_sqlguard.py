@@ -72,3 +72,14 @@ def test_attempt_log(spark):
     assert (got["q1"].attempts, got["q1"].success, got["q1"].last_sql, got["q1"].last_error) == (2, True, "s2", None)
     assert (got["q2"].attempts, got["q2"].success, got["q2"].last_sql, got["q2"].last_error) == (3, False, "c", "e3")
     assert (got["q3"].attempts, got["q3"].success) == (1, False)
+
+
+def test_cte_names_accepted_only_when_not_strict(spark):
+    stmts = ["WITH x AS (SELECT 1 FROM study_main), y AS (SELECT 2) SELECT * FROM x JOIN y ON 1=1",
+             "WITH x AS (SELECT 1) SELECT * FROM nope"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(stmts)], "i int, t string")
+    strict = {r.i: r.a for r in df.select("i", sqlguard.audit_sql(F.col("t")).alias("a")).collect()}
+    loose = {r.i: r.a for r in df.select("i", sqlguard.audit_sql(F.col("t"), strict=False).alias("a")).collect()}
+    assert strict[0].is_valid is False and "{'x', 'y'}" in strict[0].reason
+    assert loose[0].is_valid is True
+    assert loose[1].is_valid is False and "{'nope'}" in loose[1].reason
