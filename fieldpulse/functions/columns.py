@@ -98,10 +98,16 @@ def coerce_number(c: str | Column, default: float | None = 0.0, numeric: bool =
     return d if default is None else F.coalesce(d, F.lit(float(default)))
 
 
-def clamp_pct(c: str | Column) -> Column:
-    """NULL/NaN -> 0, then clamp into [0, 100]. NaN must go first: ``least`` ranks NaN highest."""
-    x = F.coalesce(F.nanvl(col_of(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
+def clamp_pct(c: str | Column, fill: float | None = 0.0) -> Column:
+    """NULL/NaN -> ``fill`` (0; None keeps NULL), then clamp into [0, 100].
+
+    NaN must be handled first: ``least`` ranks NaN highest.
+    """
+    x = F.nanvl(col_of(c).cast("double"), F.lit(None).cast("double"))
+    if fill is not None:
+        return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(x, F.lit(float(fill)))))
+    # greatest/least skip NULLs (least(100, NULL) is 100), so NULL passes through explicitly
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), x)))
 
 
 # Formats tried in order when text is turned into a timestamp.

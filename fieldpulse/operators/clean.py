@@ -76,7 +76,12 @@ def clean_sheet(df: DataFrame, spec: CleanSpec, as_of: str,
     * C-04/C-05 amount columns -> double, bad or missing -> 0
     * C-06/C-07 delay flag and elapsed days against ``as_of`` (UTC, C-08)
     * C-09 listed text columns trimmed, NULL -> ``null_token``
+
+    ``null_token=None`` keeps SQL NULLs throughout: missing text, amounts and
+    percentages stay NULL instead of becoming ``'nan'`` / 0 (the reference's
+    behaviour, the default, makes unknown and zero indistinguishable).
     """
+    fill = 0.0 if null_token is not None else None
     types = {f.name: f.dataType for f in df.schema.fields}
     out: dict[str, Column] = {}
     for name in df.columns:
@@ -84,9 +89,9 @@ def clean_sheet(df: DataFrame, spec: CleanSpec, as_of: str,
         if spec.is_timestamp(name):
             c = coerce_timestamp(c, typed=isinstance(types[name], _TIME_TYPES))
         elif spec.is_percent is not None and spec.is_percent(name) and isinstance(types[name], NumericType):
-            c = clamp_pct(c)
+            c = clamp_pct(c, fill)
         if name in spec.amounts:
-            c = coerce_number(F.col(name), numeric=isinstance(types[name], NumericType))
+            c = coerce_number(F.col(name), default=fill, numeric=isinstance(types[name], NumericType))
         if name in spec.texts:
             c = standardise_text(F.col(name), null_token)
         out[name] = c

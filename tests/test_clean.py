@@ -75,8 +75,12 @@ def test_text_standardised(cleaned):
 
 def test_keeps_sql_nulls_when_asked(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    out = clean_sheet(df, SURVEY_MAIN_SPEC, AS_OF, null_token=None)
-    assert out.filter(F.col("REGION_SKK").isNull()).count() == 1
+    out = {r.NAMA_KEGIATAN: r for r in clean_sheet(df, SURVEY_MAIN_SPEC, AS_OF, null_token=None).collect()}
+    assert out["a"].REGION_SKK is None                               # text stays NULL
+    assert out["d"].NILAI_AFE_INVESTASI is None                      # missing amount stays NULL
+    assert out["a"].NILAI_AFE_INVESTASI is None                      # unparseable amount -> NULL
+    assert out["c"].P_REALISASI_KEGIATAN is None and out["d"].P_REALISASI_KEGIATAN is None
+    assert out["a"].P_REALISASI_KEGIATAN == 100.0 and out["c"].NILAI_AFE_INVESTASI == 1.5
 
 
 def test_has_text(spark):
