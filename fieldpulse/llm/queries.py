@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldpulse.llm import fingerprints, pii, quality, sharding
+from fieldpulse.llm import bpe, fingerprints, pii, quality, sharding, token_files
 from fieldpulse.llm.common import table
 
 
@@ -24,5 +25,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op4_hash_tree_sharding, op5_scaled_fingerprints, op9_quality_rules)}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_personal_data, op4_hash_tree_sharding, op5_scaled_fingerprints, op9_quality_rules,
+                                   op7_token_files, op10_byte_bpe)}
 ORACLE: dict[str, str] = {}
