@@ -84,6 +84,7 @@ class Bpe:
         self.vocab = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.vocab[rank] = token
+        self.numbers = [b"%d" % i for i in range(len(self.vocab))]
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.table = PairTable(*np.array(pairs, np.int64).T)
@@ -142,13 +143,15 @@ class Bpe:
         return ids
 
     def encode_pieces(self, found: list[str]) -> list[np.ndarray]:
-        """Final ids of each piece."""
+        """Final ids of each piece (none for the empty piece)."""
         data = [p.encode() for p in found]
         out: list[np.ndarray] = [None] * len(data)  # type: ignore[list-item]
         buckets: dict[int, list[int]] = {}
         for i, d in enumerate(data):
             n = len(d)
-            if n > LONG_BYTES:
+            if not n:
+                out[i] = np.zeros(0, np.int32)
+            elif n > LONG_BYTES:
                 out[i] = self._merge_long(self.of_byte[np.frombuffer(d, np.uint8)])
             else:
                 buckets.setdefault(n if n <= EXACT_WIDTH else 1 << (n - 1).bit_length(), []).append(i)
@@ -164,6 +167,10 @@ class Bpe:
                     out[i] = x
         return out
 
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by commas."""
+        return b",".join(map(self.numbers.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids.tolist()))
 
@@ -174,22 +181,9 @@ def bpe(path: str) -> Bpe:
 
 
 @lru_cache(maxsize=4)
-def _cache(path: str) -> pieces.Cache:
-    """piece -> (ids as little-endian 32-bit bytes, decimal ids joined by commas)."""
-    def make(new: list[str]) -> list[tuple[bytes, str]]:
-        return [(x.astype("<u4").tobytes(), ",".join(map(str, x.tolist()))) for x in bpe(path).encode_pieces(new)]
-    return pieces.Cache(make)
-
-
-def encode(texts: list[str], path: str) -> Iterator[tuple[np.ndarray, str]]:
-    """Ids and their decimal text of each whole text."""
-    cache = _cache(path)
-    for batch in pieces.batches(texts):
-        found = [pieces.split(t) for t in batch]
-        cache.have(found)
-        for own in found:
-            both = [cache[p] for p in own]
-            yield np.frombuffer(b"".join([a for a, _ in both]), "<u4"), ",".join([b for _, b in both])
+def coder(path: str) -> pieces.Coder:
+    """Ids of whole texts; each distinct piece is merged once."""
+    return pieces.Coder(lambda new: [x.astype("<u4").tobytes() for x in bpe(path).encode_pieces(new)])
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -199,10 +193,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     rows each get a row; an empty table gives none.
     """
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = bpe(path)
+        vocabulary = bpe(path)
         for part in parts:
-            rows = [(len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest())
-                    for ids, text in encode(part["text"].tolist(), path)]
+            rows = [(len(ids), hashlib.sha256(vocabulary.decimal(ids)).hexdigest(), hashlib.sha256(vocabulary.decode(ids)).hexdigest())
+                    for ids in coder(path).ids(part["text"].tolist())]
             yield pd.concat([part["doc_id"].reset_index(drop=True), pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])], axis=1)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))

@@ -19,6 +19,7 @@ Nothing is gathered in one task or the driver beyond a row for each range.
 from __future__ import annotations
 
 import io
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from fieldpulse.llm import pieces
 from fieldpulse.llm.common import shared_folder, shuffle_parts
@@ -35,6 +37,8 @@ from fieldpulse.llm.common import shared_folder, shuffle_parts
 #: A shard is closed when it has this many ids (a longer document stays whole).
 SHARD_IDS = 1 << 20
 END_ID = 0
+#: Pieces that are encoded in one call.
+JOINED = 2000
 SHARDS = "part int, seq int, n_docs long, n_ids long, first long, last long, index binary, payload binary"
 
 
@@ -125,26 +129,32 @@ class Shard:
 
 
 @lru_cache(maxsize=4)
-def _cache(path: str) -> pieces.Cache:
-    """piece -> its ids as little-endian 32-bit bytes, from the tokenizers library."""
-    import os
-
+def coder(path: str) -> pieces.Coder:
+    """Ids of whole texts; the tokenizers library encodes each distinct piece."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return pieces.Cache(lambda new: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
 
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    line_end = ids(["\n"])[0]
+
+    def make(new: list[str]) -> list[bytes]:
+        """Many pieces in one call: a line end between two pieces that aren't white space is a piece of its own."""
+        out, joined = {}, [p for p in new if p and not p.isspace()]
+        for lo in range(0, len(joined), JOINED):
+            own = joined[lo:lo + JOINED]
+            flat = ids(["\n".join(own)])[0]
+            cut = np.flatnonzero(flat == line_end[0])
+            if len(line_end) == 1 and len(cut) == len(own) - 1:
+                data = flat.tobytes()
+                out.update((p, data[4 * a:4 * b]) for p, a, b in zip(own, [0, *(cut + 1).tolist()], [*cut.tolist(), len(flat)]))
+        rest = [p for p in new if p not in out]
+        out.update(zip(rest, (x.tobytes() for x in ids(rest))))
+        return [out[p] for p in new]
 
-def encode(texts: list[str], path: str) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each whole text, without an end id."""
-    cache = _cache(path)
-    for batch in pieces.batches(texts):
-        found = [pieces.split(t) for t in batch]
-        cache.have(found)
-        for own in found:
-            yield b"".join(map(cache.__getitem__, own))
+    return pieces.Coder(make)
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, shard_ids: int = SHARD_IDS) -> None:
@@ -167,11 +177,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, shard_ids: int = SH
                                   "index": pack_index(k, has, n), "payload": b"".join(blobs)}])
 
         for rows in parts:
-            for key, has, ids in zip(rows["key"].tolist(), rows["known"].tolist(), encode(rows["text"].tolist(), tokenizer_path)):
+            for key, has, ids in zip(rows["key"].tolist(), rows["known"].tolist(), coder(tokenizer_path).ids(rows["text"].tolist())):
                 keys.append(key)
                 known.append(has)
-                sizes.append(len(ids) // 4 + 1)
-                blobs += [ids, end]
+                sizes.append(len(ids) + 1)
+                blobs += [ids.tobytes(), end]
                 total += sizes[-1]
                 if total >= shard_ids:
                     yield closed()
@@ -184,7 +194,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, shard_ids: int = SH
     rows = (docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
             .repartitionByRange(4 * shuffle_parts(spark), order).sortWithinPartitions(order, "text")
             .select(F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("doc_id").isNotNull().alias("known"), "text"))
-    rows.mapInPandas(run, SHARDS).write.option("compression", "zstd").parquet(folder)
+    (rows.mapInPandas(run, SHARDS).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
+     .parquet(folder))
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,22 +49,22 @@ def test_bpe_matches_the_library(docs, tik):
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=200) | st.text(alphabet="ab '\n\t\x1c\x85  ré²½Ⅷ1_", max_size=300))
 def test_bpe_on_any_text(tik, text):
-    ids, joined = next(bpe.encode([text], RANKS))
-    assert ids.tolist() == tik.encode_ordinary(text) and joined == ",".join(map(str, ids.tolist()))
+    ids = next(bpe.coder(RANKS).ids([text]))
+    assert ids.tolist() == tik.encode_ordinary(text) and bpe.bpe(RANKS).decimal(ids) == ",".join(map(str, ids.tolist())).encode()
     assert bpe.bpe(RANKS).decode(ids) == text.encode()
 
 
 def test_bpe_long_pieces(tik):
     rng = np.random.default_rng(1)
     texts = ["a" * 5001, "ab" * 3000, "".join(rng.choice(list("etaoin"), 4000)), "é" * 700, " " * 2000, "x" * 513, "y" * 33]
-    for text, (ids, _) in zip(texts, bpe.encode(texts, RANKS)):
+    for text, ids in zip(texts, bpe.coder(RANKS).ids(texts)):
         assert ids.tolist() == tik.encode_ordinary(text)
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=200) | st.text(alphabet="ab '\n\t\x1c\x85  ré²½Ⅷ1_<|endoftext|>", max_size=300))
 def test_library_ids_by_pieces(tok, text):
-    assert np.frombuffer(next(token_files.encode([text], JSON)), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert next(token_files.coder(JSON).ids([text])).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_token_files_round_trip(docs, tok):
@@ -91,12 +92,23 @@ def test_perfect_hash():
     assert 64 * len(table.words) < 6 * len(keys)
 
 
-def test_piece_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(pieces, "CACHE_PIECES", 3)
-    cache = pieces.Cache(lambda new: [p.upper() for p in new])
-    for own in (["a", "b"], ["c", "d"], ["a", "b", "c", "d", "e"]):
-        cache.have([own])
-        assert [cache[p] for p in own] == [p.upper() for p in own]
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=60) | st.text(alphabet="ab '\n\t\x1c  relsvétmd²½Ⅷ1_\u0301", max_size=80), min_size=1, max_size=5))
+def test_split_matches_the_pattern(texts):
+    codes = np.concatenate([x for t in texts for x in (np.frombuffer(t.encode("utf-32-le"), "<u4"), np.array([pieces.STOP], "<u4"))])
+    at = pieces.starts(codes)
+    got = [codes[a:b] for a, b in zip(at, [*at[1:], len(codes)])]
+    assert ["" if x[0] == pieces.STOP else x.tobytes().decode("utf-32-le") for x in got] == [p for t in texts for p in [*regex.findall(public_tokenizers.PATTERN, t), ""]]
+
+
+def test_cache_generations_and_cut_texts(monkeypatch, tok):
+    monkeypatch.setattr(pieces, "CACHE_PIECES", 5)
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 40)
+    made = []
+    coder = pieces.Coder(lambda new: made.extend(new) or token_files.coder(JSON).make(new))
+    texts = ["some words that are  cut, don't you see\n\n" * 9, "", "short", "x" * 100, "again some words that are cut" * 5, ""] * 3
+    assert [x.tolist() for x in coder.ids(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(coder.young) + len(coder.old) < 40 and len(made) < 150
 
 
 def test_empty_tables(spark):
