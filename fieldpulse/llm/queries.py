@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldpulse.llm import bpe, fingerprints, pii, quality, sharding, token_files
+from fieldpulse.llm import bpe, fingerprints, html_blocks, packing, pii, quality, sharding, token_files
 from fieldpulse.llm.common import table
 
 
@@ -29,10 +29,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 QUERIES = {f.__name__: f for f in (op1_personal_data, op4_hash_tree_sharding, op5_scaled_fingerprints, op9_quality_rules,
-                                   op7_token_files, op10_byte_bpe)}
+                                   op6_html_blocks, op7_token_files, op8_best_fit_packing, op10_byte_bpe)}
 ORACLE: dict[str, str] = {}
