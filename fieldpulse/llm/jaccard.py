@@ -6,8 +6,8 @@ component. No pairs are made inside groups of copies:
 
 1. Equal sets are one node (a 64-bit hash of the set), whatever their number.
 2. Grouping: nodes with a common min-hash and alike bottom sketches are compared
-   with the least such node; those that link form groups. Inside a group all is
-   settled, so from here on a group counts as one.
+   with a leader (several where many nodes meet); those that link form groups.
+   Inside a group all is settled, so from here on a group counts as one.
 3. Token-group matrix: each token (shingle) has the groups that contain it, i.e.
    each group's token union is stored by token. For a query node Q and a group G
    the number of Q's tokens in G's union bounds the overlap of Q with any member:
@@ -17,6 +17,8 @@ component. No pairs are made inside groups of copies:
    floor((100 - percent) * |Q| / 100) of Q's tokens may be missing, so a member
    shares at least zone(Q) - wide(Q) - missing(Q) of the rest. Groups that reach
    this bound are opened: their members of fitting size are compared exactly.
+   A group of one node is bounded by the overlap that this very pair needs; what
+   such a bound has settled from one side isn't opened again from the other.
 4. Nodes whose bound is below one (short ones, and those made of wide tokens)
    can only be missed among each other. They go through 3 again with the whole
    hash range, and with a growing ``WIDE`` until none is left: with no token
@@ -45,10 +47,12 @@ PERCENT = 80
 ZONE = 21000
 #: Min-hashes for grouping, and tokens of a bottom sketch.
 MIN_HASHES, SKETCH = 4, 16
-#: Groups of a token up to which it makes candidates.
+#: Leaders where more than ``CROWD`` nodes have a min-hash in common; else one.
+LEADERS, CROWD = 8, 16
+#: Groups of a token up to which it makes candidates, in the first matrix.
 WIDE = 8
-#: Tokens that a task gathers before it writes its blocks.
-FLUSH = 4_000_000
+#: Tokens that a task gathers before it writes its blocks, and those meant for a token range.
+FLUSH, RANGE_TOKENS = 1_000_000, 250_000
 #: Node ids that may be broadcast to fetch their texts; more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -137,12 +141,20 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def grouping_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): nodes with the least node among those that have a min-hash in common, if they look alike."""
-    keys = nodes.select("node", "n", "sketch", F.posexplode("mins").alias("k", "m"))
-    leaders = keys.groupBy("k", "m").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    pairs = keys.join(leaders, ["k", "m"]).where("node <> b").select(F.col("node").alias("a"), "n", F.col("sketch").alias("sa"), "b").dropDuplicates(["a", "b"])
-    other = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return _alike(pairs.join(other, "b").where(_fits(F.col("n"), F.col("nb"))).select("a", "b", "sa", "sb"))
+    """(a, b): nodes with leaders of those that have a min-hash in common, if they look alike.
+
+    Leaders are the nodes of least hash, by ``LEADERS`` hashes: they are mostly
+    the same ones for all min-hashes of a family.
+    """
+    keys = nodes.select("node", F.posexplode("mins").alias("k", "m"))
+    least = lambda i: F.min_by("node", F.xxhash64("node", F.lit(i)))
+    leaders = keys.groupBy("k", "m").agg(F.count(F.lit(1)).alias("many"), *[least(i).alias(f"l{i}") for i in range(LEADERS)]).where("many > 1")
+    crowd = F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))
+    leaders = leaders.select("k", "m", F.when(F.col("many") > CROWD, crowd).otherwise(F.array("l0")).alias("leaders"))
+    pairs = (keys.join(leaders, ["k", "m"]).select("node", F.explode("leaders").alias("leader")).where("node <> leader")
+             .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
+    one, other = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    return _alike(pairs.join(one, "a").join(other, "b").where(_fits(F.col("na"), F.col("nb"))).select("a", "b", "sa", "sb"))
 
 
 BLOCK = "part int, node binary, comp binary, size binary, entry binary, token binary, wide binary"
@@ -255,13 +267,16 @@ def _match(blocks: pd.DataFrame, limit: int) -> pd.DataFrame:
     return pd.concat(out)[["q", "g", "hits", "wide"]].astype("int64")
 
 
-def matrix(rows: DataFrame, top: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (node, comp, n, z, tokens) -> candidates (q, g) that reach the bound, and (q) whose bound says nothing.
+def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of nodes that reach the bound, and the nodes (node) whose bound says nothing.
 
-    ``tokens``: the ``z`` tokens of the node that lie below ``top``.
+    ``nodes``: node, comp, many (nodes of its group), n, z. ``tokens``: node and
+    its ``z`` tokens below ``top``. Every node must be in both.
     """
-    ranges = 2 * shuffle_parts(rows.sparkSession)
-    blocks = written(rows.select("node", "comp", "n", "tokens").mapInPandas(lambda parts: _blocks(parts, ranges, top, limit), BLOCK), "blocks")
+    total = nodes.agg(F.sum("z")).first()[0] or 0
+    ranges = max(1, min(2 * shuffle_parts(nodes.sparkSession), total // RANGE_TOKENS))
+    rows = tokens.join(nodes.select("node", "comp", "n"), "node").select("node", "comp", "n", "tokens")
+    blocks = written(rows.mapInPandas(lambda parts: _blocks(parts, ranges, top, limit), BLOCK), "blocks")
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
         if part["part"].iloc[0] >= 0:
@@ -271,14 +286,22 @@ def matrix(rows: DataFrame, top: int, limit: int) -> tuple[DataFrame, DataFrame]
     # the tasks' own counts (part -1) are dealt out by row, not to one task
     key = F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.pmod(F.xxhash64("node"), F.lit(ranges)).cast("int"))
     found = written(blocks.withColumn("key", key).groupBy("key").applyInPandas(match, FOUND), "found")
-    wide = found.where("wide > 0").groupBy("q").agg(F.sum("wide").alias("w"))
-    hits = found.where("hits > 0").groupBy("q", "g").agg(F.sum("hits").alias("hits"))
+    wide = found.where("wide > 0").groupBy(F.col("q").alias("node")).agg(F.sum("wide").alias("w"))
     missing = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
-    need = (F.col("z") - F.coalesce("w", F.lit(0)) - missing).cast("long")
-    bound = rows.select(F.col("node").alias("q"), "n", "z").join(wide, "q", "left").select("q", "n", need.alias("need"))
-    bound = written(bound, "bound")
-    opened = hits.join(bound, "q").where("need >= 1 and hits >= need").select("q", "g")
-    return opened, bound.where("need < 1").select(F.col("q").alias("node"))
+    sure = nodes.join(wide, "node", "left").withColumn("w", F.coalesce("w", F.lit(0))).withColumn("need", (F.col("z") - F.col("w") - missing).cast("long"))
+    sure = written(sure.select("node", "comp", "many", "n", "z", "w", "need"), "bound")
+
+    hits = found.where("hits > 0").groupBy("q", "g").agg(F.sum("hits").alias("hits"))
+    asked = hits.join(sure.select(F.col("node").alias("q"), F.col("many").alias("mq"), F.col("n").alias("nq"), (F.col("z") - F.col("w") - F.col("n")).alias("free"), "need"), "q")
+    members = sure.select(F.col("comp").alias("g"), F.col("node").alias("b"), F.col("many").alias("mb"), F.col("n").alias("nb"), (F.col("need") >= 1).alias("b_sure"))
+    opened = asked.where("need >= 1 and hits >= need").join(members, "g").where(_fits(F.col("nq"), F.col("nb")))
+    # a group of one: the overlap that this pair needs
+    overlap = F.ceil((F.col("nq") + F.col("nb")) * PERCENT / F.lit(100 + PERCENT))
+    opened = opened.where((F.col("mb") > 1) | (F.col("hits") >= F.col("free") + overlap))
+    # the member's own row about a group of one has decided better; of two such rows one is enough
+    settled = (F.col("mq") == 1) & F.col("b_sure") & ((F.col("mb") > 1) | (F.col("q") < F.col("b")))
+    pairs = opened.where(~settled).select(F.greatest("q", "b").alias("a"), F.least("q", "b").alias("b")).distinct()
+    return pairs, sure.where("need < 1").select("node")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -292,39 +315,38 @@ def join(docs: DataFrame) -> DataFrame:
     sets = written(document_sets(docs), "documents", codec="snappy")
     # a node's first document stands for it; null doc_ids only if there is no other
     nodes = written(sets.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")), "nodes")
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("z").alias("z"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")), "nodes")
+    ends = lambda p: p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
 
     pairs = written(grouping_pairs(nodes), "pairs")
-    wanted = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-    links = _linked(pairs, _fetch(docs, nodes, wanted(pairs)))
+    links = _linked(pairs, _fetch(docs, nodes, ends(pairs)))
     comps = written(components(links), "comps")
-    stars = lambda: comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-
-    zone = sets.where("node is not null").select("node", "doc_id", "z", F.col("zone").alias("tokens")).join(
-        nodes.select("node", F.col("doc_id").alias("_first"), "n"), "node").where(F.col("doc_id").eqNullSafe(F.col("_first")))
-    rows, top, limit = zone.select("node", "n", "z", "tokens"), ZONE << 48, WIDE
+    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("many"))
+    grouped = nodes.select("node", "doc_id", "n", "z").join(comps.join(sizes, "comp"), "node", "left")
+    grouped = written(grouped.withColumns({"comp": F.coalesce("comp", "node"), "many": F.coalesce("many", F.lit(1))}), "grouped")
+
+    every = [comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))]
+    first = grouped.select("node", F.col("doc_id").alias("_first"))
+    tokens = sets.where("node is not null").select("node", "doc_id", F.col("zone").alias("tokens")).join(first, "node").where(
+        F.col("doc_id").eqNullSafe(F.col("_first"))).select("node", "tokens")
+    part, top, limit = grouped, ZONE << 48, WIDE
     while True:
-        current = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        opened, unsure = matrix(current, top, limit)
-        # members of the opened groups whose size fits
-        members = current.select(F.col("comp").alias("g"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-        ask = opened.join(nodes.select(F.col("node").alias("q"), F.col("n").alias("nq")), "q")
-        pairs = written(ask.join(members, "g").where((F.col("q") != F.col("b")) & _fits(F.col("nq"), F.col("nb")))
-                        .select(F.greatest("q", "b").alias("a"), F.least("q", "b").alias("b")).distinct(), "pairs")
+        pairs, unsure = matrix(part, tokens, top, limit)
+        pairs = written(pairs, "pairs")
         if not pairs.isEmpty():
-            more = _linked(pairs, _fetch(docs, nodes, wanted(pairs)))
-            if not more.isEmpty():
-                comps = written(components(stars().union(more)), "comps")
-        unsure = written(unsure.distinct(), "unsure")
+            every.append(_linked(pairs, _fetch(docs, nodes, ends(pairs))))
+        unsure = written(unsure, "unsure")
         if unsure.isEmpty():
             break
-        if top == ZONE << 48:
-            rows = _fetch(docs, nodes, unsure).join(nodes.select("node", "n"), "node").select("node", "n", F.col("n").alias("z"), F.col("set").alias("tokens"))
-        else:
-            rows = rows.join(unsure, "node", "left_semi")
-            limit *= 8
-        top = 1 << 64
-
+        part = written(part.join(unsure, "node").withColumn("z", F.col("n")), "rest")
+        full = _fetch(docs, nodes, unsure).withColumnRenamed("set", "tokens") if top < 1 << 64 else tokens.join(unsure, "node")
+        tokens, top, limit = full, 1 << 64, limit * 8
+
+    if len(every) > 1:
+        edges = every[0]
+        for more in every[1:]:
+            edges = edges.union(more)
+        comps = written(components(edges), "comps")
     of = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = of.join(least, "comp").select("node", "component_id")
