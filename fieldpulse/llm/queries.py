@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldpulse.llm import bpe, fingerprints, html_blocks, jaccard, packing, pii, quality, sharding, token_files
+from fieldpulse.llm import bpe, fingerprints, html_blocks, jaccard, packing, pii, quality, sharding, suffixes, token_files
 from fieldpulse.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_personal_data, op2_jaccard_join, op4_hash_tree_sharding, op5_scaled_fingerprints, op9_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_jaccard_join, op3_suffix_dedup, op4_hash_tree_sharding, op5_scaled_fingerprints, op9_quality_rules,
                                    op6_html_blocks, op7_token_files, op8_best_fit_packing, op10_byte_bpe)}
 ORACLE: dict[str, str] = {}
