@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.llm.common import shuffle_parts, written
+from fieldpulse.llm.common import WHITE, shuffle_parts, written
 from fieldpulse.llm.graph import components
 from fieldpulse.llm.shingles import mixed, shingle_sets
 
@@ -72,7 +72,7 @@ def node_of(own: np.ndarray) -> int:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node (null without shingles), n, min-hashes, sketch, zone tokens and their number of every row."""
+    """doc_id, text_hash, node (null without shingles), n, min-hashes, sketch, zone tokens and their number of every row."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             nodes, sizes, mins, sketches, zones = [], [], [], [], []
@@ -83,10 +83,10 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 mins.append([int(mixed(own + np.uint64(k + 1)).min().view(np.int64)) for k in range(MIN_HASHES)] if len(own) else [])
                 sketches.append(_binary(own[:SKETCH]))
                 zones.append(_binary(own[:np.searchsorted(own, top)]))
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "node": pd.array(nodes, "Int64"), "n": sizes, "mins": mins, "sketch": sketches, "zone": zones, "z": [len(x) // 8 for x in zones]})
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "text_hash": part["text_hash"], "node": pd.array(nodes, "Int64"), "n": sizes, "mins": mins, "sketch": sketches, "zone": zones, "z": [len(x) // 8 for x in zones]})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, node long, n long, mins array<long>, sketch binary, zone binary, z long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInPandas(run, "doc_id long, text_hash long, node long, n long, mins array<long>, sketch binary, zone binary, z long")
 
 
 def _fits(a, b):
@@ -305,7 +305,9 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row of ``docs``.
+    """doc_id, n_shingles, component_id (least doc_id reachable by links), class and text_hash of every row of ``docs``.
+
+    ``class`` is the component's own id (null without shingles), ``text_hash`` tells rows of one doc_id apart.
 
     Null and empty texts, and texts without words, have no shingles and link
     with nothing: their component is their own doc_id. Repeated rows and equal
@@ -349,6 +351,20 @@ def join(docs: DataFrame) -> DataFrame:
         comps = written(components(edges), "comps")
     of = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = of.join(least, "comp").select("node", "component_id")
-    return sets.select("doc_id", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = of.join(least, "comp").select("node", "component_id", F.col("comp").alias("class"))
+    return sets.select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class", "text_hash")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the least doc_id stays, documents without shingles all stay.
+
+    Of rows with that doc_id one stays (the one with the least hash of its text).
+    """
+    found = written(join(docs), "classes")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    stay = found.where("class is not null").groupBy("class").agg(F.min(first).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.withColumns({"_of": text_hash, "_bare": F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) == ""})
+    kept = rows.where(~F.col("_bare")).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_of"]).select(*docs.columns).union(rows.where("_bare").select(*docs.columns))

@@ -155,10 +155,11 @@ def _spans(kind: str, text: Column, found: Column, pieces: Column) -> Column:
     return F.transform(F.filter(placed, lambda x: _passes(kind, x["m"])) if kind in BASE else placed, votes)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and ``cands``: base spans and further candidates with their votes, by kind and start."""
+def candidates(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id (with ``carry`` the whole row as ``_row``) and ``cands``: base spans and further candidates with their votes, by kind and start."""
     text = F.col("_text")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    own = ["_row"] if carry else ["doc_id"]
+    rows = docs.select(F.struct("*").alias("_row") if carry else "doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     patterns = BASE | FURTHER
     # cheap tests spare most texts the email and phone scans
     may = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
@@ -168,9 +169,9 @@ def candidates(docs: DataFrame) -> DataFrame:
         for k, p in patterns.items()})
     rows = rows.withColumns({f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, F.split(text, p, -1)) for k, p in patterns.items()})
     spans = {k: _spans(k, text, F.col(f"_m_{k}"), F.col(f"_g_{k}")) for k in patterns}
-    rows = rows.select("doc_id", F.concat(*[spans[k] for k in BASE]).alias("_base"), F.concat(*[spans[k] for k in FURTHER]).alias("_more"))
+    rows = rows.select(*own, F.concat(*[spans[k] for k in BASE]).alias("_base"), F.concat(*[spans[k] for k in FURTHER]).alias("_more"))
     clear = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return rows.select("doc_id", F.concat("_base", F.filter("_more", clear)).alias("cands"))
+    return rows.select(*own, F.concat("_base", F.filter("_more", clear)).alias("cands"))
 
 
 def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
@@ -232,13 +233,24 @@ def find_spans(docs: DataFrame) -> DataFrame:
     Null texts count as empty; repeated rows each get a row; an empty table
     gives none. Base spans always stay.
     """
-    cands = written(candidates(docs), "pii")
+    return _classified(docs, False)
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """``docs`` with every found span of the texts replaced by its kind (null texts stay null)."""
+    found = _classified(docs, True)
+    columns = [masked(F.col("_row.text"), F.col("spans")).alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns]
+    return found.select(*columns)
+
+
+def _classified(docs: DataFrame, carry: bool) -> DataFrame:
+    cands = written(candidates(docs, carry), "pii")
     one = cands.select(F.explode("cands").alias("c"))
     counts = one.groupBy("c.kind", *[f"c.{x}" for x in LABELERS]).count().collect()  # at most kinds * 3 ** labelers rows
     patterns = sorted((r["kind"], tuple(r[x] for x in LABELERS), r["count"]) for r in counts)
     bias, weights = train(patterns, estimate(patterns))
     stay = F.filter("cands", lambda c: c["base"] | (scored(c, bias, weights) > 0))
-    return cands.select("doc_id", F.transform(stay, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))).alias("spans"))
+    return cands.select("_row" if carry else "doc_id", F.transform(stay, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

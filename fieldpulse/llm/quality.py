@@ -46,26 +46,27 @@ def _repeat_words(shingles: Column) -> Column:
     return placed
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, the counts and the measures of every row of ``docs``.
+def features(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, stratum, the counts and the measures of every row of ``docs``; with ``carry`` the row itself as ``_row``.
 
     Null texts count as empty. Empty texts have all counts 0 and all measures 0.
     Windows are told apart by 64-bit hashes of their words.
     """
     text, words, sh = F.col("_text"), F.col("_words"), F.col("_sh")
-    rows = docs.select("doc_id", F.when(F.col("lang").isin(*LANGS), F.col("lang")).otherwise("other").alias("stratum"),
+    own = ["_row"] if carry else []
+    rows = docs.select(*([F.struct("*").alias("_row")] if carry else []), "doc_id", F.when(F.col("lang").isin(*LANGS), F.col("lang")).otherwise("other").alias("stratum"),
                        F.coalesce("text", F.lit("")).alias("_text"))
     rows = rows.withColumn("_words", words_of(text))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     rows = rows.select(
-        "doc_id", "stratum", F.size(words).cast("long").alias("n_words"),
+        *own, "doc_id", "stratum", F.size(words).cast("long").alias("n_words"),
         F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length(text) - F.length(F.translate(text, "0123456789", ""))).cast("long").alias("_digits"),
         F.size(F.filter(words, lambda w: F.length(w) <= 2)).cast("long").alias("_short"),
         lines.alias("_lines"), F.transform(words, lambda w: F.xxhash64(w)).alias("_wh"))
     rows = rows.select(
-        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "_digits", "_short",
+        *own, "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "_digits", "_short",
         F.size("_lines").alias("_n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         shingle_hashes(F.col("_wh")).alias("_sh"))
@@ -84,7 +85,7 @@ def features(docs: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     rows = rows.withColumn("n_repeat_words", covered)
     return rows.select(
-        "doc_id", "stratum", *COUNTS,
+        *own, "doc_id", "stratum", *COUNTS,
         share(F.col("n_symbols"), F.col("word_chars")).alias("symbol_share"),
         share(F.col("n_dup_lines"), F.col("_n_lines")).alias("dup_line_share"),
         share(F.col("n_repeat_words"), F.col("n_words")).alias("repeat_share"),
@@ -118,7 +119,7 @@ def holdout_counts(feats: DataFrame, labels: DataFrame) -> DataFrame:
     """
     truth = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
              .groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("good")))
-    held = feats.where(~base_failed()).join(truth, F.col("doc_id") == F.col("_id"))
+    held = feats.select("doc_id", "stratum", *COUNTS, *MEASURES).where(~base_failed()).join(truth, F.col("doc_id") == F.col("_id"))
     tried = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), (F.col(r) > c).alias("hit"))
                       for r, cuts in RULES.items() for c in cuts])
     one = held.select("stratum", "good", F.explode(tried).alias("t"))
@@ -157,7 +158,15 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta:
     Without labels (or with too few to certify a cutoff) the base rules alone
     decide. Repeated rows and ids each get a row; an empty table gives none.
     """
-    feats = written(features(docs), "quality")
+    return _judged(docs, labels, alpha, delta, cost, False).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+def keep(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, cost: float = 25.0) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    return _judged(docs, labels, alpha, delta, cost, True).where("kept").select("_row.*")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, cost: float, carry: bool) -> DataFrame:
+    feats = written(features(docs, carry), "quality")
     cutoffs = choose(holdout_counts(feats, labels).collect(), alpha, delta, cost)
-    return feats.select("doc_id", *COUNTS, base_failed().alias("base_failed"),
-                        (~base_failed() & verdict(cutoffs)).alias("kept"))
+    return feats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))

@@ -41,7 +41,7 @@ def brute(docs):
 
 def check(spark, docs, **change):
     df = docs if not isinstance(docs, list) else spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = Counter(tuple(r) for r in jaccard.join(df).collect())
+    got = Counter(tuple(r)[:3] for r in jaccard.join(df).collect())
     assert got == brute([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
 
 
