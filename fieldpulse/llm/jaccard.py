@@ -53,6 +53,8 @@ LEADERS, CROWD = 8, 16
 WIDE = 8
 #: Tokens that a task gathers before it writes its blocks, and those meant for a token range.
 FLUSH, RANGE_TOKENS = 1_000_000, 250_000
+#: Pairs of a token range that are counted at once.
+CHUNK = 1_000_000
 #: Node ids that may be broadcast to fetch their texts; more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -244,26 +246,36 @@ def _match(blocks: pd.DataFrame, limit: int) -> pd.DataFrame:
     node, comp, size, run, group = node[use], comp[use], size[use], run[use], (np.cumsum(group_new) - 1)[use]
     if len(node):
         # every entry with every other group of its token: step over the groups of the run
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        of_run, comp_of = run[first], comp[first]
-        index = np.cumsum(np.concatenate([[True], group[1:] != group[:-1]])) - 1
-        bounds = np.append(first, len(node))
+        edge = np.concatenate([[True], group[1:] != group[:-1]])
+        first, index = np.flatnonzero(edge), np.cumsum(edge) - 1
+        of_run = run[first]
         lo, hi = np.minimum.reduceat(size, first), np.maximum.reduceat(size, first)
-        begin = np.searchsorted(of_run, run, "left")
-        end = np.searchsorted(of_run, run, "right")
-        del bounds
-        pairs = []
+        begin, end = np.searchsorted(of_run, run, "left"), np.searchsorted(of_run, run, "right")
+        names, which = np.unique(node, return_inverse=True)
+        groups_, of = np.unique(comp[first], return_inverse=True)
+        counted, waiting, size_waiting = [], [], 0
+
+        def count() -> None:
+            nonlocal waiting, size_waiting
+            if waiting:
+                counted.append(np.unique(np.concatenate(waiting), return_counts=True))
+                waiting, size_waiting = [], 0
+
         for step in range(int((end - begin).max())):
-            g = begin + step
-            ok = (g < end) & (g != index)
-            g = np.where(ok, g, 0)
-            # a member with this token whose size fits
-            ok &= (hi[g] * 100 >= size * PERCENT) & (lo[g] * PERCENT <= size * 100)
-            pairs.append((node[ok], comp_of[g[ok]]))
-        q, g = (np.concatenate(x) for x in zip(*pairs))
-        if len(q):
-            found = pd.DataFrame({"q": q, "g": g}).groupby(["q", "g"], sort=False).size().reset_index(name="hits")
-            out.append(found.assign(wide=0))
+            entry = np.flatnonzero(begin + step < end)
+            g = begin[entry] + step
+            # another group, with a member that has this token and whose size fits
+            ok = (g != index[entry]) & (hi[g] * 100 >= size[entry] * PERCENT) & (lo[g] * PERCENT <= size[entry] * 100)
+            waiting.append(which[entry[ok]] * np.int64(len(groups_)) + of[g[ok]])
+            size_waiting += len(waiting[-1])
+            if size_waiting >= CHUNK:
+                count()
+        count()
+        keys = np.concatenate([k for k, _ in counted])
+        if len(keys):
+            keys, at = np.unique(keys, return_inverse=True)
+            hits = np.bincount(at, weights=np.concatenate([c for _, c in counted])).astype(np.int64)
+            out.append(pd.DataFrame({"q": names[keys // len(groups_)], "g": groups_[keys % len(groups_)], "hits": hits, "wide": 0}))
     return pd.concat(out)[["q", "g", "hits", "wide"]].astype("int64")
 
 
