@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.llm.common import WHITE, shuffle_parts, written
+from fieldpulse.llm.common import WHITE, discard, shuffle_parts, written
 from fieldpulse.llm.graph import components
 from fieldpulse.llm.shingles import mixed, shingle_sets
 
@@ -52,7 +52,7 @@ LEADERS, CROWD = 8, 16
 #: Groups of a token up to which it makes candidates, in the first matrix.
 WIDE = 8
 #: Tokens that a task gathers before it writes its blocks, and those meant for a token range.
-FLUSH, RANGE_TOKENS = 1_000_000, 250_000
+FLUSH, RANGE_TOKENS = 1_000_000, 1_000_000
 #: Pairs of a token range that are counted at once.
 CHUNK = 1_000_000
 #: Node ids that may be broadcast to fetch their texts; more go through a shuffle.
@@ -124,11 +124,13 @@ def _fetch(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = texts.join(F.broadcast(ids) if few else ids, F.col("_id").eqNullSafe(F.col("_doc"))).select("node", "text")
     # repeated rows give a set twice
-    return written(found.mapInPandas(run, "node long, set binary").dropDuplicates(["node"]), "sets")
+    out = written(found.mapInPandas(run, "node long, set binary").dropDuplicates(["node"]), "sets")
+    discard(ids)
+    return out
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, by their full sets."""
+    """Those of the pairs (a, b) that link, by their full sets (which are then discarded)."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             keep = []
@@ -139,7 +141,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield part.loc[keep, ["a", "b"]]
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "links")
+    out = written(both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "links")
+    discard(sets)
+    return out
 
 
 def grouping_pairs(nodes: DataFrame) -> DataFrame:
@@ -298,6 +302,7 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
     # the tasks' own counts (part -1) are dealt out by row, not to one task
     key = F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.pmod(F.xxhash64("node"), F.lit(ranges)).cast("int"))
     found = written(blocks.withColumn("key", key).groupBy("key").applyInPandas(match, FOUND), "found")
+    discard(blocks)
     wide = found.where("wide > 0").groupBy(F.col("q").alias("node")).agg(F.sum("wide").alias("w"))
     missing = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
     sure = nodes.join(wide, "node", "left").withColumn("w", F.coalesce("w", F.lit(0))).withColumn("need", (F.col("z") - F.col("w") - missing).cast("long"))
@@ -313,6 +318,8 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
     # the member's own row about a group of one has decided better; of two such rows one is enough
     settled = (F.col("mq") == 1) & F.col("b_sure") & ((F.col("mb") > 1) | (F.col("q") < F.col("b")))
     pairs = opened.where(~settled).select(F.greatest("q", "b").alias("a"), F.least("q", "b").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
+    discard(found)
     return pairs, sure.where("need < 1").select("node")
 
 
@@ -346,7 +353,6 @@ def join(docs: DataFrame) -> DataFrame:
     part, top, limit = grouped, ZONE << 48, WIDE
     while True:
         pairs, unsure = matrix(part, tokens, top, limit)
-        pairs = written(pairs, "pairs")
         if not pairs.isEmpty():
             every.append(_linked(pairs, _fetch(docs, nodes, ends(pairs))))
         unsure = written(unsure, "unsure")
@@ -356,6 +362,8 @@ def join(docs: DataFrame) -> DataFrame:
         full = _fetch(docs, nodes, unsure).withColumnRenamed("set", "tokens") if top < 1 << 64 else tokens.join(unsure, "node")
         tokens, top, limit = full, 1 << 64, limit * 8
 
+    classes = written(sets.select("doc_id", "text_hash", "node", "n"), "classes")
+    discard(sets)
     if len(every) > 1:
         edges = every[0]
         for more in every[1:]:
@@ -364,7 +372,7 @@ def join(docs: DataFrame) -> DataFrame:
     of = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = of.join(least, "comp").select("node", "component_id", F.col("comp").alias("class"))
-    return sets.select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select(
+    return classes.select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles")).join(named, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class", "text_hash")
 
 

@@ -46,15 +46,19 @@ def _repeat_words(shingles: Column) -> Column:
     return placed
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def features(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, stratum, the counts and the measures of every row of ``docs``; with ``carry`` the row itself as ``_row``.
+    """doc_id, stratum, the counts and the measures of every row of ``docs``; with ``carry`` a hash of its text as ``_row``.
 
     Null texts count as empty. Empty texts have all counts 0 and all measures 0.
     Windows are told apart by 64-bit hashes of their words.
     """
     text, words, sh = F.col("_text"), F.col("_words"), F.col("_sh")
     own = ["_row"] if carry else []
-    rows = docs.select(*([F.struct("*").alias("_row")] if carry else []), "doc_id", F.when(F.col("lang").isin(*LANGS), F.col("lang")).otherwise("other").alias("stratum"),
+    rows = docs.select(*([_text_hash().alias("_row")] if carry else []), "doc_id", F.when(F.col("lang").isin(*LANGS), F.col("lang")).otherwise("other").alias("stratum"),
                        F.coalesce("text", F.lit("")).alias("_text"))
     rows = rows.withColumn("_words", words_of(text))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
@@ -163,7 +167,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta:
 
 def keep(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, cost: float = 25.0) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    return _judged(docs, labels, alpha, delta, cost, True).where("kept").select("_row.*")
+    stay = _judged(docs, labels, alpha, delta, cost, True).where("kept").select(F.col("doc_id").alias("__id"), F.col("_row").alias("__hash"))
+    rows = docs.withColumn("__of", _text_hash()).join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__hash")), "left_semi")
+    return rows.select(*docs.columns)
 
 
 def _judged(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, cost: float, carry: bool) -> DataFrame:
