@@ -87,7 +87,8 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = in_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), ranges)
     # the first row of each range: by its id first, so that texts are neither sorted nor aggregated
     ids = rows.groupBy("_range").agg(F.min("doc_id").alias("_id"))
-    first = (rows.join(ids.withColumnRenamed("_range", "_of"), (F.col("_range") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # (at most ``ranges`` + 1 rows of two numbers: broadcast, so that the texts stay where they are)
+    first = (rows.join(F.broadcast(ids.withColumnRenamed("_range", "_of")), (F.col("_range") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
              .groupBy("_range").agg(F.min("_text").alias("_text")))
     present = sorted(r[0] for r in ids.select("_range").collect())  # a row a range
     if not present:
