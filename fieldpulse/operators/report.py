@@ -71,6 +71,7 @@ def format_cell(c: Column, dtype) -> Column:
     if isinstance(dtype, (DoubleType, FloatType)):
         x = c.cast("double")
         return (F.when(x.isNull(), F.lit("None"))
+                .when(F.isnan(x), F.lit("nan%"))  # NaN is the greatest value in Spark
                 .when(F.abs(x) > 1_000_000, F.concat(F.lit("$"), F.format_number(x, 0)))
                 .when(F.abs(x) > 100, F.format_number(x, 1))
                 # |x| <= 100 here, so format_number adds no separator; it rounds
@@ -136,7 +137,7 @@ def result_digest(df: DataFrame, order_by: list[Column], rows: int = DIGEST_ROWS
     """T-10: the first ``rows`` rows as a JSON array plus the number of rows left out."""
     top = df.orderBy(*order_by).limit(rows)
     w = Window.orderBy(*order_by)
-    j = top.select(F.row_number().over(w).alias("i"), F.to_json(F.struct(*df.columns)).alias("j"),
+    j = top.select(F.row_number().over(w).alias("i"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"),
                    F.lit(None).cast("long").alias("n"))
     count = df.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(0).alias("i"), F.lit(None).cast("string").alias("j"), "n")

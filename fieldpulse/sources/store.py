@@ -81,7 +81,7 @@ def ingest_sheets(spark: SparkSession, sheets: dict[str, tuple[str, CleanSpec |
         except Exception as exc:  # per-sheet isolation, as the reference does
             if not isolate_errors:
                 raise
-            results.append({"table": table, "rows": None, "columns": None, "error": str(exc)[:500]})
+            results.append({"table": table, "rows": None, "columns": None, "error": str(exc)})
     counted = log_table or next(iter(sheets))
     rows = next((r["rows"] for r in results if r["table"] == counted and r["error"] is None), None)
     if rows is not None:
