@@ -22,7 +22,11 @@ component. No pairs are made inside groups of copies:
 4. Nodes whose bound is below one (short ones, and those made of wide tokens)
    can only be missed among each other. They go through 3 again with the whole
    hash range, and with a growing ``WIDE`` until none is left: with no token
-   too wide the bound is positive for every node.
+   too wide the bound is positive for every node. As these nodes mostly have
+   their wide tokens in common, here each token range judges its pairs itself,
+   so that no row is made for a pair that only shares a passage: a pair that
+   links may miss M of Q's tokens, hence in some token range no more than M
+   times the share of Q's tokens that lie in it.
 
 Full sets are made again from the texts of the nodes that are compared. Tokens
 travel in binary blocks, a row for each task and token range. What goes to the
@@ -53,8 +57,10 @@ LEADERS, CROWD = 8, 16
 WIDE = 8
 #: Tokens that a task gathers before it writes its blocks, and those meant for a token range.
 FLUSH, RANGE_TOKENS = 1_000_000, 1_000_000
-#: Pairs of a token range that are counted at once.
-CHUNK = 1_000_000
+#: Pairs of a token range that are counted at once, before they are added to the counts so far.
+CHUNK = 2_000_000
+#: Cells of an array of counts (nodes x groups); more are counted span by span.
+CELLS = 4_000_000
 #: Node ids that may be broadcast to fetch their texts; more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -163,7 +169,7 @@ def grouping_pairs(nodes: DataFrame) -> DataFrame:
     return _alike(pairs.join(one, "a").join(other, "b").where(_fits(F.col("na"), F.col("nb"))).select("a", "b", "sa", "sb"))
 
 
-BLOCK = "part int, node binary, comp binary, size binary, entry binary, token binary, wide binary"
+BLOCK = "part int, node binary, comp binary, size binary, held binary, entry binary, token binary, wide binary"
 FOUND = "q long, g long, hits long, wide long"
 
 
@@ -171,7 +177,8 @@ def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) ->
     """Token-range blocks of rows (node, comp, n, tokens): entries (token, node) by token.
 
     A token that more than ``limit`` groups of this task have is wide for sure:
-    it goes on as such, and its nodes get their count here, so that no token
+    it goes on as such, and its nodes get their count here (with whole sets: in
+    its range, from the tokens that each node holds there), so that no token
     brings more than its groups' nodes up to the limit from a task.
     """
     rows: list[tuple] = []
@@ -190,21 +197,19 @@ def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) ->
         groups = np.bincount(run[new | np.concatenate([[True], comp[owner][1:] != comp[owner][:-1]])], minlength=run[-1] + 1)
         known = (groups > limit)[run]
         out = []
-        if known.any():
+        if known.any() and top < 1 << 64:
             who, many = np.unique(owner[known], return_counts=True)
             out.append({"part": -1, "node": node[who].tobytes(), "size": many.astype(np.int64).tobytes()})
-        wide, keep = np.unique(token[known]), ~known
-        token, owner = token[keep], owner[keep]
         place = lambda t: ((t >> np.uint64(32)) * np.uint64(ranges) // np.uint64(max(1, top >> 32))).astype(np.int64)
-        at, wide_at = place(token), place(wide)
-        for p in np.union1d(at, wide_at).tolist():
+        at = place(token)
+        for p in np.unique(at).tolist():
             lo, hi = np.searchsorted(at, [p, p + 1])
-            a, b = np.searchsorted(wide_at, [p, p + 1])
-            mine, entry = np.unique(owner[lo:hi], return_inverse=True)
-            out.append({"part": p, "node": node[mine].tobytes(), "comp": comp[mine].tobytes(), "size": n[mine].astype(np.uint32).tobytes(),
-                        "entry": entry.astype(np.uint16 if len(mine) <= 65536 else np.uint32).tobytes(), "token": token[lo:hi].astype(np.uint32).tobytes(),
-                        "wide": wide[a:b].astype(np.uint32).tobytes()})
-        return pd.DataFrame(out, columns=["part", "node", "comp", "size", "entry", "token", "wide"])
+            mine, entry, held = np.unique(owner[lo:hi], return_inverse=True, return_counts=True)
+            keep = ~known[lo:hi]
+            out.append({"part": p, "node": node[mine].tobytes(), "comp": comp[mine].tobytes(), "size": n[mine].astype(np.uint32).tobytes(), "held": held.astype(np.uint32).tobytes(),
+                        "entry": entry[keep].astype(np.uint16 if len(mine) <= 65536 else np.uint32).tobytes(), "token": token[lo:hi][keep].astype(np.uint32).tobytes(),
+                        "wide": np.unique(token[lo:hi][~keep]).astype(np.uint32).tobytes()})
+        return pd.DataFrame(out, columns=["part", "node", "comp", "size", "held", "entry", "token", "wide"])
 
     for part in parts:
         for r in part.itertuples(index=False, name=None):
@@ -218,18 +223,77 @@ def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) ->
         yield flush()
 
 
-def _match(blocks: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """One token range: (q, g, hits) for each node and other group with a common token, and (q, wide) counts."""
+def _missing(n: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many tokens a set of ``n`` may miss in a set of at least ``other`` tokens that it links with."""
+    least = np.maximum(other, -(-n * PERCENT // 100))
+    return n - -(-(n + least) * PERCENT // (100 + PERCENT))
+
+
+class _Counts:
+    """Sums by key below ``cells``: in an array where more hits come than that has cells, else by sorting chunks."""
+
+    def __init__(self, cells: int, coming: int) -> None:
+        self.array = np.zeros(cells) if cells <= min(CELLS, coming) else None
+        self.keys, self.hits, self.waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, keys: np.ndarray, hits: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.hits.append(hits)
+        self.waiting += len(keys)
+        if self.waiting >= max(CHUNK, len(self.keys[0])):
+            self._sum()
+
+    def _sum(self) -> None:
+        keys, hits = np.concatenate(self.keys), np.concatenate(self.hits)
+        self.keys, self.hits, self.waiting = [keys[:0]], [hits[:0]], 0
+        if self.array is not None:
+            self.array += np.bincount(keys, weights=hits, minlength=len(self.array))
+        else:
+            found, at = np.unique(keys, return_inverse=True)
+            self.keys, self.hits = [found], [np.bincount(at, weights=hits, minlength=len(found)).astype(np.int64)]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        self._sum()
+        if self.array is None:
+            return self.keys[0], self.hits[0]
+        keys = np.flatnonzero(self.array)
+        return keys, self.array[keys].astype(np.int64)
+
+
+def _shares(steps: np.ndarray, which: np.ndarray, groups: int) -> list[tuple[int, int]]:
+    """Spans of nodes (indexes ``which``) to be counted one after the other: several where an array serves them best."""
+    nodes = int(which.max()) + 1
+    if int(steps.sum()) < nodes * groups:
+        return [(0, nodes)]
+    width = max(1, CELLS // groups)
+    return [(k, min(nodes, k + width)) for k in range(0, nodes, width)]
+
+
+def _match(blocks: pd.DataFrame, limit: int, whole: bool) -> pd.DataFrame:
+    """One token range: (q, g, hits) for each node and other group with a common token, and (q, wide) counts.
+
+    With ``whole`` sets only the pairs that this range lets through, and as
+    ``wide`` the size of each node about which this range says nothing.
+    """
     own = lambda column, kind: [np.frombuffer(x, kind) for x in blocks[column]]
     nodes, comps, sizes, tokens = own("node", np.int64), own("comp", np.int64), own("size", np.uint32), own("token", np.uint32)
     entries = [np.frombuffer(x, np.uint16 if len(k) <= 65536 else np.uint32) for x, k in zip(blocks["entry"], nodes)]
+    # every node of the range with its size, tokens in the range, and those of them that are not wide
+    names, at = np.unique(np.concatenate(nodes), return_inverse=True)
+    total, held, plain = (np.zeros(len(names), np.int64) for _ in range(3))
+    for into, values in ((total, sizes), (held, own("held", np.uint32)), (plain, [np.bincount(e, minlength=len(k)) for e, k in zip(entries, nodes)])):
+        np.maximum.at(into, at, np.concatenate(values).astype(np.int64))
+    groups_, at = np.unique(np.concatenate(comps), return_inverse=True)
+    smallest = np.full(len(groups_), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, at, np.concatenate(sizes).astype(np.int64))
+
     node, comp, size = (np.concatenate([x[e] for x, e in zip(xs, entries)]) for xs in (nodes, comps, sizes))
     size, token, wide = size.astype(np.int64), np.concatenate(tokens), np.unique(np.concatenate(own("wide", np.uint32)))
     # a token without company is of no use: most are so
     order = np.argsort(token, kind="stable")
     token = token[order]
     same = token[1:] == token[:-1]
-    keep = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | np.isin(token, wide)
+    keep = np.concatenate([same, [False]])[:len(token)] | np.concatenate([[False], same])[:len(token)] | np.isin(token, wide)
     order, token = order[keep], token[keep]
     node, comp, size = node[order], comp[order], size[order]
     order = np.lexsort((node, comp, token))
@@ -237,49 +301,57 @@ def _match(blocks: pd.DataFrame, limit: int) -> pd.DataFrame:
     again = np.zeros(len(token), bool)
     again[1:] = (token[1:] == token[:-1]) & (node[1:] == node[:-1])
     token, node, comp, size = token[~again], node[~again], comp[~again], size[~again]
-    if not len(token):
-        return pd.DataFrame({"q": [], "g": [], "hits": [], "wide": []}).astype("int64")
-    new = np.concatenate([[True], token[1:] != token[:-1]])
-    run = np.cumsum(new) - 1
-    group_new = new | np.concatenate([[True], comp[1:] != comp[:-1]])
-    groups = np.bincount(run[group_new], minlength=run[-1] + 1)
-    is_wide = ((groups > limit) | np.isin(token[new], wide))[run]
+    if len(token):
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        run = np.cumsum(new) - 1
+        group_new = new | np.concatenate([[True], comp[1:] != comp[:-1]])
+        groups = np.bincount(run[group_new], minlength=run[-1] + 1)
+        is_wide = ((groups > limit) | np.isin(token[new], wide))[run]
+        use = ~is_wide & (groups > 1)[run]
+    else:
+        is_wide = use = np.zeros(0, bool)
     who, many = np.unique(node[is_wide], return_counts=True)
+    plain[np.searchsorted(names, who)] -= many
+    if whole:
+        silent = plain * total <= _missing(total, np.zeros(len(names), np.int64)) * held
+        who, many = names[silent], total[silent]
     out = [pd.DataFrame({"q": who, "g": 0, "hits": 0, "wide": many})]
-    use = ~is_wide & (groups > 1)[run]
-    node, comp, size, run, group = node[use], comp[use], size[use], run[use], (np.cumsum(group_new) - 1)[use]
-    if len(node):
+    if use.any():
+        node, comp, size, run, group = node[use], comp[use], size[use], run[use], (np.cumsum(group_new) - 1)[use]
+        # tokens of the same nodes (those of a passage) count as one, as often as they are
+        start = np.concatenate([[True], run[1:] != run[:-1]])
+        run = np.cumsum(start) - 1
+        mark = np.add.reduceat(mixed(node.view(np.uint64)), np.flatnonzero(start)) + np.bincount(run).astype(np.uint64)
+        _, one, alike = np.unique(mark, return_index=True, return_counts=True)
+        times = np.zeros(len(mark), np.int64)
+        times[one] = alike
+        stays = (times > 0)[run]
+        node, comp, size, run, group = node[stays], comp[stays], size[stays], run[stays], group[stays]
         # every entry with every other group of its token: step over the groups of the run
         edge = np.concatenate([[True], group[1:] != group[:-1]])
         first, index = np.flatnonzero(edge), np.cumsum(edge) - 1
         of_run = run[first]
         lo, hi = np.minimum.reduceat(size, first), np.maximum.reduceat(size, first)
         begin, end = np.searchsorted(of_run, run, "left"), np.searchsorted(of_run, run, "right")
-        names, which = np.unique(node, return_inverse=True)
-        groups_, of = np.unique(comp[first], return_inverse=True)
-        counted, waiting, size_waiting = [], [], 0
-
-        def count() -> None:
-            nonlocal waiting, size_waiting
-            if waiting:
-                counted.append(np.unique(np.concatenate(waiting), return_counts=True))
-                waiting, size_waiting = [], 0
-
-        for step in range(int((end - begin).max())):
-            entry = np.flatnonzero(begin + step < end)
-            g = begin[entry] + step
-            # another group, with a member that has this token and whose size fits
-            ok = (g != index[entry]) & (hi[g] * 100 >= size[entry] * PERCENT) & (lo[g] * PERCENT <= size[entry] * 100)
-            waiting.append(which[entry[ok]] * np.int64(len(groups_)) + of[g[ok]])
-            size_waiting += len(waiting[-1])
-            if size_waiting >= CHUNK:
-                count()
-        count()
-        keys = np.concatenate([k for k, _ in counted])
-        if len(keys):
-            keys, at = np.unique(keys, return_inverse=True)
-            hits = np.bincount(at, weights=np.concatenate([c for _, c in counted])).astype(np.int64)
-            out.append(pd.DataFrame({"q": names[keys // len(groups_)], "g": groups_[keys % len(groups_)], "hits": hits, "wide": 0}))
+        which, of = np.searchsorted(names, node), np.searchsorted(groups_, comp[first])
+        met: list[tuple] = []
+        for lo_q, hi_q in _shares(end - begin, which, len(groups_)):
+            ours = np.flatnonzero((which >= lo_q) & (which < hi_q))
+            counts = _Counts((hi_q - lo_q) * len(groups_), int((end - begin)[ours].sum()))
+            for step in range(int((end - begin)[ours].max(initial=0))):
+                ours = ours[begin[ours] + step < end[ours]]
+                g = begin[ours] + step
+                # another group, with a member that has this token and whose size fits
+                ok = (g != index[ours]) & (hi[g] * 100 >= size[ours] * PERCENT) & (lo[g] * PERCENT <= size[ours] * 100)
+                entry, g = ours[ok], g[ok]
+                counts.add((which[entry] - lo_q) * np.int64(len(groups_)) + of[g], times[run[entry]])
+            key, hit = counts.result()
+            met.append((lo_q + key // len(groups_), key % len(groups_), hit))
+        q, g, hit = (np.concatenate(x) for x in zip(*met))
+        if whole:
+            through = (plain[q] - hit) * total[q] <= _missing(total[q], smallest[g]) * held[q]
+            q, g, hit = q[through], g[through], hit[through]
+        out.append(pd.DataFrame({"q": names[q], "g": groups_[g], "hits": hit, "wide": 0}))
     return pd.concat(out)[["q", "g", "hits", "wide"]].astype("int64")
 
 
@@ -289,6 +361,7 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
     ``nodes``: node, comp, many (nodes of its group), n, z. ``tokens``: node and
     its ``z`` tokens below ``top``. Every node must be in both.
     """
+    whole = top == 1 << 64
     total = nodes.agg(F.sum("z")).first()[0] or 0
     ranges = max(1, min(2 * shuffle_parts(nodes.sparkSession), total // RANGE_TOKENS))
     rows = tokens.join(nodes.select("node", "comp", "n"), "node").select("node", "comp", "n", "tokens")
@@ -296,7 +369,7 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
         if part["part"].iloc[0] >= 0:
-            return _match(part, limit)
+            return _match(part, limit, whole)
         return pd.concat([pd.DataFrame({"q": np.frombuffer(a, np.int64), "g": 0, "hits": 0, "wide": np.frombuffer(b, np.int64)}) for a, b in zip(part["node"], part["size"])])
 
     # the tasks' own counts (part -1) are dealt out by row, not to one task
@@ -311,10 +384,12 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
     hits = found.where("hits > 0").groupBy("q", "g").agg(F.sum("hits").alias("hits"))
     asked = hits.join(sure.select(F.col("node").alias("q"), F.col("many").alias("mq"), F.col("n").alias("nq"), (F.col("z") - F.col("w") - F.col("n")).alias("free"), "need"), "q")
     members = sure.select(F.col("comp").alias("g"), F.col("node").alias("b"), F.col("many").alias("mb"), F.col("n").alias("nb"), (F.col("need") >= 1).alias("b_sure"))
-    opened = asked.where("need >= 1 and hits >= need").join(members, "g").where(_fits(F.col("nq"), F.col("nb")))
-    # a group of one: the overlap that this pair needs
-    overlap = F.ceil((F.col("nq") + F.col("nb")) * PERCENT / F.lit(100 + PERCENT))
-    opened = opened.where((F.col("mb") > 1) | (F.col("hits") >= F.col("free") + overlap))
+    # with whole sets the ranges have judged
+    opened = asked.where("need >= 1" if whole else "need >= 1 and hits >= need").join(members, "g").where(_fits(F.col("nq"), F.col("nb")))
+    if not whole:
+        # a group of one: the overlap that this pair needs
+        overlap = F.ceil((F.col("nq") + F.col("nb")) * PERCENT / F.lit(100 + PERCENT))
+        opened = opened.where((F.col("mb") > 1) | (F.col("hits") >= F.col("free") + overlap))
     # the member's own row about a group of one has decided better; of two such rows one is enough
     settled = (F.col("mq") == 1) & F.col("b_sure") & ((F.col("mb") > 1) | (F.col("q") < F.col("b")))
     pairs = opened.where(~settled).select(F.greatest("q", "b").alias("a"), F.least("q", "b").alias("b")).distinct()
