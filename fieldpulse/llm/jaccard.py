@@ -61,6 +61,8 @@ FLUSH, RANGE_TOKENS = 1_000_000, 1_000_000
 CHUNK = 2_000_000
 #: Cells of an array of counts (nodes x groups); more are counted span by span.
 CELLS = 4_000_000
+#: Sums of pairs that a task keeps before it passes them on.
+MOST_SUMS = 4_000_000
 #: Node ids that may be broadcast to fetch their texts; more go through a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -367,14 +369,38 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
     rows = tokens.join(nodes.select("node", "comp", "n"), "node").select("node", "comp", "n", "tokens")
     blocks = written(rows.mapInPandas(lambda parts: _blocks(parts, ranges, top, limit), BLOCK), "blocks")
 
-    def match(part: pd.DataFrame) -> pd.DataFrame:
-        if part["part"].iloc[0] >= 0:
-            return _match(part, limit, whole)
-        return pd.concat([pd.DataFrame({"q": np.frombuffer(a, np.int64), "g": 0, "hits": 0, "wide": np.frombuffer(b, np.int64)}) for a, b in zip(part["node"], part["size"])])
-
-    # the tasks' own counts (part -1) are dealt out by row, not to one task
+    def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the ranges of a task come one after the other; their counts are summed before rows are made
+        sums, fresh, waiting, gathered = pd.DataFrame({"q": [], "g": [], "hits": [], "wide": []}).astype("int64"), [], 0, []
+
+        def add(found: pd.DataFrame) -> None:
+            nonlocal sums, fresh, waiting
+            fresh.append(found)
+            waiting += len(found)
+            if waiting >= max(CHUNK, len(sums)):
+                sums, fresh, waiting = pd.concat([sums, *fresh]).groupby(["q", "g"], as_index=False, sort=False).sum(), [], 0
+
+        for rows in parts:
+            for k, range_rows in rows.groupby("part", sort=True):
+                if k < 0:
+                    add(pd.DataFrame({"q": np.frombuffer(b"".join(range_rows["node"]), np.int64), "g": 0, "hits": 0, "wide": np.frombuffer(b"".join(range_rows["size"]), np.int64)}))
+                    continue
+                if gathered and gathered[0]["part"].iloc[0] != k:
+                    add(_match(pd.concat(gathered), limit, whole))
+                    gathered = []
+                gathered.append(range_rows)
+            if len(sums) >= MOST_SUMS:
+                # more than a task should hold: these go on as rows, and are summed after the shuffle
+                yield sums
+                sums = sums.iloc[:0]
+        if gathered:
+            add(_match(pd.concat(gathered), limit, whole))
+        yield pd.concat([sums, *fresh]).groupby(["q", "g"], as_index=False, sort=False).sum()
+
+    # a task has several ranges; the tasks' own counts (part -1) are dealt out by row
+    tasks = max(1, min(ranges, shuffle_parts(nodes.sparkSession) // 2))
     key = F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.pmod(F.xxhash64("node"), F.lit(ranges)).cast("int"))
-    found = written(blocks.withColumn("key", key).groupBy("key").applyInPandas(match, FOUND), "found")
+    found = written(blocks.repartition(tasks, key).sortWithinPartitions("part").mapInPandas(match, FOUND), "found")
     discard(blocks)
     wide = found.where("wide > 0").groupBy(F.col("q").alias("node")).agg(F.sum("wide").alias("w"))
     missing = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
