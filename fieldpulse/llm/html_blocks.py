@@ -5,8 +5,9 @@ described by its words and link density, those of the blocks before and after
 it, and by where it stands: inside an article or main element, inside an
 element that holds no article text (menus, headers, footers, sidebars, notices,
 adverts, forms, comments), a heading or not, and whether the page marks its
-main part at all. A decision tree, grown on the small labelled table below,
-says which blocks are article text.
+main part at all. Marks by a class or id, and forms, are weak: words and links
+of a block and its neighbours decide there. A decision tree, grown on the
+labelled cases below, says which blocks are article text.
 
 Text inside script, style and the like never becomes a block. Pages are
 independent, so Spark deals them out and a task holds one batch of pages.
@@ -20,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,7 +38,12 @@ BOILER_WORDS = frozenset(
     "related recommended recommendations comment comments reply replies discussion disqus respond menu nav navbar navigation breadcrumb "
     "breadcrumbs pagination pager toolbar masthead topbar footer copyright legal search form".split())
 MAIN_WORDS = frozenset("article main content post entry story maincontent articlebody".split())
-_TOKEN = re.compile(r"[a-z]+")
+#: Further parts that a compound name of such an element may have: "has-sidebar" names a wrapper, "sidebar-box" the thing itself.
+NAME_PARTS = frozenset(
+    "bar bars box block area list lists item items wrap wrapper container inner outer section group site main global page top bottom left right "
+    "primary secondary post posts article articles entry entries stories link links icon icons button buttons text title".split())
+MAIN_PARTS = frozenset("body text area wrap wrapper container inner outer section block page single site primary blog news title lead intro header".split())
+_TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
@@ -46,8 +53,8 @@ class Block:
     text: str
     words: int
     linked: int
-    main: bool
-    boiler: bool
+    main: int  # 2: inside an element that is a main part, 1: only inside one that is named so, 0: neither
+    boiler: int  # the same for elements that hold no article text
     heading: bool
 
     @property
@@ -55,41 +62,55 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def _marks(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element marks the main part, and whether it marks text that isn't the article's."""
-    main, boiler = tag in ("article", "main"), tag in BOILER_TAGS or (tag == "header" and not in_main)
+def _named(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names the main part, and whether it names text that isn't the article's: whole names only."""
+    main = boiler = False
+    for name in value.split():
+        words = {w.lower() for w in _TOKEN.findall(name)}
+        main |= not MAIN_WORDS.isdisjoint(words) and words <= MAIN_WORDS | MAIN_PARTS
+        boiler |= not BOILER_WORDS.isdisjoint(words) and words <= BOILER_WORDS | NAME_PARTS
+    return main, boiler
+
+
+def _marks(tag: str, attributes: str, in_main: bool) -> tuple[int, int]:
+    """How far an element marks the main part, and text that isn't the article's: 2 by what it is, 1 by its name or as a form."""
+    main = 2 * (tag in ("article", "main"))
+    boiler = 1 if tag == "form" else 2 * (tag in BOILER_TAGS or (tag == "header" and not in_main))
     if attributes and tag not in ("body", "html"):
         for name, a, b, c in _ATTR.findall(attributes):
-            name, value = name.lower(), (a or b or c).lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                boiler = True
+            name, value = name.lower(), a or b or c
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+                boiler = 2
             elif name == "role":
-                main |= value in ("main", "article")
-                boiler |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu")
+                value = value.lower()
+                main = max(main, 2 * (value in ("main", "article")))
+                boiler = max(boiler, 2 * (value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu")))
             elif name != "aria-label":
-                words = _TOKEN.findall(value)
-                boiler |= not BOILER_WORDS.isdisjoint(words)
-                main |= not boiler and not MAIN_WORDS.isdisjoint(words)
-    return main and not boiler, boiler
+                named, other = _named(value)
+                main, boiler = max(main, int(named)), max(boiler, int(other))
+    return main, boiler
 
 
 def blocks(page: str) -> list[Block]:
     """Flat text blocks in page order; blocks without words are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements (inline ones only if marked): tag, main, boiler
+    stack: list[tuple[str, int, int]] = []  # open elements (inline ones only if marked): tag, main, boiler
     opened: Counter[str] = Counter()  # how many of each tag, and of each mark, are open
     pieces: list[str] = []
     linked = links = 0
     heading = False
 
-    def push(tag: str, main: bool, boiler: bool) -> None:
+    def push(tag: str, main: int, boiler: int) -> None:
         stack.append((tag, main, boiler))
-        opened.update({tag: 1, "*main": main, "*boiler": boiler})
+        opened.update((tag, f"*main{main}", f"*boiler{boiler}"))
+
+    def level(mark: str) -> int:
+        return 2 if opened[mark + "2"] else int(opened[mark + "1"] > 0)
 
     def pop_to(tag: str) -> None:
         while opened[tag]:
             own, main, boiler = stack.pop()
-            opened.subtract({own: 1, "*main": main, "*boiler": boiler})
+            opened.subtract((own, f"*main{main}", f"*boiler{boiler}"))
             if own == tag:
                 break
 
@@ -98,7 +119,7 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             words = "".join(pieces).split()
             if words:
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), opened["*main"] > 0, opened["*boiler"] > 0, heading))
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), level("*main"), level("*boiler"), heading))
             pieces.clear()
         linked = 0
 
@@ -165,12 +186,12 @@ def blocks(page: str) -> list[Block]:
             if tag not in INLINE:
                 flush()
             continue
-        main, boiler = _marks(tag, attributes, opened["*main"] > 0)
+        main, boiler = _marks(tag, attributes, level("*main") > 0)
         links += tag == "a"
         if tag in INLINE:
             if boiler:  # an inline element that holds no article text is a block of its own
                 flush()
-                push(tag, False, True)
+                push(tag, 0, boiler)
             continue
         flush()
         if tag in ("p", "div", "article", "main", "section"):
@@ -184,57 +205,60 @@ def blocks(page: str) -> list[Block]:
 
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "main", "boiler", "marked", "heading")
-#: The labelled table, in the order of FEATURES; the last value is 1 for article text.
-LABELLED = (
-    # pages that mark their main part: what stands in it is the article, short or long
-    (120, 0.0, 9, 0.0, 80, 0.0, 1, 0, 1, 0, 1), (60, 0.05, 120, 0.0, 2, 0.0, 1, 0, 1, 0, 1), (2, 0.0, 60, 0.0, 45, 0.0, 1, 0, 1, 0, 1),
-    (9, 0.0, 8, 0.0, 120, 0.0, 1, 0, 1, 1, 1), (1, 0.0, 12, 0.0, 15, 1.0, 1, 0, 1, 0, 1), (30, 0.4, 20, 0.0, 12, 0.0, 1, 0, 1, 0, 1),
-    (4, 1.0, 50, 0.0, 60, 0.0, 1, 0, 1, 0, 1), (300, 0.01, 5, 1.0, 14, 0.0, 1, 0, 1, 0, 1), (7, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1, 0, 1),
-    (3, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1, 1, 1), (18, 0.0, 300, 0.0, 9, 0.1, 1, 0, 1, 0, 1), (25, 0.9, 30, 0.0, 30, 0.0, 1, 0, 1, 0, 1),
-    # menus, notices, adverts, comments and the like, wherever they stand
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0, 0), (9, 0.0, 1, 1.0, 10, 0.0, 0, 1, 1, 0, 0), (14, 0.0, 40, 0.0, 0, 0.0, 0, 1, 1, 0, 0),
-    (60, 0.0, 80, 0.0, 30, 0.0, 1, 1, 1, 0, 0), (25, 0.1, 60, 0.0, 12, 0.0, 1, 1, 1, 0, 0), (3, 0.0, 60, 0.0, 40, 0.0, 1, 1, 1, 1, 0),
-    (150, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0, 0, 0), (6, 1.0, 6, 1.0, 6, 1.0, 0, 1, 0, 0, 0), (40, 0.0, 3, 0.0, 9, 0.0, 0, 1, 0, 0, 0),
-    (12, 0.0, 1, 1.0, 100, 0.0, 0, 1, 0, 0, 0), (5, 0.0, 3, 0.0, 50, 0.0, 0, 1, 0, 1, 0), (90, 0.0, 0, 0.0, 60, 0.0, 1, 1, 1, 0, 0),
-    # what stands outside a marked main part
-    (10, 0.0, 1, 1.0, 90, 0.0, 0, 0, 1, 0, 0), (40, 0.0, 60, 0.0, 12, 0.3, 0, 0, 1, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 1, 0, 0),
-    (5, 0.0, 0, 0.0, 1, 1.0, 0, 0, 1, 1, 0), (80, 0.0, 3, 0.0, 3, 0.0, 0, 0, 1, 0, 0), (16, 0.2, 30, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
-    # pages that mark nothing: long text with few links, and what stands between such text
-    (80, 0.0, 10, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (35, 0.05, 90, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (22, 0.1, 30, 0.0, 25, 0.0, 0, 0, 0, 0, 1),
-    (6, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (4, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0, 1, 1), (8, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 1, 1),
-    (150, 0.2, 5, 1.0, 2, 1.0, 0, 0, 0, 0, 1), (30, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 1), (12, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 0, 1),
-    (17, 0.0, 22, 0.0, 5, 0.0, 0, 0, 0, 0, 1), (13, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (20, 0.1, 4, 0.0, 3, 0.0, 0, 0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (5, 1.0, 4, 1.0, 6, 1.0, 0, 0, 0, 0, 0), (30, 0.8, 20, 0.0, 25, 0.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (6, 0.5, 40, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 5, 0.0, 0, 0, 0, 0, 0),
-    (2, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 0, 0), (7, 0.0, 6, 0.6, 4, 0.5, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 1, 0),
-    (15, 0.6, 9, 0.5, 12, 0.7, 0, 0, 0, 0, 0), (60, 0.9, 30, 0.9, 40, 0.8, 0, 0, 0, 0, 0), (5, 0.0, 25, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+# (words, density) of sample blocks, and of what stands before or after them
+_SHORT, _MID, _LONG, _LINK = ((1, 0.0), (9, 0.1)), ((16, 0.0), (28, 0.2)), ((45, 0.0), (80, 0.1), (200, 0.0)), ((1, 1.0), (10, 0.8), (35, 0.9))
+_FEW, _MANY, _LINKS = ((0, 0.0), (3, 0.0), (20, 0.0)), ((45, 0.1), (120, 0.0)), ((1, 1.0), (12, 0.8))
+_TEXT, _ANY, _BOTH = _FEW + _MANY, _FEW + _MANY + _LINKS, (0, 1)
+# (main, boiler, marked): in a main part, in one by name, on a page that marks none, outside a main part
+_IN, _NAMED, _PLAIN, _OUT = ((2, 0, 2),), ((1, 0, 1), (1, 0, 2)), ((0, 0, 0), (2, 1, 0)), ((0, 0, 2), (2, 1, 2), (0, 1, 2))
+# ... outside a part that is main by name only, or in what is boiler by name only; in what is boiler by what it is
+_LOOSE, _BOILER = ((0, 0, 1), (0, 1, 0), (1, 1, 0), (1, 1, 1), (0, 1, 1)), ((0, 2, 0), (0, 2, 2), (2, 2, 2), (1, 2, 1))
+#: Labelled cases: every combination of (blocks, those before, those after, marks, heading) has the label, 1 for article text.
+_CASES = (
+    # in a main part text is the article's, short or long; links are it between text, in a run of links not
+    (_SHORT + _MID + _LONG, _ANY, _ANY, _IN, _BOTH, 1),
+    (_LINK, _TEXT, _TEXT, _IN + _NAMED, (0,), 1), (_LINK, _LINKS, _ANY, _IN + _NAMED, (0,), 0), (_LINK, _TEXT, _LINKS, _IN + _NAMED, (0,), 0),
+    # a wrapper that is only named so may hold menus too
+    (_MID + _LONG, _ANY, _ANY, _NAMED, _BOTH, 1), (_SHORT, _TEXT, _ANY, _NAMED, _BOTH, 1), (_SHORT, _LINKS, _TEXT, _NAMED, _BOTH, 1), (_SHORT, _LINKS, _LINKS, _NAMED, _BOTH, 0),
+    # pages that mark nothing: long text, and what stands between such text
+    (_LONG + _MID[1:], _ANY, _ANY, _PLAIN, _BOTH, 1), (_MID[:1], _TEXT, _ANY, _PLAIN, (0,), 1), (_MID[:1], _LINKS, _TEXT, _PLAIN, (0,), 1), (_MID[:1], _LINKS, _LINKS, _PLAIN, (0,), 0),
+    (_SHORT + _LINK, _MANY, _MANY, _PLAIN, (0,), 1), (_SHORT + _LINK, _FEW + _LINKS, _ANY, _PLAIN, (0,), 0), (_SHORT + _LINK, _MANY, _FEW + _LINKS, _PLAIN, (0,), 0),
+    (_SHORT, _ANY, _MANY, _PLAIN, (1,), 1), (_SHORT, _ANY, _FEW + _LINKS, _PLAIN, (1,), 0),
+    # where names speak against it: long text with more of it on one side and no links on the other
+    (_LONG, _MANY, _TEXT, _LOOSE, _BOTH, 1), (_LONG, _FEW, _MANY, _LOOSE, _BOTH, 1), (_LONG, _LINKS, _ANY, _LOOSE, _BOTH, 0), (_LONG, _MANY, _LINKS, _LOOSE, _BOTH, 0),
+    (_LONG, _FEW, _FEW + _LINKS, _LOOSE, _BOTH, 0), (_SHORT + _MID + _LINK, _ANY, _ANY, _LOOSE, _BOTH, 0),
+    # where the page has a main part elsewhere: long text with more of it on both sides
+    (_LONG, _MANY, _MANY, _OUT, _BOTH, 1), (_LONG, _FEW + _LINKS, _ANY, _OUT, _BOTH, 0), (_LONG, _MANY, _FEW + _LINKS, _OUT, _BOTH, 0), (_SHORT + _MID + _LINK, _ANY, _ANY, _OUT, _BOTH, 0),
+    # menus, asides, hidden text and the like: never
+    (_SHORT + _MID + _LONG + _LINK, _FEW[1:2] + _MANY[1:] + _LINKS[:1], _FEW[1:2] + _MANY[1:] + _LINKS[:1], _BOILER, _BOTH, 0),
 )
+#: The labelled table, in the order of FEATURES (main, boiler and marked: 0 to 2); the last value is the label.
+LABELLED = tuple((*own, *before, *after, *marks, heading, label) for *case, label in _CASES for own, before, after, marks, heading in product(*case))
 
 
-def grow(rows: tuple, depth: int = 6):
+def grow(rows: tuple, depth: int = 20):
     """A binary decision tree by Gini impurity: a label, or (feature, threshold, tree up to it, tree above it)."""
     ones = sum(r[-1] for r in rows)
     majority = int(2 * ones >= len(rows))
     if depth == 0 or ones in (0, len(rows)):
         return majority
 
-    def impurity(part: list) -> float:
-        p = sum(r[-1] for r in part) / len(part)
-        return len(part) * p * (1 - p)
+    def impurity(n: int, ones: int) -> float:
+        return ones * (n - ones) / n
 
     best = None
     for j in range(len(rows[0]) - 1):
-        values = sorted({r[j] for r in rows})
+        n, good = Counter(r[j] for r in rows), Counter(r[j] for r in rows if r[-1])
+        values, below, hits = sorted(n), 0, 0
         for a, b in zip(values, values[1:]):
-            t = (a + b) / 2
-            low, high = [r for r in rows if r[j] <= t], [r for r in rows if r[j] > t]
-            score = impurity(low) + impurity(high)
+            below, hits = below + n[a], hits + good[a]
+            score = impurity(below, hits) + impurity(len(rows) - below, ones - hits)
             if best is None or score < best[0] - 1e-12:  # ties: the earlier feature, the lower threshold
-                best = score, j, t, low, high
+                best = score, j, (a + b) / 2
     if best is None:
         return majority
-    _, j, t, low, high = best
-    return j, t, grow(tuple(low), depth - 1), grow(tuple(high), depth - 1)
+    _, j, t = best
+    return j, t, grow(tuple(r for r in rows if r[j] <= t), depth - 1), grow(tuple(r for r in rows if r[j] > t), depth - 1)
 
 
 @lru_cache(maxsize=1)
@@ -251,9 +275,9 @@ def classify(features: tuple, node) -> int:
 
 def described(found: list[Block]) -> list[tuple]:
     """FEATURES of each block; beyond the first and the last block there are 0 words."""
-    marked = int(any(b.main and not b.boiler for b in found))
+    marked = max((b.main for b in found if not b.boiler), default=0)
     around = [(0, 0.0), *((b.words, b.density) for b in found), (0, 0.0)]
-    return [(b.words, b.density, *around[i], *around[i + 2], int(b.main), int(b.boiler), marked, int(b.heading)) for i, b in enumerate(found)]
+    return [(b.words, b.density, *around[i], *around[i + 2], b.main, b.boiler, marked, int(b.heading)) for i, b in enumerate(found)]
 
 
 def main_text(page: str | None) -> str:

@@ -72,6 +72,46 @@ def test_pages_with_nulls(spark):
     assert html_blocks.extract(pages.limit(0)).count() == 0
 
 
+def prose(tag, n):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+def kept(page):
+    """Leading words of the blocks that stay, without their number."""
+    return [x.split()[0].rstrip("0") for x in html_blocks.main_text(page).split("\n\n") if x]
+
+
+def test_names_of_wrappers_do_not_decide():
+    body = "".join(f"<p>{prose(t, 60)}</p>" for t in "abc")
+    for open_, close in (('<div class="content has-sidebar">', "</div>"), ('<div id="content-sidebar-wrap">', "</div>"), ('<article class="post comment-status-open">', "</article>"),
+                         ('<form id="aspnetForm">', "</form>"), ('<div class="widget">', "</div>")):
+        assert kept(f"<body>{open_}{body}{close}</body>") == ["a", "b", "c"], open_
+    assert kept(f'<form><article><h1>h0 title</h1>{body}</article></form>') == ["h", "a", "b", "c"]
+    # names that are whole still tell short text and text among links
+    assert kept(f'<article>{body}<div class="share-bar">s0 this</div>{body}</article>') == ["a", "b", "c"] * 2
+    comment = f"<p>John</p><p>{prose('z', 60)}</p><a href=r>Reply</a>"
+    assert kept(f'<article>{body}</article><section class="comments">{comment * 3}</section>') == ["a", "b", "c"]
+
+
+def test_neighbours_decide_about_equal_blocks():
+    links, short, long = "<p><a href=x>more links here</a></p>", "<p>s0 short</p>", f"<p>{prose('t', 60)}</p>"
+    # (block, before, after) with the same words, density and marks
+    def one(block, before, after, wrap="{}"):
+        page = wrap.format(before + block + after)
+        found = html_blocks.blocks(page)
+        return html_blocks.classify(html_blocks.described(found)[len(html_blocks.blocks(before))], html_blocks.tree())
+    assert one(links, long, long, "<main>{}</main>") == 1 and one(links, links, links, "<main>{}</main>") == 0
+    assert one(short, long, long) == 1 and one(short, links, links) == 0
+    inner = '<main><p>x</p></main><div>{}</div>'
+    assert one(long, long, long, '<div class="widget">{}</div>') == 1 and one(long, links, links, '<div class="widget">{}</div>') == 0
+    found = html_blocks.blocks(inner.format(long * 3))
+    assert [html_blocks.classify(x, html_blocks.tree()) for x in html_blocks.described(found)] == [1, 0, 1, 0]
+
+    def used(node):
+        return set() if isinstance(node, int) else {html_blocks.FEATURES[node[0]]} | used(node[2]) | used(node[3])
+    assert used(html_blocks.tree()) == set(html_blocks.FEATURES)
+
+
 def brute_best_fit(items, capacity):
     bins, out = [], []
     for size, source, cluster in items:
