@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video title textarea select".split())
+#: Of these, the ones that hold the rest of the page when they are left open.
+RAW_TO_END = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr input".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -45,7 +47,10 @@ NAME_PARTS = frozenset(
 MAIN_PARTS = frozenset("body text area wrap wrapper container inner outer section block page single site primary blog news title lead intro header".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: The rest of a tag whose quotes balance: values in either kind of quotes, or without any.
+_END = re.compile(r"""(?:[^<>="']++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>"'][^\s<>]*+)?+)*+>""")
+_ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'][^\s]*)))?""")
+MARKING = frozenset("class id role itemprop hidden aria-hidden".split())
 
 
 @dataclass
@@ -79,13 +84,15 @@ def _marks(tag: str, attributes: str, in_main: bool) -> tuple[int, int]:
     if attributes and tag not in ("body", "html"):
         for name, a, b, c in _ATTR.findall(attributes):
             name, value = name.lower(), a or b or c
+            if name not in MARKING:
+                continue
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                 boiler = 2
             elif name == "role":
                 value = value.lower()
                 main = max(main, 2 * (value in ("main", "article")))
                 boiler = max(boiler, 2 * (value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu")))
-            elif name != "aria-label":
+            elif name != "aria-hidden":
                 named, other = _named(value)
                 main, boiler = max(main, int(named)), max(boiler, int(other))
     return main, boiler
@@ -131,7 +138,8 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text.split())
 
-    at, size, balanced = 0, len(page), True
+    at, size = 0, len(page)
+    unclosed: set[str] = set()
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -151,17 +159,11 @@ def blocks(page: str) -> list[Block]:
             add("<")
             at = lt + 1
             continue
-        end = page.find(">", m.end())
+        # a ">" inside a quoted value doesn't end the tag; where quotes don't balance the first one does
+        whole = _END.match(page, m.end())
+        end = whole.end() - 1 if whole else page.find(">", m.end())
         if end < 0:  # a tag that the page's end cuts off
             break
-        # a ">" inside a quoted value doesn't end the tag
-        while balanced and page.count('"', m.end(), end) % 2:
-            quote = page.find('"', end)
-            later = page.find(">", quote) if quote >= 0 else -1
-            if later < 0:
-                balanced = False
-            else:
-                end = later
         attributes, tag, at = page[m.end():end], m[2].lower(), end + 1
         if m[1]:
             if tag == "a":
@@ -172,12 +174,16 @@ def blocks(page: str) -> list[Block]:
                 pop_to(tag)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at) if not attributes.endswith("/") else None
+            if attributes.endswith("/") or tag in unclosed:
+                continue
+            close = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(page, at)
             if close:
                 end = page.find(">", close.end())
                 at = size if end < 0 else end + 1
-            elif not attributes.endswith("/"):
+            elif tag in RAW_TO_END:
                 at = size
+            else:  # what follows is the page's text
+                unclosed.add(tag)
             continue
         if tag == "br":
             pieces.append(" ")

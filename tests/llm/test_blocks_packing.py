@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -93,6 +94,20 @@ def test_names_of_wrappers_do_not_decide():
     assert kept(f'<article>{body}</article><section class="comments">{comment * 3}</section>') == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("tag", ["""<a title='5" pipe'>""", """<a href="x"">""", """<a href="x>""", """<a title='a > b' class="x">""", """<a alt=it's>""", """<a title="a > b">""",
+                                 """<a title='see class=ad'>""", """<b title="has > role=menu hidden ">""", "<svg>", "<video controls>", "<object data=x>", "<select>"])
+def test_odd_tags_keep_the_rest_of_the_page(tag):
+    page = f'<article><p>one {tag}two</p><p class="x">three <a href="y">four</a></p><p id="z">five</p></article>'
+    assert html_blocks.main_text(page) == "one two\n\nthree four\n\nfive"
+
+
+@pytest.mark.parametrize("part", ['<a b=">"', "<a b='>", """<a b="'>""", "<svg>", '<a b="" c=', "<a b='\"", "<a =", '<p title="'])
+def test_odd_tags_take_time_in_proportion(part):
+    start = time.process_time()
+    html_blocks.blocks(part * (1_000_000 // len(part)) + "\">'")
+    assert time.process_time() - start < 20
+
+
 def test_neighbours_decide_about_equal_blocks():
     links, short, long = "<p><a href=x>more links here</a></p>", "<p>s0 short</p>", f"<p>{prose('t', 60)}</p>"
     # (block, before, after) with the same words, density and marks
