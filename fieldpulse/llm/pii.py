@@ -46,6 +46,8 @@ FURTHER = {
     "local": r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 KINDS = (*BASE, *FURTHER)
+#: Further kinds whose check proves that a candidate is nobody's, as Luhn does for cards.
+PROOF = ("national", "account")
 LABELERS = ("shape", "listed", "cues", "borders", "check")
 
 # Gazetteers and cue words
@@ -60,6 +62,18 @@ CUES = {
     "phone": "phone|tel|call|mobile|fax|telefon|ruf", "name": "name|mr|mrs|ms|dr|herr|frau|madame|monsieur|signed|by",
     "national": "ssn|social|security|id", "account": "iban|account|konto|cuenta|compte", "local": "phone|tel|call|mobile|fax|ruf",
 }
+#: Area codes of the larger cities of the numbering plan that ``local`` follows.
+AREA_CODES = ("201", "202", "206", "212", "213", "214", "215", "301", "303", "305", "310", "312", "313", "314", "317", "404", "408", "410", "412", "415",
+              "416", "469", "503", "504", "509", "510", "512", "514", "516", "602", "604", "612", "614", "615", "617", "619", "646", "650", "702", "703",
+              "704", "713", "714", "716", "718", "720", "773", "778", "800", "801", "802", "804", "813", "816", "817", "818", "832", "847", "858", "877",
+              "888", "901", "904", "914", "915", "916", "917", "919", "925", "949", "954", "972", "973")
+#: Numbers that were printed in public and are nobody's.
+VOID_NATIONAL = ("078-05-1120", "219-09-9999", "457-55-5462", "123-45-6789")
+#: Capitalised words that begin sentences or stand in titles.
+NOT_NAMES = ("The", "This", "That", "These", "Those", "At", "In", "On", "Of", "And", "Or", "But", "For", "From", "With", "To", "It", "He", "She", "We",
+             "You", "They", "Is", "Are", "Was", "If", "As", "By", "An", "Not", "License", "Licence", "Public", "General", "Version", "Street", "Avenue",
+             "University", "Company", "Inc", "Corporation", "Foundation", "Copyright", "All", "Rights", "Software", "Apache", "Der", "Die", "Das", "Und",
+             "Le", "La", "Les", "Des", "Et", "El", "Los", "Las", "Un", "Une", "Una")
 AGAINST = "version|isbn|order|invoice|token|sha|page|chapter|figure|section|key"
 
 
@@ -78,6 +92,18 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda acc, i: acc + value(i)) % 10 == 0
 
 
+def _mod97(s: Column) -> Column:
+    """Whether an account number's check digits are right: its first four signs moved to the end and letters as 10 to 35, it leaves 1 modulo 97."""
+    signs = F.regexp_replace(s, " ", "")
+    turned = F.concat(F.substring(signs, F.lit(5), F.length(signs)), F.substring(signs, 1, 4))
+
+    def add(acc: Column, i: Column) -> Column:
+        code = F.ascii(F.substring(turned, i, F.lit(1)))
+        return F.when(code <= 57, acc * 10 + code - 48).otherwise(acc * 100 + code - 55) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
+
+
 def _passes(kind: str, s: Column) -> Column:
     """Whether a match of the base pattern is a base span."""
     if kind == "ip":
@@ -106,7 +132,8 @@ def _shape(kind: str, s: Column) -> Column:
         "card": lambda: _in_or_not(F.length(_digits(s)).isin(15, 16)),
         "phone": lambda: _vote(s.rlike(r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]")),
         "name": lambda: _in_or_not(s.rlike(r"^[A-Z][a-z]{2,10} [A-Z][a-z]{2,12}$")),
-        "national": lambda: _in_or_not(~s.rlike(r"^(000|666|9..)|-00-|-0000$")),
+        # neither one digit throughout nor digits counted up or down
+        "national": lambda: _in_or_not(~_digits(s).rlike(r"^([0-9])\1{8}$") & ~_digits(s).isin("012345678", "123456789", "987654321", "876543210")),
         "account": lambda: _in_or_not(F.length(F.replace(s, F.lit(" "), F.lit(""))).between(15, 34)),
         "local": lambda: _in_or_not(s.rlike(r"^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$|^([0-9]{3})([.-])[0-9]{3}\2[0-9]{4}$")),
     }[kind]()
@@ -119,14 +146,26 @@ def _listed(kind: str, s: Column) -> Column:
         "card": lambda: _in_or_not(_digits(s).rlike(CARD_STARTS)),
         "phone": lambda: _vote(s.rlike(r"^\+(1|33|34|39|41|43|44|49|52|54|55|61|81|86|91)")),
         "name": lambda: _in_or_not(F.substring_index(s, " ", 1).isin(*GIVEN_NAMES)),
-        "national": lambda: F.lit(0),
+        # area numbers given out by state
+        "national": lambda: _vote(F.substring(s, 1, 3).cast("int").between(1, 772) & ~s.startswith("666")),
         "account": lambda: _in_or_not(F.substring(s, 1, 2).isin(*ACCOUNT_COUNTRIES)),
-        "local": lambda: F.lit(0),
+        "local": lambda: _vote(F.substring(_digits(s), 1, 3).isin(*AREA_CODES)),
     }[kind]()
 
 
 def _check(kind: str, s: Column) -> Column:
-    return F.lit(1) if kind in ("ip", "card") else F.lit(0)
+    """Check digits, or where a kind has none the rules of its numbers and names. (Luhn and 0 to 255 hold for every card and ip: these are what is left.)"""
+    digits = _digits(s)
+    return {
+        "email": lambda: _in_or_not(~s.rlike(r"^\.|\.\.|\.@|@-|-\.|\.-|-$") & ~F.substring_index(s, ".", -1).rlike("^[0-9]+$")),
+        "ip": lambda: _in_or_not(s.rlike(r"^0*([1-9][0-9]?|1[0-9]{2}|2[01][0-9]|22[0-3])\.") & ~s.rlike(r"\.0*(0|255)$")),  # a single host's
+        "card": lambda: _in_or_not(digits.rlike("^(4([0-9]{12}|[0-9]{15}|[0-9]{18})|(5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|(6011|65[0-9]{2})[0-9]{12,15})$")),
+        "phone": lambda: _in_or_not(~digits.startswith("0") & (~digits.startswith("1") | digits.rlike("^1[2-9][0-9]{2}[2-9][0-9]{6}$"))),
+        "name": lambda: _vote(F.lit(False), s.rlike(r"^([A-Za-z]+) \1$") | F.substring_index(s, " ", 1).isin(*NOT_NAMES) | F.substring_index(s, " ", -1).isin(*NOT_NAMES)),
+        "national": lambda: _in_or_not(~s.rlike(r"^(000|666|9..)|-00-|-0000$") & ~s.isin(*VOID_NATIONAL)),
+        "account": lambda: _in_or_not(_mod97(s)),
+        "local": lambda: _in_or_not(digits.rlike("^[2-9][0-8][0-9][2-9][0-9]{6}$") & ~digits.rlike("^([0-9]{3})?[2-9]11")),
+    }[kind]()
 
 
 def _spans(kind: str, text: Column, found: Column, pieces: Column) -> Column:
@@ -177,23 +216,25 @@ def candidates(docs: DataFrame, carry: bool = False) -> DataFrame:
 def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
     """EM over (kind, votes, count): P(personal data) of each pattern.
 
-    Each labeler has, for either truth, a probability of each of its three
-    votes; each kind has a prior. Start: the share of positive votes.
+    Each labeler has, for either truth, a probability of each of its votes; a
+    labeler that does not vote says nothing. Each kind has a prior. Start: the
+    share of positive votes.
     """
     post = {(k, v): (1 + sum(x > 0 for x in v)) / (2 + sum(x != 0 for x in v)) for k, v, _ in patterns}
     for _ in range(rounds):
         prior: dict[str, list[float]] = {}
-        seen = [[{-1: 1.0, 0: 1.0, 1: 1.0} for _ in LABELERS] for _ in range(2)]
+        seen = [[{-1: 1.0, 1: 1.0} for _ in LABELERS] for _ in range(2)]
         for k, v, n in patterns:
             p = post[k, v]
             own = prior.setdefault(k, [1.0, 1.0])
             for truth, share in ((0, 1 - p), (1, p)):
                 own[truth] += n * share
                 for j, x in enumerate(v):
-                    seen[truth][j][x] += n * share
+                    if x:
+                        seen[truth][j][x] += n * share
         logs = [[{x: math.log(c / sum(t.values())) for x, c in t.items()} for t in side] for side in seen]
         for k, v, _ in patterns:
-            odds = math.log(prior[k][1] / prior[k][0]) + sum(logs[1][j][x] - logs[0][j][x] for j, x in enumerate(v))
+            odds = math.log(prior[k][1] / prior[k][0]) + sum(logs[1][j][x] - logs[0][j][x] for j, x in enumerate(v) if x)
             post[k, v] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
     return post
 
@@ -249,7 +290,7 @@ def _classified(docs: DataFrame, carry: bool) -> DataFrame:
     counts = one.groupBy("c.kind", *[f"c.{x}" for x in LABELERS]).count().collect()  # at most kinds * 3 ** labelers rows
     patterns = sorted((r["kind"], tuple(r[x] for x in LABELERS), r["count"]) for r in counts)
     bias, weights = train(patterns, estimate(patterns))
-    stay = F.filter("cands", lambda c: c["base"] | (scored(c, bias, weights) > 0))
+    stay = F.filter("cands", lambda c: c["base"] | ((scored(c, bias, weights) > 0) & ~(c["kind"].isin(*PROOF) & (c["check"] < 0))))
     return cands.select("_row" if carry else "doc_id", F.transform(stay, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))).alias("spans"))
 
 

@@ -71,6 +71,45 @@ def test_personal_data_adds_supported_spans(spark):
     assert masked == "mail to <email> or call <phone> ok"
 
 
+PAIRS = {  # a candidate that the check is for and one that it is against
+    "email": ("a.b@mail.example.com", "a..b@mail.example.com"), "ip": ("10.20.30.40", "240.1.2.255"), "card": ("4111 1111 1111 1111", "9111111111111110"),
+    "phone": ("+1 (509) 555-6901", "+1 (017) 555-7713"), "name": ("Maria Lopez", "At At"), "national": ("219-45-6789", "000-45-6789"),
+    "account": ("DE89 3704 0044 0532 0130 00", "DE88 3704 0044 0532 0130 00"), "local": ("(212) 555-0101", "(017) 555-0101")}
+
+
+def test_check_tells_candidates_apart(spark):
+    rows = [(i, f"x: {s} .") for i, pair in enumerate(PAIRS.values()) for s in pair]
+    got = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).select("doc_id", pii.F.explode("cands").alias("c")).collect()
+    votes = {}
+    for r in got:
+        votes.setdefault((r.doc_id, r.c.kind), []).append(r.c.check)
+    for i, kind in enumerate(PAIRS):
+        good, bad = votes[i, kind]
+        assert good > bad, kind
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_account_check_digits(spark):
+    numbers = [f"{country}{d:02d}{body}" for country, body in (("DE", "370400440532013000"), ("GB", "WEST12345698765432"), ("NO", "86011117947")) for d in range(100)]
+    df = spark.createDataFrame([(x, " ".join(x[i:i + 4] for i in range(0, len(x), 4))) for x in numbers], "x string, spaced string")
+    got = df.select("x", pii._mod97(df.x).alias("a"), pii._mod97(df.spaced).alias("b")).collect()
+    assert all(r.a == r.b == mod97(r.x) for r in got) and sum(r.a for r in got) >= 3
+
+
+def test_wrong_account_numbers_are_no_spans(spark):
+    def account(i):
+        body = f"3704004405{i:08d}"
+        return next((f"DE{d:02d}{body}", f"DE{(d + 1) % 97 + 1:02d}{body}") for d in range(2, 99) if mod97(f"DE{d:02d}{body}"))
+
+    rows = [(i, f"pay to account {account(i)[0]} today") for i in range(60)] + [(100 + i, f"pay to account {account(i)[1]} today") for i in range(60)]
+    rows += [(200 + i, f"part {a} of the list") for i, a in ((i, account(i + 60)[1]) for i in range(60))]
+    got = pii.digest(pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert all(("account" in r.spans) == (r.doc_id < 100) for r in got)
+
+
 def test_em_finds_the_unreliable_labeler():
     # votes of labeler 0 follow the truth, those of labeler 4 are noise
     patterns = [("name", (1, 1, 0, 1, -1), 400), ("name", (1, 1, 0, 1, 1), 400), ("name", (-1, -1, 0, 1, 1), 400), ("name", (-1, -1, 0, 1, -1), 400)]
