@@ -2,12 +2,15 @@
 
 Base rules are fixed by contract. On top of them each rule of ``RULES`` rejects
 a document when its measure exceeds a cutoff. The cutoff is chosen per stratum
-(language) from labelled documents: a cutoff may be used only if an exact
-binomial bound shows that it rejects at most a share ``alpha`` of the good
-documents, i.e. if k rejections among n good ones have
-P(Binomial(n, alpha) <= k) <= delta / m, where m counts every (stratum, rule,
-cutoff) that could be chosen (Bonferroni). Among the certified cutoffs the one
-that gains most counts; a rule without a certified cutoff is off.
+(language) from labelled documents: the rules of a stratum together may reject
+at most a share ``alpha`` of its good documents. Each cutoff has an exact upper
+bound on the share that it rejects: the least p for which k rejections among n
+good ones have P(Binomial(n, p) <= k) <= delta / m, where m counts every
+(stratum, rule, cutoff) that could be chosen (Bonferroni). All bounds hold at
+once with probability 1 - delta, and a document is rejected by some rule at
+most as often as the bounds of the chosen cutoffs add up to. Of all choices
+whose sum is at most ``alpha`` the one that gains most counts; a rule that
+doesn't fit in is off.
 
 The counts come from one aggregate over all labelled documents. What reaches
 the driver is that aggregate: at most strata * rules * cutoffs rows, all three
@@ -133,18 +136,42 @@ def holdout_counts(feats: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum(F.when((F.col("good") == 0) & F.col("t.hit"), 1).otherwise(0)).alias("bad_hit"))
 
 
+def upper_bound(k: int, n: int, level: float) -> float:
+    """The least p (to 2**-50, from above) with P(Binomial(n, p) <= k) <= level."""
+    if k >= n:
+        return 1.0
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        p = (low + high) / 2
+        low, high = (low, p) if binomial_cdf(k, n, p) <= level else (p, high)
+    return high
+
+
 def choose(counts: list, alpha: float, delta: float, cost: float) -> dict[tuple[str, str], float]:
-    """(stratum, rule) -> cutoff: certified, and with most bad documents less ``cost`` for each good one."""
+    """(stratum, rule) -> cutoff: bounds that add up to ``alpha`` at most in a stratum, and with most bad documents less ``cost`` for each good one."""
     tests = (len(LANGS) + 1) * sum(map(len, RULES.values()))
-    best: dict[tuple[str, str], tuple[float, float]] = {}
+    options: dict[str, dict[str, list[tuple[float, float, float]]]] = {}
     for r in counts:
-        if binomial_cdf(r["good_hit"], r["n_good"], alpha) > delta / tests:
-            continue
         gain = r["bad_hit"] - cost * r["good_hit"]
-        # equal gains: the higher cutoff, which rejects less
-        if gain > 0 and (gain, r["cutoff"]) > best.get((r["stratum"], r["rule"]), (0.0, -math.inf)):
-            best[r["stratum"], r["rule"]] = gain, r["cutoff"]
-    return {k: cut for k, (_, cut) in best.items()}
+        if gain <= 0:
+            continue
+        bound = upper_bound(r["good_hit"], r["n_good"], delta / tests)
+        if bound <= alpha:
+            options.setdefault(r["stratum"], {}).setdefault(r["rule"], []).append((r["cutoff"], bound, gain))
+    out: dict[tuple[str, str], float] = {}
+    for stratum, rules in sorted(options.items()):
+        best: list[tuple[float, float, dict[str, float]]] = [(0.0, 0.0, {})]  # choices so far: bound, gain and cutoffs; no other has more gain at no more bound
+        for rule in MEASURES:
+            tried = [(b + bound, g + gain, cuts | {rule: cutoff}) for b, g, cuts in best
+                     for cutoff, bound, gain in sorted(rules.get(rule, ()), reverse=True) if b + bound <= alpha]
+            # equal gains and bounds: no rule, or the higher cutoff, which rejects less
+            every = sorted(best + tried, key=lambda x: (x[0], -x[1]))
+            best = []
+            for x in every:
+                if not best or x[1] > best[-1][1]:
+                    best.append(x)
+        out.update({(stratum, rule): cutoff for rule, cutoff in best[-1][2].items()})
+    return out
 
 
 def verdict(cutoffs: dict[tuple[str, str], float]) -> Column:

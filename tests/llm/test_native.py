@@ -161,6 +161,23 @@ def test_binomial_bound():
     assert quality.choose(few, 0.02, 0.05, 25.0) == {}
 
 
+def test_rules_of_a_stratum_share_the_risk():
+    level = 0.05 / (5 * sum(map(len, quality.RULES.values())))
+
+    def counts(n, k):
+        return [{"stratum": "en", "rule": r, "cutoff": cuts[c], "n_good": n, "good_hit": k * (2 - c), "bad_hit": 1000 - 100 * i - c}
+                for i, (r, cuts) in enumerate(quality.RULES.items()) for c in (1, 2)]
+
+    for n, k, rules in ((700, 0, 1), (1000, 0, 2), (3000, 0, 6), (3000, 3, 6), (2000, 4, 4), (100, 0, 0)):
+        got = quality.choose(counts(n, k), 0.02, 0.05, 1.0)
+        hits = {(c["rule"], c["cutoff"]): c["good_hit"] for c in counts(n, k)}
+        bounds = [quality.upper_bound(hits[rule, cut], n, level) for (_, rule), cut in got.items()]
+        assert sum(bounds) <= 0.02 and len(got) == rules
+        assert [r for _, r in got] == list(quality.RULES)[:rules]  # those that gain most
+        for b, (key, cut) in zip(bounds, got.items()):
+            assert quality.binomial_cdf(hits[key[1], cut], n, b) <= level < quality.binomial_cdf(hits[key[1], cut], n, b * 0.999)
+
+
 def test_shards(docs):
     got = sharding.assign(docs).collect()
     want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
