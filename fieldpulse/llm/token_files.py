@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -130,7 +131,7 @@ class Shard:
 
 @lru_cache(maxsize=4)
 def coder(path: str) -> pieces.Coder:
-    """Ids of whole texts; the tokenizers library encodes each distinct piece."""
+    """Ids of texts without added tokens (markers in a text count as ordinary characters); the tokenizers library encodes each distinct piece."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
@@ -157,6 +158,35 @@ def coder(path: str) -> pieces.Coder:
     return pieces.Coder(make)
 
 
+class WholeTexts:
+    """Ids of whole texts as the library gives them: texts are cut at the tokenizer's added tokens, what lies between is coded by pieces."""
+
+    def __init__(self, path: str):
+        self.coder, self.tokenizer = coder(path), Tokenizer.from_file(path)
+        added = sorted(self.tokenizer.get_added_tokens_decoder().items(), key=lambda x: -len(x[1].content))
+        self.of = {t.content: np.array([i], "<u4") for i, t in added}
+        self.marker = re.compile("(" + "|".join(map(re.escape, self.of)) + ")") if added else None
+        #: Tokens that take in white space or stand as words only are left to the library.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added)
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, in order."""
+        cut = [self.marker.split(t) if self.marker and any(m in t for m in self.of) else [t] for t in texts]
+        if not self.plain:
+            cut = [[t] if len(c) == 1 else ["", t, ""] for t, c in zip(texts, cut)]
+        between = self.coder.ids([p for parts in cut for p in parts[::2]])
+        for parts in cut:
+            out = [next(between)]
+            for marker in parts[1::2]:
+                out += [self.of[marker] if self.plain else np.array(self.tokenizer.encode(marker, add_special_tokens=False).ids, "<u4"), next(between)]
+            yield out[0] if len(out) == 1 else np.concatenate(out)
+
+
+@lru_cache(maxsize=4)
+def whole_texts(path: str) -> WholeTexts:
+    return WholeTexts(path)
+
+
 def write(docs: DataFrame, folder: str, tokenizer_path: str, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``docs`` (doc_id, text) and write the shards, ascending by doc_id (null ids last, equal ids by text)."""
     end = np.array([END_ID], "<u4").tobytes()
@@ -177,7 +207,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, shard_ids: int = SH
                                   "index": pack_index(k, has, n), "payload": b"".join(blobs)}])
 
         for rows in parts:
-            for key, has, ids in zip(rows["key"].tolist(), rows["known"].tolist(), coder(tokenizer_path).ids(rows["text"].tolist())):
+            for key, has, ids in zip(rows["key"].tolist(), rows["known"].tolist(), whole_texts(tokenizer_path).ids(rows["text"].tolist())):
                 keys.append(key)
                 known.append(has)
                 sizes.append(len(ids) + 1)

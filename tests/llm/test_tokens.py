@@ -10,7 +10,7 @@ import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from fieldpulse.llm import bpe, pieces, token_files
 from tests.llm import odd
@@ -67,6 +67,36 @@ def test_library_ids_by_pieces(tok, text):
     assert next(token_files.coder(JSON).ids([text])).tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+MARKER = "<|endoftext|>"
+MARKED = [MARKER, f"one{MARKER}two", f" a {MARKER}{MARKER} b\n", f"{MARKER} x", f"x \n {MARKER}", "<|endoftext|", "<|endoftext |>", f"<{MARKER}>", "no marker", ""]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([MARKER, " ", "\n", "<|", "|>", "end", "of text", "é", "it's", "12"]), max_size=12).map("".join))
+def test_added_tokens_as_loaded(text):
+    plain = Tokenizer.from_file(JSON)
+    assert next(token_files.whole_texts(JSON).ids([text])).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_have_added_tokens(spark):
+    plain = Tokenizer.from_file(JSON)
+    docs = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    got = {r.doc_id: r for r in token_files.write_and_read(docs, JSON).collect()}
+    at = 0
+    for i, text in enumerate(MARKED):
+        ids = [*plain.encode(text, add_special_tokens=False).ids, token_files.END_ID]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_added_tokens_that_take_in_white_space(tmp_path):
+    plain = Tokenizer.from_file(JSON)
+    plain.add_special_tokens([AddedToken("<|x|>", lstrip=True, rstrip=True)])
+    plain.save(str(tmp_path / "own.json"))
+    texts = ["a <|x|> b", "none at all", f"c{MARKER} <|x|>"]
+    assert [x.tolist() for x in token_files.whole_texts(str(tmp_path / "own.json")).ids(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_round_trip(docs, tok):
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""))
     want, start = Counter(), 0
