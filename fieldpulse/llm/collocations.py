@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,7 +39,7 @@ from fieldpulse.llm.shingles import mixed
 
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: Bytes of text that are counted at once; a longer text is counted alone, whole.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 MOST_BITS, LEAST_BITS = 1 << 27, 1 << 16
 #: Bytes of the bitmap that one task makes.
 PIECE = 1 << 16
@@ -130,7 +131,7 @@ class _Words:
         known = langs.dictionary_encode()
         self.langs = known.dictionary
         self.lang = known.indices.to_numpy().astype(np.int64)[document]
-        piece = np.cumsum(_END[data])[first] if len(first) else first
+        piece = np.searchsorted(np.flatnonzero(_END[data]), first)
         self.joined = np.zeros(len(first), bool)  # to the word after it
         self.joined[:-1] = (piece[1:] == piece[:-1]) & (document[1:] == document[:-1])
         self.hash = _hashes(self.words.to_numpy(zero_copy_only=False))
@@ -164,10 +165,9 @@ def _counted(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarr
     return [c[at] for c in sorted_], np.diff(np.append(at, len(order)))
 
 
-def _joined(words: pa.Array, codes: list[np.ndarray]) -> list[str]:
+def _joined(words: pa.Array, codes: list[np.ndarray]) -> pa.Array:
     """Phrases of these words."""
-    parts = [words.take(pa.array(c)).to_pylist() for c in codes]
-    return [" ".join(p) for p in zip(*parts)]
+    return pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in codes], " ")
 
 
 def _rows(words: _Words, columns: list[np.ndarray], many: np.ndarray, hot: set) -> pa.RecordBatch:
@@ -178,11 +178,10 @@ def _rows(words: _Words, columns: list[np.ndarray], many: np.ndarray, hot: set)
     for c in columns[:-1]:
         new[1:] |= c[1:] != c[:-1]
     at, owner = np.flatnonzero(new), np.cumsum(new) - 1
-    langs = words.langs.take(pa.array(lang[at])).to_pylist()
-    names = _joined(words.words, [c[at] for c in prefix]) if prefix else [""] * len(at)
-    width = max(1, min(2, len(prefix)))
-    heads = _joined(words.words, [c[at] for c in prefix[:width]]) if prefix else names
-    cut = np.array([(a, b) in hot for a, b in zip(langs, heads)], bool)
+    langs = words.langs.take(pa.array(lang[at]))
+    names = _joined(words.words, [c[at] for c in prefix]) if prefix else pa.array([""] * len(at), pa.string())
+    heads = _joined(words.words, [c[at] for c in prefix[:2]]) if len(prefix) > 2 else names
+    cut = pc.is_in(pc.binary_join_element_wise(langs, heads, "\n"), pa.array(sorted(hot), pa.string())).to_numpy(zero_copy_only=False).astype(bool)
     seg = np.where(cut[owner] & (nxt >= 0), words.hash[np.maximum(nxt, 0)] % np.uint64(SEGMENTS), 0).astype(np.int32) if len(many) else np.zeros(0, np.int32)
     order = np.lexsort((seg, owner))
     seg, owner, nxt, many = seg[order], owner[order], nxt[order], many[order]
@@ -192,19 +191,19 @@ def _rows(words: _Words, columns: list[np.ndarray], many: np.ndarray, hot: set)
     at = np.flatnonzero(new)
     offsets = pa.array(np.append(at, len(many)).astype(np.int32))
     entries = words.words.take(pa.array(nxt, mask=nxt < 0)).fill_null("")
-    own = owner[at]
-    return pa.RecordBatch.from_arrays([pa.array([langs[i] for i in own], pa.string()), pa.array([names[i] for i in own], pa.string()), pa.array(seg[at]),
+    own = pa.array(owner[at])
+    return pa.RecordBatch.from_arrays([langs.take(own), names.take(own), pa.array(seg[at]),
                                        pa.ListArray.from_arrays(offsets, entries), pa.ListArray.from_arrays(offsets, pa.array(many.astype(np.int64)))], schema=STRIPE)
 
 
-def _words_stripes(words: _Words, hot: set) -> pa.RecordBatch:
+def _words_stripes(words: _Words) -> pa.RecordBatch:
     """The stripe of the empty prefix of each language."""
     (lang, word), many = _counted([words.lang, words.word], [len(words.langs), len(words.words)])
     total = np.bincount(words.lang, minlength=len(words.langs)) if len(words.lang) else np.zeros(len(words.langs), np.int64)
     used = np.flatnonzero(total)
     lang, word, many = np.concatenate([lang, used]), np.concatenate([word, np.full(len(used), -1)]), np.concatenate([many, total[used]])
     order = np.lexsort((word, lang))
-    return _rows(words, [lang[order], word[order]], many[order], {(x, "") for x in words.langs.to_pylist()})
+    return _rows(words, [lang[order], word[order]], many[order], {f"{x}\n" for x in words.langs.to_pylist()})
 
 
 def _phrase_stripes(words: _Words, prefix: int, at: np.ndarray, goes_on: np.ndarray, hot: set) -> pa.RecordBatch:
@@ -234,7 +233,7 @@ def stripes(docs: DataFrame, words_in: Sieve | None = None, pairs_in: Sieve | No
         if not len(words.word):
             return
         if words_in is None and pairs_in is None:
-            yield _words_stripes(words, hot)
+            yield _words_stripes(words)
             return
         single = words.single()
         if pairs_in is None:
@@ -281,8 +280,8 @@ def merged(parts: DataFrame) -> DataFrame:
 
 
 def _hot(phrases: DataFrame, total: int) -> set:
-    """(lang, phrase) of the most frequent phrases: at most 1 / HOT."""
-    return {(r["lang"], r["phrase"]) for r in phrases.where(F.col("f") >= max(LEAST, total * HOT)).select("lang", "phrase").collect()}
+    """Language and phrase of the most frequent phrases: at most 1 / HOT."""
+    return {f"{r['lang']}\n{r['phrase']}" for r in phrases.where(F.col("f") >= max(LEAST, total * HOT)).select("lang", "phrase").collect()}
 
 
 def mine(docs: DataFrame) -> DataFrame:
