@@ -1,12 +1,13 @@
 """Phrase collocations by stripes (op 13).
 
 A stripe belongs to a prefix (a phrase of none to four words, of one language) and
-counts the words that follow it, in an associative counter, together with how
-often the prefix itself occurs (its total, under the empty word). Tasks make
-stripes from their texts, as many as they hold at once, and stripes of a prefix
-are merged word by word. Everything else comes from the merged stripes:
+counts the words that follow it, in an associative counter (two lists in step).
+Tasks make stripes from their texts, as many as they hold at once, and stripes of a
+prefix are merged word by word. Everything else comes from the merged stripes:
 
-* f(phrase) is the entry of its last word, and the total of its own stripe;
+* f(phrase) is the entry of its last word; so the entries also are the totals of
+  the prefixes with one word more. The total of the empty prefix, the number of all
+  words, stands under the empty word;
 * the largest entry of a stripe is the most frequent phrase that goes on from the
   prefix; read by the prefix's words from the second on, the entries give those
   that add a word in front. A phrase inside a longer one that is as frequent is
@@ -44,8 +45,9 @@ MOST_BITS, LEAST_BITS = 1 << 27, 1 << 16
 #: Bytes of the bitmap that one task makes.
 PIECE = 1 << 16
 HOT, SEGMENTS = 1 / 1000, 64
-STRIPE = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("seg", pa.int32()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
-STRIPE_SQL = "lang string, prefix string, seg int, next array<string>, n array<bigint>"
+STRIPE = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("seg", pa.int32()), ("next", pa.string()), ("n", pa.list_(pa.int32()))])
+#: ``next`` has the words that follow, with a space between; ``n`` their counts.
+STRIPE_SQL = "lang string, prefix string, seg int, next string, n array<int>"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -171,7 +173,7 @@ def _joined(words: pa.Array, codes: list[np.ndarray]) -> pa.Array:
 
 
 def _rows(words: _Words, columns: list[np.ndarray], many: np.ndarray, hot: set) -> pa.RecordBatch:
-    """Stripes from distinct (language, prefix words ..., next word or -1 for the total) in order, and their counts."""
+    """Stripes from distinct (language, prefix words ..., next word or -1 for the total) in order with their counts."""
     lang, prefix, nxt = columns[0], columns[1:-1], columns[-1]
     new = np.zeros(len(many), bool)
     new[:1] = True
@@ -193,7 +195,7 @@ def _rows(words: _Words, columns: list[np.ndarray], many: np.ndarray, hot: set)
     entries = words.words.take(pa.array(nxt, mask=nxt < 0)).fill_null("")
     own = pa.array(owner[at])
     return pa.RecordBatch.from_arrays([langs.take(own), names.take(own), pa.array(seg[at]),
-                                       pa.ListArray.from_arrays(offsets, entries), pa.ListArray.from_arrays(offsets, pa.array(many.astype(np.int64)))], schema=STRIPE)
+                                       pc.binary_join(pa.ListArray.from_arrays(offsets, entries), " "), pa.ListArray.from_arrays(offsets, pa.array(many.astype(np.int32)))], schema=STRIPE)
 
 
 def _words_stripes(words: _Words) -> pa.RecordBatch:
@@ -206,24 +208,10 @@ def _words_stripes(words: _Words) -> pa.RecordBatch:
     return _rows(words, [lang[order], word[order]], many[order], {f"{x}\n" for x in words.langs.to_pylist()})
 
 
-def _phrase_stripes(words: _Words, prefix: int, at: np.ndarray, goes_on: np.ndarray, hot: set) -> pa.RecordBatch:
-    """Stripes of the phrases of ``prefix`` words that begin at ``at``; ``goes_on``: whether the next word counts."""
-    codes = [words.word[at + k] for k in range(prefix)]
-    after = np.where(goes_on, words.word[np.minimum(at + prefix, len(words.word) - 1)], 0) + 1
-    n = len(words.words)
-    own, many = _counted([words.lang[at], *codes, np.where(goes_on, after, 0)], [len(words.langs), *[n] * prefix, n + 1])
-    # totals: all entries of a prefix together
-    new = np.zeros(len(many), bool)
-    new[:1] = True
-    for c in own[:-1]:
-        new[1:] |= c[1:] != c[:-1]
-    first = np.flatnonzero(new)
-    totals = np.add.reduceat(many, first) if len(first) else many
-    real = own[-1] > 0
-    columns = [np.concatenate([c[first], c[real]]) for c in own[:-1]] + [np.concatenate([np.full(len(first), -1), own[-1][real] - 1])]
-    many = np.concatenate([totals, many[real]])
-    order = np.lexsort(columns[::-1])
-    return _rows(words, [c[order] for c in columns], many[order], hot)
+def _phrase_stripes(words: _Words, prefix: int, at: np.ndarray, hot: set) -> pa.RecordBatch:
+    """Stripes of the phrases of ``prefix`` words that begin at ``at`` and go on with the next word."""
+    own, many = _counted([words.lang[at], *[words.word[at + k] for k in range(prefix + 1)]], [len(words.langs), *[len(words.words)] * (prefix + 1)])
+    return _rows(words, own, many, hot)
 
 
 def stripes(docs: DataFrame, words_in: Sieve | None = None, pairs_in: Sieve | None = None, hot: set = frozenset()) -> DataFrame:
@@ -240,8 +228,7 @@ def stripes(docs: DataFrame, words_in: Sieve | None = None, pairs_in: Sieve | No
             known = words_in.has(single)
             on = words.joined.copy()
             on[:-1] &= known[1:]
-            at = np.flatnonzero(known)
-            yield _phrase_stripes(words, 1, at, on[at], hot)
+            yield _phrase_stripes(words, 1, np.flatnonzero(known & on), hot)
             return
         pair = words.joined.copy()
         i = np.flatnonzero(pair)
@@ -251,10 +238,10 @@ def stripes(docs: DataFrame, words_in: Sieve | None = None, pairs_in: Sieve | No
             longer = held.copy()
             longer[:-(k - 1)] &= pair[k - 1:]
             longer[len(longer) - (k - 1):] = False
-            at = np.flatnonzero(held)
+            at = np.flatnonzero(longer)
             if not len(at):
                 return
-            yield _phrase_stripes(words, k, at, longer[at], hot)
+            yield _phrase_stripes(words, k, at, hot)
             held = longer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,10 +260,10 @@ def stripes(docs: DataFrame, words_in: Sieve | None = None, pairs_in: Sieve | No
 
 
 def merged(parts: DataFrame) -> DataFrame:
-    """(lang, prefix, next, f): stripes added up word by word; totals (next is empty) and frequent entries stay."""
-    entry = F.arrays_zip(F.col("next"), F.col("n"))
-    flat = parts.repartition("lang", "prefix", "seg").select("lang", "prefix", "seg", F.explode(entry).alias("e")).select("lang", "prefix", "seg", F.col("e.next").alias("next"), F.col("e.n").alias("n"))
-    return flat.groupBy("lang", "prefix", "seg", "next").agg(F.sum("n").alias("f")).where((F.col("f") >= LEAST) | ((F.col("next") == "") & (F.col("prefix") == ""))).drop("seg")
+    """(lang, prefix, next, f): stripes added up word by word; frequent entries and the total of the empty prefix stay."""
+    entry = F.arrays_zip(F.split("next", " ", -1).alias("next"), F.col("n"))
+    flat = parts.repartition("lang", "prefix", "seg").select("lang", "prefix", "seg", F.explode(entry).alias("e")).select("lang", "prefix", "seg", F.col("e.next").alias("next"), F.col("e.n").cast("long").alias("n"))
+    return flat.groupBy("lang", "prefix", "seg", "next").agg(F.sum("n").alias("f")).where((F.col("f") >= LEAST) | (F.col("next") == "")).drop("seg")
 
 
 def _hot(phrases: DataFrame, total: int) -> set:
@@ -297,12 +284,11 @@ def mine(docs: DataFrame) -> DataFrame:
     phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next")).alias("phrase")
     frequent = words.where("next <> ''").select("lang", phrase, "f")
     pairs = written(merged(stripes(texts, words_in=sieve(frequent), hot=_hot(frequent, total))), "stripes")
-    frequent = pairs.where("next <> ''").select("lang", phrase, "f")
+    frequent = pairs.select("lang", phrase, "f")
     longer = written(merged(stripes(texts, pairs_in=sieve(frequent), hot=_hot(frequent, total))), "stripes")
 
-    every = pairs.unionByName(longer)
-    totals = words.where("next <> ''").select("lang", phrase, "f").unionByName(every.where("next = ''").select("lang", F.col("prefix").alias("phrase"), "f").where("instr(phrase, ' ') > 0"))
-    entries = every.where("next <> ''").select("lang", "prefix", phrase, F.col("f").alias("a"))
+    entries = pairs.unionByName(longer).select("lang", "prefix", phrase, F.col("f").alias("a"))
+    totals = words.where("next <> ''").select("lang", phrase, "f").unionByName(entries.select("lang", "phrase", F.col("a").alias("f")))
     ahead = entries.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("a").alias("m"))
     behind = entries.groupBy("lang", F.expr("substr(phrase, instr(phrase, ' ') + 1)").alias("phrase")).agg(F.max("a").alias("m"))
     inside = ahead.unionByName(behind).groupBy("lang", "phrase").agg(F.max("m").alias("m"))
