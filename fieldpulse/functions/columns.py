@@ -110,28 +110,32 @@ def clamp_pct(c: str | Column, fill: float | None = 0.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), x)))
 
 
-# Formats tried in order when text is turned into a timestamp.
+# Full ISO dates with an optional time, fraction and zone. (A bare cast would also take years alone, and times of today.)
+ISO_TIMESTAMP = (r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?"
+                 r"(?:\s?(?:Z|UTC|[+-]\d{1,2}(?::?\d{2})?))?)?$")
+# Formats tried in order when other text is turned into a timestamp.
 TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy",
+    "yyyy/M/d HH:mm:ss",
+    "yyyy/M/d",
+    "d/M/yyyy HH:mm:ss",
+    "d/M/yyyy",
 )
 
 
 def coerce_timestamp(c: str | Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS,
                      typed: bool = False) -> Column:
-    """Text -> naive (UTC wall-clock) timestamp; first format that parses wins, else NULL.
+    """Text -> naive (UTC wall-clock) timestamp; anything else -> NULL.
 
-    ``typed=True`` when the input already is a date/timestamp (plain cast).
-    The result is ``timestamp_ntz`` so a client in another zone reads the same
-    wall-clock value.
+    ISO text first (with any fraction; a zone is converted to UTC), then the
+    first of ``formats`` that parses. ``typed=True`` when the input already is a
+    date/timestamp (plain cast). The result is ``timestamp_ntz`` so a client in
+    another zone reads the same wall-clock value.
     """
     if typed:
         return col_of(c).cast("timestamp_ntz")
     x = strip_ws(col_of(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    iso = F.when(x.rlike(ISO_TIMESTAMP), x.try_cast("timestamp"))
+    return F.coalesce(iso, *[F.try_to_timestamp(x, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 
 def word_regex(alternatives: str) -> str:

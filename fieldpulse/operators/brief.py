@@ -212,7 +212,7 @@ def brief_text(long: DataFrame, risks: DataFrame | None = None, as_of_label: str
         def pick(x):
             c = (x["section"] == section) & (x["measure"] == measure)
             return c if key is None else c & (x["key"] == key)
-        return F.element_at(F.filter(r, pick), 1)["value"]
+        return F.try_element_at(F.filter(r, pick), F.lit(1))["value"]
 
     def n(section: str, measure: str) -> F.Column:
         return F.coalesce(val(section, measure).cast("bigint"), F.lit(0)).cast("string")
@@ -243,7 +243,7 @@ def brief_text(long: DataFrame, risks: DataFrame | None = None, as_of_label: str
         F.lit("\n- Resource: "),
         F.format_number(F.coalesce(val("survey", "total_resource"), F.lit(0.0)), 1),
         F.lit(" (P50)\n- Avg progress: "),
-        py_str_double(val("survey", "avg_progress")), F.lit("%"),
+        F.coalesce(py_str_double(val("survey", "avg_progress")), F.lit("None")), F.lit("%"),
         F.lit("\n\nSTUDIES ("), n("study", "total"), F.lit("):\n- Not started: "), n("study", "not_started"),
         F.lit(" | Done: "), n("study", "done"), F.lit("\n- Budget: $"), _fmt0(val("study", "total_budget")),
         F.lit("\n- Types: "), F.concat_ws(", ", F.transform(

@@ -72,12 +72,14 @@ def _b05(ws):
     return brief.top_holdings(ws.activity)
 
 
-_B06_SQL = with_adapter(ctes=f"""
+B06_CTES = f"""
 k AS ({SURVEY_KPI_SQL}),
 rg AS ({REGION_SQL}),
 hd AS (SELECT *, ROW_NUMBER() OVER (ORDER BY n_activities DESC, holding ASC NULLS LAST) AS rank FROM ({HOLDING_SQL})),
 sk AS ({STUDY_KPI_SQL}),
-st AS (SELECT study_type, COUNT(*) AS n_studies FROM study GROUP BY study_type)""", body=f"""
+st AS (SELECT study_type, COUNT(*) AS n_studies FROM study GROUP BY study_type)"""
+
+B06_BODY = f"""
 {unpivot("k", "survey", "NULL", list(brief.SURVEY_KPI_NAMES))}
 UNION ALL
 {unpivot("rg", "region", "region", ["n_activities", "avg_progress", "total_resource", "total_planned"])}
@@ -87,15 +89,15 @@ UNION ALL
 {unpivot("sk", "study", "NULL", ["total", "not_started", "done", "total_budget", "realised_budget"])}
 UNION ALL
 {unpivot("st", "study_type", "study_type", ["n_studies"])}
-""")
+"""
 
 
-@R.query("b06_brief_long", _B06_SQL, ("B-06",), headline=True)
+@R.query("b06_brief_long", with_adapter(B06_BODY, ctes=B06_CTES), ("B-06",), headline=True)
 def _b06(ws):
     return brief.brief_long(ws.activity, ws.study)
 
 
-@R.query("b07_brief_text", None, ("B-07", "S-07", "A-12"))
+@R.query("b07_brief_text", None, ("B-07", "A-12"))
 def _b07(ws):
     a, s = ws.activity, ws.study
     return brief.brief_text(brief.brief_long(a, s), risks.risk_table(a, s), as_of_label=ws.as_of)
@@ -146,12 +148,17 @@ def _r04(ws):
 
 
 def _risk_sql(threshold: float, study_filter: str = "") -> str:
+    return with_adapter(*risk_parts(threshold, study_filter)[::-1])
+
+
+def risk_parts(threshold: float = risks.ABSORPTION_THRESHOLD_PCT, study_filter: str = "") -> tuple[str, str]:
+    """CTEs and body of the risk table's DuckDB text."""
     r = risks
-    return with_adapter(ctes=f"""
+    return f"""
 s1 AS (SELECT COUNT(*) AS n, SUM(resource_p50) AS total {_DELAYED}),
 s2 AS (SELECT realised, planned, realised / planned * 100 AS pct FROM ({_ABSORB})),
 s3 AS (SELECT COUNT(*) AS total, COUNT(CASE WHEN status = 'Not started' THEN 1 END) AS nb FROM study {study_filter}),
-s4 AS (SELECT COUNT(*) AS n {_PERMIT})""", body=f"""
+s4 AS (SELECT COUNT(*) AS n {_PERMIT})""", f"""
 SELECT 1 AS rule, {sql_str(r.SEVERITY_HIGH)} AS severity, {sql_str(r.CATEGORY_DELAY)} AS category,
        CAST(n AS VARCHAR) || ' delayed activities with total potential ' || format('{{:.1f}}', total) || ' MMBOE' AS message,
        {sql_str(r.ACTION_DELAY)} AS action FROM s1 WHERE n > 0
@@ -167,7 +174,7 @@ UNION ALL
 SELECT 4, {sql_str(r.SEVERITY_MEDIUM)}, {sql_str(r.CATEGORY_PERMITS)},
        CAST(n AS VARCHAR) || ' activities held up by incomplete permits',
        {sql_str(r.ACTION_PERMITS)} FROM s4 WHERE n > 0
-""")
+"""
 
 
 _RISK_COLS = ("rule", "severity", "category", "message", "action")

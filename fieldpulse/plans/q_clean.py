@@ -33,8 +33,9 @@ def _clamp(c: str) -> str:
 
 def _ts_text(c: str) -> str:
     t = f"regexp_replace(CAST({c} AS VARCHAR), '^\\s+|\\s+$', '', 'g')"
-    fmts = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y"]
-    return "COALESCE(" + ", ".join(f"try_strptime({t}, '{f}')" for f in fmts) + ")"
+    # the cast reads a zone but doesn't apply it
+    zone = f"CASE WHEN regexp_matches({t}, '[+-]\\d\\d:00$') THEN to_hours(CAST(right({t}, 6)[1:3] AS BIGINT)) ELSE INTERVAL 0 HOUR END"
+    return f"COALESCE(TRY_CAST({t} AS TIMESTAMP) - {zone}, try_strptime({t}, ['%d/%m/%Y %H:%M:%S', '%d/%m/%Y']))"
 
 
 def _messy_num(v: str, k: str) -> str:
@@ -64,6 +65,9 @@ _LANDED_SURVEY = f"""landed AS (
          permit_a_pct AS P_IZIN_PPKH, CAST(permit_b_pct AS VARCHAR) AS P_IZIN_UKL_UPL,
          procurement_pct AS P_PENGADAAN_KONTRAKTOR_SURVEI,
          CASE activity_id % 13 WHEN 0 THEN 'garbage' WHEN 1 THEN strftime(planned_start, '%d/%m/%Y') WHEN 2 THEN NULL
+              WHEN 3 THEN strftime(planned_start, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(EXTRACT(MILLISECONDS FROM planned_start) % 1000 AS VARCHAR), 3, '0')
+              WHEN 4 THEN strftime(planned_start, '%Y-%m-%dT%H:%M:%SZ') WHEN 5 THEN strftime(planned_start, '%Y-%m-%d %H:%M:%S.25+07:00')
+              WHEN 6 THEN strftime(planned_start, '%Y/%m/%d') WHEN 7 THEN strftime(planned_start, '%Y')
               ELSE strftime(planned_start, '%Y-%m-%d %H:%M:%S') END AS RENCANA_WAKTU_MULAI,
          planned_start AS RENCANA_WAKTU_SELESAI,
          obstacle AS KENDALA_OPERASIONAL_LAPANGAN, play AS PLAY,
@@ -121,8 +125,8 @@ _LANDED_STUDY = f"""landed_study AS (
   FROM study)"""
 
 
-def _clean_study_sql() -> str:
-    body = f"""
+def _clean_study_body() -> str:
+    return f"""
 SELECT NAMA_STUDI, {_std('TIPE_STUDI')} AS TIPE_STUDI, {_std('HOLDING')} AS HOLDING, {_std('WK')} AS WK,
        {_std('KKKS')} AS KKKS, {_std('STATUS_WK')} AS STATUS_WK,
        {_std('STATUS_USULAN_KEGIATAN')} AS STATUS_USULAN_KEGIATAN,
@@ -134,7 +138,10 @@ SELECT NAMA_STUDI, {_std('TIPE_STUDI')} AS TIPE_STUDI, {_std('HOLDING')} AS HOLD
        {_num('LUAS_WK_SAAT_INI_KM2')} AS LUAS_WK_SAAT_INI_KM2,
        {_ts_text('TGL_MULAI')} AS TGL_MULAI
 FROM landed_study"""
-    return with_adapter(body, ctes=_LANDED_STUDY)
+
+
+def _clean_study_sql() -> str:
+    return with_adapter(_clean_study_body(), ctes=_LANDED_STUDY)
 
 
 def cleaned_survey(ws):
@@ -146,12 +153,12 @@ def cleaned_study(ws):
 
 
 @R.query("c01_09_clean_survey_sheet", _clean_survey_sql(),
-         ("C-01", "C-03", "C-04", "C-06", "C-07", "C-08", "C-09", "S-01"), headline=True)
+         ("C-01", "C-03", "C-04", "C-06", "C-07", "C-08", "C-09"), headline=True)
 def _c_survey(ws):
     return cleaned_survey(ws)
 
 
-@R.query("c02_05_clean_study_sheet", _clean_study_sql(), ("C-02", "C-05", "C-09", "S-02"))
+@R.query("c02_05_clean_study_sheet", _clean_study_sql(), ("C-02", "C-05", "C-09"))
 def _c_study(ws):
     return cleaned_study(ws)
 

@@ -52,6 +52,11 @@ def messy_timestamp_text(ts: Column, key: Column) -> Column:
     r = key % 13
     return (F.when(r == 0, F.lit("garbage")).when(r == 1, F.date_format(ts, "dd/MM/yyyy"))
             .when(r == 2, F.lit(None).cast("string"))
+            .when(r == 3, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+            .when(r == 4, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+            .when(r == 5, F.date_format(ts, "yyyy-MM-dd HH:mm:ss'.25+07:00'"))
+            .when(r == 6, F.date_format(ts, "yyyy/MM/dd"))
+            .when(r == 7, F.date_format(ts, "yyyy"))
             .otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss")))
 
 
@@ -102,6 +107,13 @@ def landed_survey_main(activity: DataFrame) -> DataFrame:
     )
 
 
+def write_csv_sheet(sheet: DataFrame, path: str, bad: dict[str, Column] | None = None) -> None:
+    """Land a sheet as CSV, cells as they are; ``bad`` maps a column to the condition under which its cell is broken text."""
+    for name, broken in (bad or {}).items():
+        sheet = sheet.withColumn(name, F.when(broken, F.lit("n/a")).otherwise(F.col(name).cast("string")))
+    sheet.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def landed_study_main(study: DataFrame) -> DataFrame:
     """The study relation as a raw ``study_main`` sheet (reference column names)."""
     k = F.col(S.id)
