@@ -101,6 +101,8 @@ class DetailModel:
     receiver_cols: tuple[str, ...]
     shotpoint_cols: tuple[str, ...]
     recording_cols: tuple[str, ...]
+    #: Technical parameters that the activity table itself has.
+    survey_cols: tuple[str, ...] = ()
 
 
 # ---------------------------------------------------------------------------
@@ -138,6 +140,7 @@ ADAPTER_DETAIL = DetailModel(
     receiver_cols=("n_receiver", "receiver_spacing"),
     shotpoint_cols=("n_shot", "charge", "charge_depth"),
     recording_cols=("fold", "far_offset"),
+    survey_cols=("planned_qty", "realised_qty", "resource_oil", "resource_gas", "prospects", "leads", "play"),
 )
 
 # ---------------------------------------------------------------------------
@@ -181,14 +184,5 @@ DOMAIN_DETAIL = DetailModel(
     receiver_cols=("jumlah_receiver", "jarak_antar_titik_receiver"),
     shotpoint_cols=("jumlah_SP", "besaran_charge", "depth_charge"),
     recording_cols=("fold_coverage", "max_far_offset"),
+    survey_cols=("FULL_FOLD", "NEAR_OFFSET_M", "FAR_OFFSET_M", "SHOT_POINT_INTERVAL_M", "SAMPLING_RATE_MS", "RECORD_LENGTH_S", "JENIS_RECEIVER"),
 )
-
-# Names of the landed tables of the reference and the sheet each
-# comes from; the table allow-list of the statement audit is built from these.
-DOMAIN_SHEETS = {
-    "Main": "survey_main",
-    "Receiver": "survey_receiver",
-    "Recording": "survey_recording",
-    "Shot Point": "survey_shotpoint",
-}
-DOMAIN_STUDY_SHEET = {"Main": "study_main"}

@@ -21,6 +21,9 @@ def _count_when(pred) -> F.Column:
     return F.count(F.when(pred, F.lit(1)))
 
 
+#: Slices in which holdings are ranked first.
+SLICES = 64
+
 SURVEY_KPI_NAMES = ("total", "running", "done", "not_started", "total_planned",
                     "total_realised", "total_resource", "avg_progress", "kind_2d",
                     "kind_3d", "kind_other", "onshore", "offshore")
@@ -157,11 +160,14 @@ def brief_long(activity: DataFrame, study: DataFrame,
     keyed = activity.withColumns({"g_region": m.c("region"), "g_holding": m.c("holding")})
     g = keyed.groupingSets([[], ["g_region"], ["g_holding"]], "g_region", "g_holding").agg(*measures)
     # gid bits: region is the high bit, holding the low bit (1 = rolled up):
-    # 3 = grand total, 1 = per region, 2 = per holding. The holding rank is a
-    # window over the aggregated rows only (one row per holding).
-    w = Window.partitionBy("gid").orderBy(F.desc("total"), F.asc_nulls_last("g_holding"))
-    g = (g.withColumn("rank", F.when(F.col("gid") == 2, F.row_number().over(w)))
-          .filter((F.col("gid") != 2) | (F.col("rank") <= top_k)))
+    # 3 = grand total, 1 = per region, 2 = per holding. The holdings are ranked in
+    # two steps, first within slices by hash: the last window has at most
+    # SLICES * top_k of them, however many there are.
+    is_holding, by = F.col("gid") == 2, (F.desc("total"), F.asc_nulls_last("g_holding"))
+    g = g.withColumn("slice", F.pmod(F.xxhash64("g_region", "g_holding"), F.lit(SLICES)))
+    for part in (F.col("slice"), F.when(is_holding, F.lit(-1).cast("bigint")).otherwise(F.col("slice"))):
+        w = Window.partitionBy("gid", part).orderBy(*by)
+        g = g.withColumn("rank", F.when(is_holding, F.row_number().over(w))).filter(~is_holding | (F.col("rank") <= top_k))
     region_measures_ = [("n_activities", "total"), ("avg_progress", "g_avg_progress_1"),
                         ("total_resource", "g_total_resource_1"), ("total_planned", "total_planned")]
     holding_measures = [("n_activities", "total"), ("avg_progress", "g_avg_progress_1"),

@@ -29,7 +29,11 @@ def _desc(c: str) -> F.Column:
     return F.desc_nulls_last(c)
 
 
-def q01_count_in_year(a: DataFrame, year: int = 1998, m: ActivityModel = A) -> DataFrame:
+def q01_count_in_year(a: DataFrame, year: int = 1998, m: ActivityModel = A, dated_by: str | None = None) -> DataFrame:
+    """``dated_by``: a timestamp role whose year the year column is; its range then reaches the scan."""
+    if dated_by is not None:
+        begin, end = (F.lit(f"{y:04d}-01-01 00:00:00").cast(a.schema[getattr(m, dated_by)].dataType) for y in (year, year + 1))
+        a = a.filter((m.c(dated_by) >= begin) & (m.c(dated_by) < end))
     return a.filter(m.c("year") == year).agg(_n().alias("n_activities"))
 
 
@@ -78,7 +82,7 @@ def q09_delayed_list(a: DataFrame, m: ActivityModel = A) -> DataFrame:
                     m.c("region").alias("region"), m.c("planned_start").alias("planned_start"),
                     m.c("resource_p50").alias("resource"),
                     m.c("days_since_planned_start").alias("days_late"))
-            .orderBy(_desc("resource")))
+            .orderBy(_desc("resource"), F.asc_nulls_last("activity_name")))
 
 
 def q10_offshore_running(a: DataFrame, m: ActivityModel = A) -> DataFrame:
@@ -131,7 +135,7 @@ def q16_high_potential_low_progress(a: DataFrame, min_resource: float = 50, max_
             .select(m.c("name").alias("activity_name"), m.c("work_area").alias("work_area"),
                     m.c("resource_p50").alias("resource"), m.c("progress_pct").alias("progress"),
                     m.c("status").alias("status"))
-            .orderBy(_desc("resource")))
+            .orderBy(_desc("resource"), F.asc_nulls_last("activity_name")))
 
 
 def q17_onshore_vs_offshore(a: DataFrame, m: ActivityModel = A) -> DataFrame:
@@ -251,8 +255,8 @@ def technical_detail(a: DataFrame, receiver: DataFrame, shotpoint: DataFrame,
 
 
 def detail_rollup(a: DataFrame, receiver: DataFrame, shotpoint: DataFrame, recording: DataFrame,
-                  m: ActivityModel = A, d: DetailModel = ADAPTER_DETAIL) -> DataFrame:
-    """J-01 + J-02 over the whole portfolio, one row per activity.
+                  m: ActivityModel = A, d: DetailModel = ADAPTER_DETAIL, own: tuple[str, ...] = ()) -> DataFrame:
+    """J-01 + J-02 over the whole portfolio, one row per activity (with its ``own`` columns).
 
     Each detail table is first reduced to one row per activity key (partial
     aggregation before its shuffle), then left-joined: output size equals the
@@ -270,7 +274,7 @@ def detail_rollup(a: DataFrame, receiver: DataFrame, shotpoint: DataFrame, recor
     s = roll(shotpoint, "shot", d.shotpoint_cols)
     c = roll(recording, "rec", d.recording_cols)
     base = a.select(m.c("id").alias("activity_id"), m.c("name").alias("activity_name"),
-                    m.c("kind").alias("kind"))
+                    m.c("kind").alias("kind"), *own)
     out = (base.join(r, base.activity_id == r._rcvk, "left")
            .join(s, base.activity_id == s._shotk, "left")
            .join(c, base.activity_id == c._reck, "left")
@@ -280,6 +284,23 @@ def detail_rollup(a: DataFrame, receiver: DataFrame, shotpoint: DataFrame, recor
     return out.withColumns(counts)
 
 
+def q29_technical_detail(a: DataFrame, receiver: DataFrame, shotpoint: DataFrame, recording: DataFrame,
+                         name_contains: str, m: ActivityModel = A, d: DetailModel = ADAPTER_DETAIL) -> DataFrame:
+    """Q-29 / J-02: the technical detail of the activities whose name has a text, one row an activity.
+
+    The name filter also reduces the three detail tables: each is semi-joined with the keys
+    it leaves, before its rows are rolled up and shuffled (AQE broadcasts the keys
+    when they turn out small). Survey-side parameters are the model's ``survey_cols``.
+    """
+    named = a.filter(F.lower(m.c("name")).contains(name_contains.lower()))
+    keys = named.select(m.c("id").alias("_key"))
+
+    def asked(df: DataFrame) -> DataFrame:
+        return df.join(keys, F.col(d.key) == F.col("_key"), "left_semi")
+
+    return detail_rollup(named, asked(receiver), asked(shotpoint), asked(recording), m, d, d.survey_cols)
+
+
 def q30_cross_table_totals(a: DataFrame, s: DataFrame) -> DataFrame:
     """J-03: both table counts and their sum in one row, without a join.
 

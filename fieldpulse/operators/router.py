@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse.functions.parallel import spread
-from fieldpulse.functions.regex import portable, prefilter
+from fieldpulse.functions.regex import SPACE_CHARS, portable, prefilter
 
 # ---------------------------------------------------------------------------
 # The reference's keyword rules, in rule order and pattern order
@@ -122,21 +122,25 @@ def route_questions(df: DataFrame, question_col: str = "question",
 
 def parse_logged_route(answer: Column, question: Column,
                        default_route: str = DEFAULT_ROUTE) -> Column:
-    """T-03: route from a logged free-text classifier answer; invalid -> default.
+    """T-03: struct(route, method, tables, intent) from a logged free-text classifier answer.
 
-    The JSON object is taken from the first ``{`` to the last ``}`` (the
-    reference does this only when the answer has a fenced block, otherwise it
-    parses the whole answer; both reduce to this for well-formed answers).
+    As the reference parses it: of an answer with a fence the text from the first ``{`` to the last ``}``
+    counts, of any other the whole answer. It must be one JSON object (strictly: ``try_parse_json``);
+    anything else falls back to the default route, with the inferred tables and the question as
+    intent. An object with an unknown route, or none, has the default route.
     """
-    obj = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(obj, "route string, tables array<string>, intent string")
-    route = parsed["route"]
-    valid = route.isin(*VALID_ROUTES)
-    return F.when(parsed.isNotNull() & valid,
-                  F.struct(route.alias("route"), F.lit("llm").alias("method"))) \
-        .otherwise(F.struct(F.lit(default_route).alias("route"),
-                            F.when(parsed.isNotNull(), F.lit("llm")).otherwise(F.lit("llm_fallback"))
-                            .alias("method")))
+    text = F.trim(answer, F.lit(SPACE_CHARS))
+    obj = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    json = F.when(text.contains("```") & (obj != ""), obj).otherwise(text)
+    # a parse ends with the first value: wrapped both ways, text after it is an error
+    v = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]")))
+    alone = F.try_parse_json(F.concat(F.lit('{"x":'), json, F.lit("}"))).isNotNull() & (F.size(F.try_variant_get(v, "$", "array<variant>")) == 1)
+    part = lambda name: F.try_variant_get(v, f"$[0].{name}", "string")
+    is_object = F.coalesce(alone & F.schema_of_variant(v).startswith("ARRAY<OBJECT"), F.lit(False))
+    route = F.when(part("route").isin(*VALID_ROUTES), part("route")).otherwise(F.lit(default_route))
+    read = F.struct(route.alias("route"), F.lit("llm").alias("method"), part("tables").alias("tables"), part("intent").alias("intent"))
+    default = F.struct(F.lit(default_route).alias("route"), F.lit("llm_fallback").alias("method"), infer_tables(question).alias("tables"), question.alias("intent"))
+    return F.when(is_object, read).otherwise(default)
 
 
 def router_accuracy(routed: DataFrame, expected_col: str = "expected_route") -> DataFrame:

@@ -8,6 +8,9 @@ registered views; it returns a lazy DataFrame (no collect of the result).
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +33,6 @@ MSG_INVALID = "Invalid table(s): "
 MSG_VALID = ". Valid tables: "
 MAX_ATTEMPTS = 3  # two retries after the first try
 
-# Extraction patterns (Python spelling: fenced block, then first SELECT/WITH).
-FENCE_PATTERN = r"```(?:sql)?\s*(.*?)\s*```"
-START_PATTERN = r"(SELECT|WITH)\b(.*)"
-
 _STRIP = rf"^[{SPACE}]+|[{SPACE}]+$"
 # Portable spellings of the extraction patterns. (?u) makes Java's (?i) fold
 # Unicode case as Python's re.IGNORECASE on str does.
@@ -139,19 +138,129 @@ class GuardError(ValueError):
     """Raised when a statement fails the audit."""
 
 
+#: Plan nodes and expressions that reach beyond tables: other programs, reflection, code registered by the user.
+REFUSED_NODES = ("ScriptTransformation", "CallMethodViaReflection", "TryReflect", "ScalaUDF", "PythonUDF", "PythonUDAF", "PythonUDTF", "HiveGenericUDF",
+                 "HiveSimpleUDF", "HiveGenericUDTF", "HiveUDAFFunction")
+#: Leaves without a table behind them.
+PLAIN_LEAVES = ("LocalRelation", "OneRowRelation", "Range", "CTERelationRef", "EmptyRelation")
+MSG_REFUSED, MSG_PATH = "Refused in the plan: ", "Not a table of the catalog: "
+
+
+def plan_references(spark: SparkSession, df: DataFrame) -> tuple[set[str], set[str]]:
+    """(tables, other) that an analysed query reaches, subqueries included.
+
+    Tables are views and catalog tables by name (with their database unless it
+    is the current one); what lies below a view is the view's own business. ``other``
+    has refused nodes, and relations that are no tables (files read by path).
+    """
+    tables, other = set(), set()
+    here = spark.catalog.currentDatabase()
+    holds_plan = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression", True, spark._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+
+    def name(identifier) -> str:
+        database = identifier.database()
+        own = database.isEmpty() or database.get() == here
+        return identifier.table() if own else f"{database.get()}.{identifier.table()}"
+
+    def each(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def checked(node) -> str:
+        kind = node.getClass().getSimpleName()
+        if kind in REFUSED_NODES:
+            other.add(MSG_REFUSED + kind)
+        return kind
+
+    def expression(e) -> None:
+        checked(e)
+        if holds_plan.isInstance(e):
+            plan(e.plan())
+        for child in each(e.children()):
+            expression(child)
+
+    def plan(node) -> None:
+        kind = checked(node)
+        if kind == "View":
+            tables.add(name(node.desc().identifier()))
+            return
+        children = each(node.children())
+        if not children and kind not in PLAIN_LEAVES:
+            found = None
+            if kind == "LogicalRelation" and node.catalogTable().isDefined():
+                found = name(node.catalogTable().get().identifier())
+            elif kind == "HiveTableRelation":
+                found = name(node.tableMeta().identifier())
+            elif kind == "DataSourceV2Relation" and node.identifier().isDefined():
+                found = node.name()
+            if found is None:
+                other.add(MSG_PATH + kind)
+            else:
+                tables.add(found)
+        for e in each(node.expressions()):
+            expression(e)
+        for child in children:
+            plan(child)
+
+    plan(df._jdf.queryExecution().analyzed())
+    return tables, other
+
+
 def run_guarded(spark: SparkSession, sql: str, allowed: tuple[str, ...] = DOMAIN_TABLES,
                 strict: bool = True) -> DataFrame:
     """T-06: audit one statement, then run it with ``spark.sql`` (lazily).
 
-    The audit is evaluated on a one-row frame (a single tiny action); the
-    statement itself is planned by Catalyst over whatever views are
-    registered, so the full Spark SQL dialect is available, as the reference
-    delegates to its host engine.
+    The text audit comes first (as in the reference). The statement is then analysed, which
+    runs nothing, and audited once more by its plan: every table that it really reaches,
+    also by comma joins, subqueries and qualified names, must be allowed, and it may not
+    read files by path, call other programs or use reflection.
     """
     verdict = spark.range(1).select(audit_sql(F.lit(sql), allowed, strict).alias("a")).first()["a"]
     if not verdict["is_valid"]:
         raise GuardError(verdict["reason"])
-    return spark.sql(sql)
+    df = spark.sql(sql)
+    tables, other = plan_references(spark, df)
+    invalid = sorted(t for t in tables if t not in (*allowed, LOG_TABLE))
+    if invalid:
+        raise GuardError(f"{MSG_INVALID}{{{', '.join(map(repr, invalid))}}}{MSG_VALID}{{{', '.join(map(repr, sorted(allowed)))}}}")
+    if other:
+        raise GuardError("; ".join(sorted(other)))
+    return df
+
+
+#: Statements that one report runs at most: it is a test of a written set, one query each.
+MOST_STATEMENTS = 1000
+REPORT_SCHEMA = "id string, sql string, success boolean, rows long, expects_rows boolean, passed boolean, error string, seconds double"
+
+
+def statement_report(spark: SparkSession, statements: DataFrame, allowed: tuple[str, ...] = DOMAIN_TABLES, strict: bool = True) -> DataFrame:
+    """T-13: run each statement of (id, sql, expects_rows) under guard: success, rows, passed, error, seconds.
+
+    A statement passes if it runs and has rows exactly where that is expected. Its
+    rows are counted where they are made and stay there. The set is a written one: more
+    than ``MOST_STATEMENTS`` is an error.
+    """
+    asked = statements.select("id", "sql", "expects_rows").orderBy("id").limit(MOST_STATEMENTS + 1).collect()
+    if len(asked) > MOST_STATEMENTS:
+        raise ValueError(f"more than {MOST_STATEMENTS} statements")
+    out = []
+    for row in asked:
+        begin, rows, error = time.perf_counter(), None, None
+        try:
+            rows = run_guarded(spark, row["sql"], allowed, strict).count()
+        except GuardError as exc:
+            error = str(exc)
+        except PySparkException as exc:  # reported, as the reference's test run does
+            error = exc.getCondition() or type(exc).__name__
+        passed = error is None and (rows > 0) == row["expects_rows"]
+        out.append((str(row["id"]), row["sql"], error is None, rows, row["expects_rows"], passed, error, time.perf_counter() - begin))
+    return spark.createDataFrame(out, REPORT_SCHEMA)
+
+
+def report_summary(report: DataFrame) -> DataFrame:
+    """T-13: one row: statements, succeeded, passed, their shares in percent, and mean seconds."""
+    n, ok, good = F.count(F.lit(1)), F.count_if("success"), F.count_if("passed")
+    return report.agg(n.alias("statements"), ok.alias("succeeded"), good.alias("passed"), F.round(F.try_divide(ok * 100, n), 1).alias("success_pct"),
+                      F.round(F.try_divide(good * 100, n), 1).alias("passed_pct"), F.round(F.avg("seconds"), 3).alias("avg_seconds"))
 
 
 def attempt_log(attempts: DataFrame, key: str, order: str, sql_col: str = "sql",

@@ -53,9 +53,9 @@ activity AS (
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
   LEFT JOIN line l ON o.o_orderkey = l.l_orderkey),
-receiver AS (SELECT l_orderkey AS activity_id, l_quantity AS n_receiver, l_extendedprice AS receiver_spacing FROM lineitem WHERE l_linenumber = 1),
-shotpoint AS (SELECT l_orderkey AS activity_id, l_quantity AS n_shot, l_discount AS charge, l_tax AS charge_depth FROM lineitem WHERE l_linenumber = 2),
-recording AS (SELECT l_orderkey AS activity_id, l_quantity AS fold, l_extendedprice AS far_offset FROM lineitem WHERE l_linenumber = 3),
+receiver AS (SELECT l_orderkey AS activity_id, l_quantity AS n_receiver, l_extendedprice AS receiver_spacing FROM lineitem WHERE l_linenumber % 3 = 1),
+shotpoint AS (SELECT l_orderkey AS activity_id, l_quantity AS n_shot, l_discount AS charge, l_tax AS charge_depth FROM lineitem WHERE l_linenumber % 3 = 2),
+recording AS (SELECT l_orderkey AS activity_id, l_quantity AS fold, l_extendedprice AS far_offset FROM lineitem WHERE l_linenumber % 3 = 0),
 study AS (
   SELECT p_partkey AS study_id, p_name AS study_name, p_type AS study_type, p_brand AS holding,
          CONCAT('WA-', CAST(p_partkey % 40 AS VARCHAR)) AS work_area,

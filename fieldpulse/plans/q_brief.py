@@ -198,7 +198,9 @@ def _r05c(ws):
     return risks.risk_table(ws.activity, open_studies).select(*_RISK_COLS)
 
 
-@R.query("r01_rule_details", None, ("R-01", "A-10"))
+@R.query("r01_rule_details", with_adapter(
+    f"SELECT 1 AS rule, activity_name, work_area, resource_p50, days_since_planned_start {_DELAYED} "
+    "ORDER BY resource_p50 DESC, activity_id LIMIT 3"), ("R-01", "A-10"))
 def _r01d(ws):
     return risks.rule_delay(ws.activity).select("rule", F.inline("details"))
 

@@ -10,7 +10,7 @@ R = REGISTRY
 
 _SPECS = [
     # name, operators, builder, oracle body
-    ("q01_count_in_year", ("Q-01", "F-02", "A-01"), lambda ws: c.q01_count_in_year(ws.activity),
+    ("q01_count_in_year", ("Q-01", "F-02", "A-01"), lambda ws: c.q01_count_in_year(ws.activity, dated_by="planned_start"),
      "SELECT COUNT(*) AS n_activities FROM activity WHERE year = 1998"),
     ("q02_total_planned", ("Q-02", "A-02"), lambda ws: c.q02_total_planned(ws.activity),
      "SELECT ROUND(SUM(planned_amount), 0) AS total_planned FROM activity"),
@@ -114,6 +114,17 @@ _SPECS = [
         LEFT JOIN (SELECT activity_id, COUNT(*) AS rec_rows, ROUND(SUM(fold), 4) AS rec_sum_fold,
                           ROUND(SUM(far_offset), 4) AS rec_sum_far_offset FROM recording GROUP BY 1) c
                ON a.activity_id = c.activity_id"""),
+    ("q29_technical_detail", ("Q-29", "J-01", "J-02"),
+     lambda ws: c.q29_technical_detail(ws.activity, ws.receiver, ws.shotpoint, ws.recording, "act-1"),
+     """SELECT a.activity_id, a.activity_name, a.kind, a.planned_qty, a.realised_qty, a.resource_oil, a.resource_gas, a.prospects, a.leads, a.play,
+               COALESCE(r.n, 0) AS rcv_rows, r.x AS rcv_sum_n_receiver, r.y AS rcv_sum_receiver_spacing,
+               COALESCE(s.n, 0) AS shot_rows, s.x AS shot_sum_n_shot, s.y AS shot_sum_charge, s.z AS shot_sum_charge_depth,
+               COALESCE(c.n, 0) AS rec_rows, c.x AS rec_sum_fold, c.y AS rec_sum_far_offset
+        FROM activity a
+        LEFT JOIN (SELECT activity_id, COUNT(*) AS n, ROUND(SUM(n_receiver), 4) AS x, ROUND(SUM(receiver_spacing), 4) AS y FROM receiver GROUP BY 1) r ON a.activity_id = r.activity_id
+        LEFT JOIN (SELECT activity_id, COUNT(*) AS n, ROUND(SUM(n_shot), 4) AS x, ROUND(SUM(charge), 4) AS y, ROUND(SUM(charge_depth), 4) AS z FROM shotpoint GROUP BY 1) s ON a.activity_id = s.activity_id
+        LEFT JOIN (SELECT activity_id, COUNT(*) AS n, ROUND(SUM(fold), 4) AS x, ROUND(SUM(far_offset), 4) AS y FROM recording GROUP BY 1) c ON a.activity_id = c.activity_id
+        WHERE LOWER(a.activity_name) LIKE '%act-1%'"""),
 ]
 
 

@@ -57,5 +57,5 @@ REGISTRY = Registry()
 def _load_all() -> None:
     # Importing the modules runs their @REGISTRY.query decorators.
     from fieldpulse.plans import (  # noqa: F401
-        q_brief, q_catalogue, q_clean, q_sources, q_text,
+        q_brief, q_catalogue, q_clean, q_sources, q_statements, q_text,
     )

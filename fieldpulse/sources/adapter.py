@@ -133,14 +133,14 @@ def build_study(part: DataFrame) -> DataFrame:
 
 
 def build_receiver(lineitem: DataFrame) -> DataFrame:
-    return lineitem.filter(F.col("l_linenumber") == 1).select(
+    return lineitem.filter(F.col("l_linenumber") % 3 == 1).select(
         F.col("l_orderkey").alias("activity_id"),
         F.col("l_quantity").alias("n_receiver"),
         F.col("l_extendedprice").alias("receiver_spacing"))
 
 
 def build_shotpoint(lineitem: DataFrame) -> DataFrame:
-    return lineitem.filter(F.col("l_linenumber") == 2).select(
+    return lineitem.filter(F.col("l_linenumber") % 3 == 2).select(
         F.col("l_orderkey").alias("activity_id"),
         F.col("l_quantity").alias("n_shot"),
         F.col("l_discount").alias("charge"),
@@ -148,7 +148,7 @@ def build_shotpoint(lineitem: DataFrame) -> DataFrame:
 
 
 def build_recording(lineitem: DataFrame) -> DataFrame:
-    return lineitem.filter(F.col("l_linenumber") == 3).select(
+    return lineitem.filter(F.col("l_linenumber") % 3 == 0).select(
         F.col("l_orderkey").alias("activity_id"),
         F.col("l_quantity").alias("fold"),
         F.col("l_extendedprice").alias("far_offset"))

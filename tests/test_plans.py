@@ -30,10 +30,9 @@ def test_no_python_or_cartesian_nodes(spark, name):
 def test_filter_pushed_to_parquet(spark, ws):
     from fieldpulse.operators import catalogue
 
+    plan = plan_text(catalogue.q01_count_in_year(ws.activity, 1998, dated_by="planned_start"))
+    assert any("GreaterThanOrEqual(o_orderdate" in ln for ln in plan.splitlines() if ln.startswith("PushedFilters"))
     plan = plan_text(catalogue.technical_detail(ws.activity, ws.receiver, ws.shotpoint, name_contains="act-77"))
-    pushed = [ln for ln in plan.splitlines() if ln.startswith("PushedFilters")]
-    assert any("EqualTo(l_linenumber,1)" in ln for ln in pushed)
-    assert any("EqualTo(l_linenumber,2)" in ln for ln in pushed)
     # the activity side needs no lineitem measure here: the roll-up join is pruned away
     assert sum("l_orderkey" in ln for ln in plan.splitlines() if ln.startswith("ReadSchema")) == 2
 
