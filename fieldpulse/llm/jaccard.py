@@ -19,6 +19,10 @@ component. No pairs are made inside groups of copies:
    this bound are opened: their members of fitting size are compared exactly.
    A group of one node is bounded by the overlap that this very pair needs; what
    such a bound has settled from one side isn't opened again from the other.
+   A token range passes a pair on only beyond a threshold: with H of Q's Z zone tokens
+   there, it withholds up to floor(H * (Z - missing) / 2Z) common ones. All ranges together
+   withhold (Z - missing) / 2 at most, which is added to what a pair has, so no pair
+   is lost that reaches the bound; pairs that share some tokens here and there make no rows.
 4. Nodes whose bound is below one (short ones, and those made of wide tokens)
    can only be missed among each other. They go through 3 again with the whole
    hash range, and with a growing ``WIDE`` until none is left: with no token
@@ -171,7 +175,7 @@ def grouping_pairs(nodes: DataFrame) -> DataFrame:
     return _alike(pairs.join(one, "a").join(other, "b").where(_fits(F.col("na"), F.col("nb"))).select("a", "b", "sa", "sb"))
 
 
-BLOCK = "part int, node binary, comp binary, size binary, held binary, entry binary, token binary, wide binary"
+BLOCK = "part int, node binary, comp binary, size binary, zone binary, held binary, entry binary, token binary, wide binary"
 FOUND = "q long, g long, hits long, wide long"
 
 
@@ -190,6 +194,7 @@ def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) ->
         node = np.array([r[0] for r in rows], np.int64)
         comp = np.array([r[1] for r in rows], np.int64)
         n = np.array([r[2] for r in rows], np.int64)
+        zone = np.array([len(r[3]) // 8 for r in rows], np.int64)
         token = np.concatenate([_tokens(r[3]) for r in rows])
         owner = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
         order = np.lexsort((comp[owner], token))
@@ -208,10 +213,10 @@ def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) ->
             lo, hi = np.searchsorted(at, [p, p + 1])
             mine, entry, held = np.unique(owner[lo:hi], return_inverse=True, return_counts=True)
             keep = ~known[lo:hi]
-            out.append({"part": p, "node": node[mine].tobytes(), "comp": comp[mine].tobytes(), "size": n[mine].astype(np.uint32).tobytes(), "held": held.astype(np.uint32).tobytes(),
+            out.append({"part": p, "node": node[mine].tobytes(), "comp": comp[mine].tobytes(), "size": n[mine].astype(np.uint32).tobytes(), "zone": zone[mine].astype(np.uint32).tobytes(), "held": held.astype(np.uint32).tobytes(),
                         "entry": entry[keep].astype(np.uint16 if len(mine) <= 65536 else np.uint32).tobytes(), "token": token[lo:hi][keep].astype(np.uint32).tobytes(),
                         "wide": np.unique(token[lo:hi][~keep]).astype(np.uint32).tobytes()})
-        return pd.DataFrame(out, columns=["part", "node", "comp", "size", "held", "entry", "token", "wide"])
+        return pd.DataFrame(out, columns=["part", "node", "comp", "size", "zone", "held", "entry", "token", "wide"])
 
     for part in parts:
         for r in part.itertuples(index=False, name=None):
@@ -231,6 +236,11 @@ def _missing(n: np.ndarray, other: np.ndarray) -> np.ndarray:
     return n - -(-(n + least) * PERCENT // (100 + PERCENT))
 
 
+def withheld(n: np.ndarray, zone: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Common tokens that a range keeps to itself about a set of ``n`` tokens, ``zone`` of them in the zone and ``held`` of these in the range."""
+    return held * np.maximum(zone - n * (100 - PERCENT) // 100, 0) // (2 * np.maximum(zone, 1))
+
+
 class _Counts:
     """Sums by key below ``cells``: in an array where more hits come than that has cells, else by sorting chunks."""
 
@@ -282,8 +292,8 @@ def _match(blocks: pd.DataFrame, limit: int, whole: bool) -> pd.DataFrame:
     entries = [np.frombuffer(x, np.uint16 if len(k) <= 65536 else np.uint32) for x, k in zip(blocks["entry"], nodes)]
     # every node of the range with its size, tokens in the range, and those of them that are not wide
     names, at = np.unique(np.concatenate(nodes), return_inverse=True)
-    total, held, plain = (np.zeros(len(names), np.int64) for _ in range(3))
-    for into, values in ((total, sizes), (held, own("held", np.uint32)), (plain, [np.bincount(e, minlength=len(k)) for e, k in zip(entries, nodes)])):
+    total, zone, held, plain = (np.zeros(len(names), np.int64) for _ in range(4))
+    for into, values in ((total, sizes), (zone, own("zone", np.uint32)), (held, own("held", np.uint32)), (plain, [np.bincount(e, minlength=len(k)) for e, k in zip(entries, nodes)])):
         np.maximum.at(into, at, np.concatenate(values).astype(np.int64))
     groups_, at = np.unique(np.concatenate(comps), return_inverse=True)
     smallest = np.full(len(groups_), np.iinfo(np.int64).max)
@@ -353,6 +363,9 @@ def _match(blocks: pd.DataFrame, limit: int, whole: bool) -> pd.DataFrame:
         if whole:
             through = (plain[q] - hit) * total[q] <= _missing(total[q], smallest[g]) * held[q]
             q, g, hit = q[through], g[through], hit[through]
+        else:
+            hit = hit - withheld(total[q], zone[q], held[q])
+            q, g, hit = q[hit > 0], g[hit > 0], hit[hit > 0]
         out.append(pd.DataFrame({"q": names[q], "g": groups_[g], "hits": hit, "wide": 0}))
     return pd.concat(out)[["q", "g", "hits", "wide"]].astype("int64")
 
@@ -404,11 +417,14 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
     discard(blocks)
     wide = found.where("wide > 0").groupBy(F.col("q").alias("node")).agg(F.sum("wide").alias("w"))
     missing = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
-    sure = nodes.join(wide, "node", "left").withColumn("w", F.coalesce("w", F.lit(0))).withColumn("need", (F.col("z") - F.col("w") - missing).cast("long"))
-    sure = written(sure.select("node", "comp", "many", "n", "z", "w", "need"), "bound")
+    # what the ranges may have withheld in all
+    slack = F.lit(0) if whole else F.greatest(F.floor((F.col("z") - missing) / 2), F.lit(0))
+    sure = nodes.join(wide, "node", "left").withColumn("w", F.coalesce("w", F.lit(0))).withColumn("slack", slack.cast("long")).withColumn(
+        "need", (F.col("z") - F.col("w") - missing - F.col("slack")).cast("long"))
+    sure = written(sure.select("node", "comp", "many", "n", "z", "w", "slack", "need"), "bound")
 
     hits = found.where("hits > 0").groupBy("q", "g").agg(F.sum("hits").alias("hits"))
-    asked = hits.join(sure.select(F.col("node").alias("q"), F.col("many").alias("mq"), F.col("n").alias("nq"), (F.col("z") - F.col("w") - F.col("n")).alias("free"), "need"), "q")
+    asked = hits.join(sure.select(F.col("node").alias("q"), F.col("many").alias("mq"), F.col("n").alias("nq"), (F.col("z") - F.col("w") - F.col("n") - F.col("slack")).alias("free"), "need"), "q")
     members = sure.select(F.col("comp").alias("g"), F.col("node").alias("b"), F.col("many").alias("mb"), F.col("n").alias("nb"), (F.col("need") >= 1).alias("b_sure"))
     # with whole sets the ranges have judged
     opened = asked.where("need >= 1" if whole else "need >= 1 and hits >= need").join(members, "g").where(_fits(F.col("nq"), F.col("nb")))
@@ -486,6 +502,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     stay = found.where("class is not null").groupBy("class").agg(F.min(first).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_hash"))
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumns({"_of": text_hash, "_bare": F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) == ""})
-    kept = rows.where(~F.col("_bare")).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_of"]).select(*docs.columns).union(rows.where("_bare").select(*docs.columns))
+    # the rows go in a struct, whatever their other columns are called
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text_hash.alias("_of"),
+                       (F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) == "").alias("_bare"))
+    kept = rows.where(~F.col("_bare")).join(stay, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["_doc", "_of"]).select("_row.*").union(rows.where("_bare").select("_row.*"))

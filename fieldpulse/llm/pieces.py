@@ -8,11 +8,12 @@ numbers, white space, others) and three rules, which work on whole arrays:
   piece of its own, and white space before that another;
 * an apostrophe that begins a piece takes s, t, re, ve, m, ll or d with it.
 
-Pieces are told apart by 64-bit hashes (a random sum over their characters).
+Pieces are told apart by 64-bit hashes (a random sum over their characters, a digest of long ones).
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -90,11 +91,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+#: Elements up to which sums of powers modulo 2 ** 64 tell strings apart; from some 1024 on there are pairs of
+#: strings with equal sums for any odd base, so longer ones have a digest of their own.
+LONG = 256
+
+
+def digest_long(out: np.ndarray, begin: np.ndarray, end: np.ndarray, content: Callable[[int, int], bytes]) -> np.ndarray:
+    """Hashes ``out`` of the strings from ``begin`` to ``end``, those of the long ones replaced by digests of their bytes."""
+    for i in np.flatnonzero(end - begin > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(content(int(begin[i]), int(end[i])), digest_size=8).digest(), "little")
+    return out
+
+
 def hashes(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Hash of each piece that begins at ``at`` and ends where the next begins."""
     power, inverse = _powers(len(codes))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_random()[codes] * power)])
-    return (total[np.append(at[1:], len(codes))] - total[at]) * inverse[at]
+    end = np.append(at[1:], len(codes))
+    return digest_long((total[end] - total[at]) * inverse[at], at, end, lambda a, b: codes[a:b].tobytes())
 
 
 def cut(text: str) -> Iterator[str]:

@@ -195,8 +195,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta:
 def keep(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, cost: float = 25.0) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     stay = _judged(docs, labels, alpha, delta, cost, True).where("kept").select(F.col("doc_id").alias("__id"), F.col("_row").alias("__hash"))
-    rows = docs.withColumn("__of", _text_hash()).join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__hash")), "left_semi")
-    return rows.select(*docs.columns)
+    # the rows go in a struct, whatever their other columns are called
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), _text_hash().alias("_of"))
+    return rows.join(stay, F.col("_doc").eqNullSafe(F.col("__id")) & (F.col("_of") == F.col("__hash")), "left_semi").select("_row.*")
 
 
 def _judged(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, cost: float, carry: bool) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from fieldpulse.llm.pieces import _powers
+from fieldpulse.llm.pieces import _powers, digest_long
 
 WIDTH = 5
 #: Bytes of texts that are handled at once; a longer text is handled alone, whole.
@@ -41,6 +41,7 @@ def _batch(texts: list[bytes]) -> list[np.ndarray]:
     power, inverse = _powers(len(data))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * power)])
     words = mixed((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+    words = digest_long(words, first, last, lambda a, b: data[a:b].tobytes().lower())
     ends = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(first, ends)  # words of the texts up to each
     begin = np.concatenate([[0], upto[:-1]])

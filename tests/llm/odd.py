@@ -1,7 +1,10 @@
 """A small table of awkward documents, and the columns that the operators must not trip over."""
 
+#: Names that operators use for columns of their own.
+INTERNAL = ("_of", "_bare", "_id", "_hash", "__of", "__id", "__hash", "_null", "_row", "_doc", "sub", "lo", "node", "text_hash", "class", "id")
+
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, _text string, kept boolean, shard int, block int, rank int, "
-          "component_id long, spans string, _next string, part int, payload binary")
+          "component_id long, spans string, _next string, part int, payload binary, " + ", ".join(f"{n} string" for n in INTERNAL))
 
 
 def rows():
@@ -18,7 +21,7 @@ def rows():
     ]
     out = []
     for i, t in enumerate(texts):
-        out.append((i * 7 - 3, t, "en" if i % 2 else None, None if i % 5 == 0 else "src0", None, "x", True, 1, 2, 3, 4, "y", "z", 5, b"6"))
+        out.append((i * 7 - 3, t, "en" if i % 2 else None, None if i % 5 == 0 else "src0", None, "x", True, 1, 2, 3, 4, "y", "z", 5, b"6", *INTERNAL))
     out += [out[7], out[7], (None, prose, None, None, None, *out[0][5:]), (None, None, None, None, None, *out[0][5:]), (18, "other text with the id of another row", *out[0][2:])]
     return out
 
