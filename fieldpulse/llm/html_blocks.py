@@ -5,9 +5,12 @@ described by its words and link density, those of the blocks before and after
 it, and by where it stands: inside an article or main element, inside an
 element that holds no article text (menus, headers, footers, sidebars, notices,
 adverts, forms, comments), a heading or not, and whether the page marks its
-main part at all. Marks by a class or id, and forms, are weak: words and links
-of a block and its neighbours decide there. A decision tree, grown on the
-labelled cases below, says which blocks are article text.
+main part at all. A class or id whose whole name is that of an advert, a comment
+list, a menu or the like (``SURE_WORDS`` and general parts of names) marks its
+element as surely as a tag does, and so does a style that hides it. Other names,
+and forms, are weak marks: words and links of a block and its neighbours decide
+there. A decision tree, grown on the labelled cases below, says which blocks are
+article text.
 
 Text inside script, style and the like never becomes a block. Pages are
 independent, so Spark deals them out and a task holds one batch of pages.
@@ -39,18 +42,28 @@ BOILER_WORDS = frozenset(
     "notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar widget "
     "related recommended recommendations comment comments reply replies discussion disqus respond menu nav navbar navigation breadcrumb "
     "breadcrumbs pagination pager toolbar masthead topbar footer copyright legal search form".split())
+#: Of these and a few more, the ones that name nothing else: such an element holds no article text, wherever it stands.
+SURE_WORDS = frozenset(
+    "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promoted promotion cookie cookies consent gdpr "
+    "notice notification alert popup modal newsletter subscribe signup login share sharing sidebar related recommended recommendations "
+    "comment comments replies disqus menu nav navbar navigation breadcrumb breadcrumbs pagination pager masthead topbar footer".split())
 MAIN_WORDS = frozenset("article main content post entry story maincontent articlebody".split())
 #: Further parts that a compound name of such an element may have: "has-sidebar" names a wrapper, "sidebar-box" the thing itself.
 NAME_PARTS = frozenset(
     "bar bars box block area list lists item items wrap wrapper container inner outer section group site main global page top bottom left right "
     "primary secondary post posts article articles entry entries stories link links icon icons button buttons text title".split())
+#: Parts that only follow such a word: "sponsored-content" is an advert, "content-sidebar" may wrap both.
+LAST_PARTS = frozenset("content body message thread author meta count".split())
+#: Parts that go with words that name nothing else.
+SURE_PARTS = NAME_PARTS | frozenset("slot unit google user reader module tools teaser card panel".split())
 MAIN_PARTS = frozenset("body text area wrap wrapper container inner outer section block page single site primary blog news title lead intro header".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: The rest of a tag whose quotes balance: values in either kind of quotes, or without any.
 _END = re.compile(r"""(?:[^<>="']++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>"'][^\s<>]*+)?+)*+>""")
 _ATTR = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'][^\s]*)))?""")
-MARKING = frozenset("class id role itemprop hidden aria-hidden".split())
+MARKING = frozenset("class id role itemprop hidden aria-hidden style".split())
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
 @dataclass
@@ -59,7 +72,7 @@ class Block:
     words: int
     linked: int
     main: int  # 2: inside an element that is a main part, 1: only inside one that is named so, 0: neither
-    boiler: int  # the same for elements that hold no article text
+    boiler: int  # the same for elements that hold no article text (2 also for names of ``SURE_WORDS``)
     heading: bool
 
     @property
@@ -67,18 +80,23 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def _named(value: str) -> tuple[bool, bool]:
-    """Whether a class or id names the main part, and whether it names text that isn't the article's: whole names only."""
-    main = boiler = False
+def _named(value: str) -> tuple[bool, int]:
+    """Whether a class or id names the main part, and how surely it names text that isn't the article's: whole names only."""
+    main, boiler = False, 0
     for name in value.split():
-        words = {w.lower() for w in _TOKEN.findall(name)}
+        parts = [w.lower() for w in _TOKEN.findall(name)]
+        words = set(parts)
         main |= not MAIN_WORDS.isdisjoint(words) and words <= MAIN_WORDS | MAIN_PARTS
-        boiler |= not BOILER_WORDS.isdisjoint(words) and words <= BOILER_WORDS | NAME_PARTS
-    return main, boiler
+        if not SURE_WORDS.isdisjoint(words) and words <= SURE_WORDS | SURE_PARTS | (LAST_PARTS if parts[0] not in LAST_PARTS else set()):
+            boiler = 2
+        elif not BOILER_WORDS.isdisjoint(words) and words <= BOILER_WORDS | NAME_PARTS:
+            boiler = max(boiler, 1)
+    # an element that is named as the main part too may be laid out beside such a thing
+    return main, min(boiler, 1) if main else boiler
 
 
 def _marks(tag: str, attributes: str, in_main: bool) -> tuple[int, int]:
-    """How far an element marks the main part, and text that isn't the article's: 2 by what it is, 1 by its name or as a form."""
+    """How far an element marks the main part, and text that isn't the article's: 2 surely, 1 by its name or as a form."""
     main = 2 * (tag in ("article", "main"))
     boiler = 1 if tag == "form" else 2 * (tag in BOILER_TAGS or (tag == "header" and not in_main))
     if attributes and tag not in ("body", "html"):
@@ -92,9 +110,11 @@ def _marks(tag: str, attributes: str, in_main: bool) -> tuple[int, int]:
                 value = value.lower()
                 main = max(main, 2 * (value in ("main", "article")))
                 boiler = max(boiler, 2 * (value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu")))
+            elif name == "style":
+                boiler = 2 if _UNSEEN.search(value) else boiler
             elif name != "aria-hidden":
                 named, other = _named(value)
-                main, boiler = max(main, int(named)), max(boiler, int(other))
+                main, boiler = max(main, int(named)), max(boiler, other)
     return main, boiler
 
 
@@ -155,7 +175,9 @@ def blocks(page: str) -> list[Block]:
             at = size if end < 0 else end + 1
             continue
         m = _TAG.match(page, lt)
-        if not m:  # a lone "<"
+        if not m:  # a lone "<"; at the page's end, a tag that is cut off
+            if lt + 1 == size:
+                break
             add("<")
             at = lt + 1
             continue
@@ -218,7 +240,7 @@ _TEXT, _ANY, _BOTH = _FEW + _MANY, _FEW + _MANY + _LINKS, (0, 1)
 # (main, boiler, marked): in a main part, in one by name, on a page that marks none, outside a main part
 _IN, _NAMED, _PLAIN, _OUT = ((2, 0, 2),), ((1, 0, 1), (1, 0, 2)), ((0, 0, 0), (2, 1, 0)), ((0, 0, 2), (2, 1, 2), (0, 1, 2))
 # ... outside a part that is main by name only, or in what is boiler by name only; in what is boiler by what it is
-_LOOSE, _BOILER = ((0, 0, 1), (0, 1, 0), (1, 1, 0), (1, 1, 1), (0, 1, 1)), ((0, 2, 0), (0, 2, 2), (2, 2, 2), (1, 2, 1))
+_LOOSE, _BOILER = ((0, 0, 1), (0, 1, 0), (1, 1, 0), (1, 1, 1), (0, 1, 1)), tuple((main, 2, marked) for main in (0, 1, 2) for marked in (0, 1, 2))
 #: Labelled cases: every combination of (blocks, those before, those after, marks, heading) has the label, 1 for article text.
 _CASES = (
     # in a main part text is the article's, short or long; links are it between text, in a run of links not
@@ -226,10 +248,12 @@ _CASES = (
     (_LINK, _TEXT, _TEXT, _IN + _NAMED, (0,), 1), (_LINK, _LINKS, _ANY, _IN + _NAMED, (0,), 0), (_LINK, _TEXT, _LINKS, _IN + _NAMED, (0,), 0),
     # a wrapper that is only named so may hold menus too
     (_MID + _LONG, _ANY, _ANY, _NAMED, _BOTH, 1), (_SHORT, _TEXT, _ANY, _NAMED, _BOTH, 1), (_SHORT, _LINKS, _TEXT, _NAMED, _BOTH, 1), (_SHORT, _LINKS, _LINKS, _NAMED, _BOTH, 0),
-    # pages that mark nothing: long text, and what stands between such text
-    (_LONG + _MID[1:], _ANY, _ANY, _PLAIN, _BOTH, 1), (_MID[:1], _TEXT, _ANY, _PLAIN, (0,), 1), (_MID[:1], _LINKS, _TEXT, _PLAIN, (0,), 1), (_MID[:1], _LINKS, _LINKS, _PLAIN, (0,), 0),
-    (_SHORT + _LINK, _MANY, _MANY, _PLAIN, (0,), 1), (_SHORT + _LINK, _FEW + _LINKS, _ANY, _PLAIN, (0,), 0), (_SHORT + _LINK, _MANY, _FEW + _LINKS, _PLAIN, (0,), 0),
-    (_SHORT, _ANY, _MANY, _PLAIN, (1,), 1), (_SHORT, _ANY, _FEW + _LINKS, _PLAIN, (1,), 0),
+    # pages that mark nothing: long text, shorter text that follows text, short text and headings that no links adjoin
+    (_LONG + _MID[1:], _ANY, _ANY, _PLAIN, _BOTH, 1), (_MID[:1] + _SHORT[1:], _TEXT, _ANY, _PLAIN, (0,), 1), (_MID[:1], _LINKS, _TEXT, _PLAIN, (0,), 1),
+    (_SHORT[1:], _LINKS, _MANY, _PLAIN, (0,), 1), (_SHORT[1:], _LINKS, _FEW + _LINKS, _PLAIN, (0,), 0), (_MID[:1], _LINKS, _LINKS, _PLAIN, (0,), 0),
+    (_SHORT[:1], _TEXT, _TEXT, _PLAIN, (0,), 1), (_SHORT[:1], _LINKS, _ANY, _PLAIN, (0,), 0), (_SHORT[:1], _TEXT, _LINKS, _PLAIN, (0,), 0),
+    (_LINK, _MANY, _MANY, _PLAIN, (0,), 1), (_LINK, _FEW + _LINKS, _ANY, _PLAIN, (0,), 0), (_LINK, _MANY, _FEW + _LINKS, _PLAIN, (0,), 0),
+    (_SHORT + _MID[:1], _ANY, _TEXT, _PLAIN, (1,), 1), (_SHORT + _MID[:1], _ANY, _LINKS, _PLAIN, (1,), 0),
     # where names speak against it: long text with more of it on one side and no links on the other
     (_LONG, _MANY, _TEXT, _LOOSE, _BOTH, 1), (_LONG, _FEW, _MANY, _LOOSE, _BOTH, 1), (_LONG, _LINKS, _ANY, _LOOSE, _BOTH, 0), (_LONG, _MANY, _LINKS, _LOOSE, _BOTH, 0),
     (_LONG, _FEW, _FEW + _LINKS, _LOOSE, _BOTH, 0), (_SHORT + _MID + _LINK, _ANY, _ANY, _LOOSE, _BOTH, 0),

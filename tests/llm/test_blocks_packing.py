@@ -94,6 +94,34 @@ def test_names_of_wrappers_do_not_decide():
     assert kept(f'<article>{body}</article><section class="comments">{comment * 3}</section>') == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("mark", [f'class="{x}"' for x in (
+    "ad", "ad-slot", "ad-unit", "google-ad", "adsbygoogle", "sponsored-content", "promo-teaser", "comments", "comment-body", "user-comment", "reader-comments",
+    "alert-message", "sidebar-module", "share-tools", "cookie-notice", "relatedPosts", "x1 newsletter-signup")] + ['id="comments"', 'id=disqus_thread', 'style="display: none"', 'style="x:y;visibility:hidden"', "hidden"])
+@pytest.mark.parametrize("tag", ["div", "section", "p", "article"])
+def test_what_is_no_article_text_goes_wherever_it_stands(tag, mark):
+    body = "".join(f"<p>{prose(t, 60)}</p>" for t in "ab")
+    inner = "".join(f"<p>{prose('z', 60)}</p>" for _ in range(3)) if tag != "p" else prose("z", 200)
+    part = f"<{tag} {mark}>{inner}</{tag}>"
+    assert kept(f"<article>{body}{part}{body}</article>") == ["a", "b"] * 2
+    assert kept(f"<body><article>{body}</article>{part}</body>") == ["a", "b"]
+    assert kept(f"<body><div>{body}</div>{part}<div>{body}</div></body>") == ["a", "b"] * 2
+
+
+@pytest.mark.parametrize("name", ["content sidebar", "content-sidebar-wrap", "has-sidebar", "post-content comments-open", "comment-status-open", "no-ads-here", "shared-space", "discussion", "widget", "adder"])
+def test_names_that_may_be_wrappers_keep_their_text(name):
+    body = "".join(f"<p>{prose(t, 60)}</p>" for t in "abc")
+    assert kept(f'<body><div class="{name}">{body}</div></body>') == ["a", "b", "c"]
+
+
+def test_short_pages_without_marks_keep_their_text():
+    assert html_blocks.main_text("<h1>Title</h1><p>Nine words stand in this first short paragraph here.</p><p>And a few more.</p>") == (
+        "Title\n\nNine words stand in this first short paragraph here.\n\nAnd a few more.")
+    links = "<ul><li><a href=a>Home</a></li><li><a href=b>All the news</a></li></ul>"
+    assert html_blocks.main_text(f"{links}<h1>Title</h1><p>Some eight words or so of a text.</p><p>The last one has about nine words, too.</p>{links}") == (
+        "Title\n\nSome eight words or so of a text.\n\nThe last one has about nine words, too.")
+    assert html_blocks.main_text(links) == "" and html_blocks.main_text("<p>One line.</p>") == "One line."
+
+
 @pytest.mark.parametrize("tag", ["""<a title='5" pipe'>""", """<a href="x"">""", """<a href="x>""", """<a title='a > b' class="x">""", """<a alt=it's>""", """<a title="a > b">""",
                                  """<a title='see class=ad'>""", """<b title="has > role=menu hidden ">""", "<svg>", "<video controls>", "<object data=x>", "<select>"])
 def test_odd_tags_keep_the_rest_of_the_page(tag):
