@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from fieldpulse.llm.common import shingle_hashes, shuffle_parts, words_of
 
-#: One in 2**SCALE_BITS hashes is retained.
-SCALE_BITS = 3
+#: One in 2**SCALE_BITS hashes is retained: half of them, so that texts of a few dozen words have sketches that tell degrees.
+SCALE_BITS = 1
 
 
 def _hashes(words: Column) -> Column:
@@ -37,10 +37,10 @@ def _hashes(words: Column) -> Column:
 def with_sketch(df: DataFrame, text: str, out: str, scale_bits: int = SCALE_BITS) -> DataFrame:
     """Add ``out``: struct(kept: ascending retained hashes, least: least hash where none is retained)."""
     df = df.withColumn("_w", words_of(F.coalesce(F.col(text), F.lit(""))))
-    # xxhash64 is signed: the lowest fraction of the unsigned range is 0 <= h < 2**(64 - bits)
-    top = 1 << (64 - scale_bits)
+    # xxhash64 is signed: the lowest fraction of the unsigned range is 0 <= h < 2**(64 - bits), for one bit or more
+    last = (1 << (64 - scale_bits)) - 1
     df = df.withColumn("_h", _hashes(F.col("_w")))
-    kept = F.array_sort(F.array_distinct(F.filter("_h", lambda h: (h >= 0) & (h < F.lit(top)))))
+    kept = F.array_sort(F.array_distinct(F.filter("_h", lambda h: (h >= 0) & (h <= F.lit(last)))))
     df = df.withColumn("_k", kept)
     return df.withColumn(out, F.struct(F.col("_k").alias("kept"), F.when(F.size("_k") == 0, F.array_min("_h")).alias("least"))).drop("_w", "_h", "_k")
 
@@ -78,9 +78,10 @@ def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Rows (doc_id, _text, _sketch, _next: struct(text, sketch) of the next row; after the last row, the first).
+    """Rows (doc_id, _text, _next: text of the next row; after the last row, the first).
 
-    Order: doc_id ascending, null ids last, equal ids by text.
+    Order: doc_id ascending, null ids last, equal ids by text. Only texts are
+    shuffled: a sketch is made again from the next row's text.
     """
     spark = docs.sparkSession
     ranges = ranges or 8 * shuffle_parts(spark)
@@ -89,17 +90,14 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     ids = rows.groupBy("_range").agg(F.min("doc_id").alias("_id"))
     # (at most ``ranges`` + 1 rows of two numbers: broadcast, so that the texts stay where they are)
     first = (rows.join(F.broadcast(ids.withColumnRenamed("_range", "_of")), (F.col("_range") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-             .groupBy("_range").agg(F.min("_text").alias("_text")))
+             .groupBy("_range").agg(F.min("_text").alias("_start")))
     present = sorted(r[0] for r in ids.select("_range").collect())  # a row a range
     if not present:
-        return with_sketch(rows, "_text", "_sketch").withColumn("_next", F.struct(F.col("_text").alias("text"), F.col("_sketch").alias("sketch")))
+        return rows.withColumn("_next", F.col("_text")).drop("_range")
     follows = spark.createDataFrame(list(zip(present, present[1:] + present[:1])), "_range int, _then int")
-    starts = with_sketch(first, "_text", "_sketch").select(
-        F.col("_range").alias("_then"), F.struct(F.col("_text").alias("text"), F.col("_sketch").alias("sketch")).alias("_start"))
-    starts = follows.join(starts, "_then").drop("_then")
+    starts = follows.join(first.withColumnRenamed("_range", "_then"), "_then").drop("_then")
     order = Window.partitionBy("_range").orderBy(F.col("doc_id").asc_nulls_last(), "_text")
-    rows = with_sketch(rows, "_text", "_sketch").withColumn(
-        "_lead", F.lead(F.struct(F.col("_text").alias("text"), F.col("_sketch").alias("sketch"))).over(order))
+    rows = rows.withColumn("_lead", F.lead("_text").over(order))
     return rows.join(starts, "_range", "left").withColumn("_next", F.coalesce("_lead", "_start")).drop("_lead", "_start", "_range")
 
 
@@ -114,10 +112,11 @@ def compare_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = with_next(docs, ranges)
     n = F.length("_text")
     quarter = F.floor(n / 4).cast("int")
-    rows = rows.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), n - quarter), F.substring(F.col("_next")["text"], F.lit(1), quarter)))
-    rows = with_sketch(rows, "_edited", "_after")
+    rows = rows.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), n - quarter), F.substring("_next", F.lit(1), quarter)))
+    for text, out in (("_text", "_sketch"), ("_edited", "_after"), ("_next", "_beside")):
+        rows = with_sketch(rows, text, out)
     return rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("_sketch")).alias("fingerprint"), fingerprint(F.col("_after")).alias("edited_fingerprint"),
         likeness(F.col("_sketch"), F.col("_after")).alias("near_edited"),
-        likeness(F.col("_sketch"), F.col("_next")["sketch"]).alias("near_next"))
+        likeness(F.col("_sketch"), F.col("_beside")).alias("near_next"))

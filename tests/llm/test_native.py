@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 from fieldpulse.llm import fingerprints, pii, quality, sharding
 from tests.llm import odd
@@ -222,6 +224,57 @@ def test_fingerprints(docs):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def sketch(text):
+    """Retained hashes and, where there are none, the least: 64-bit hashes of five words, each seeded by those before."""
+    def hashed(*words):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        return h - (h >> 63 << 64)
+
+    w = WORD.findall(text)
+    every = {hashed(*w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {hashed("short", " ".join(w))} if w else set()
+    kept = frozenset(h for h in every if 0 <= h < 2 ** (64 - fingerprints.SCALE_BITS))
+    return kept, min(every) if every and not kept else None
+
+
+def test_fingerprints_and_likeness_match_brute_force(spark):
+    def alike(a, b):
+        (x, least), (y, other) = sketch(a), sketch(b)
+        return len(x & y) / len(x | y) if x | y else float(least == other)
+
+    def shown(text):
+        kept, least = sketch(text)
+        return ".".join(f"{h:x}" for h in sorted(kept)) if least is None else f"~{least % 2**64:x}"
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    top = max(i for i, _ in rows)
+    rows += [(top + 1 + i, t) for i, t in enumerate(["", None, "one", "One two", "a b c d e", "a b c d e f", "a b c d e f", " \t ", "é ü ß 😀 Ä ö"])]
+    rows = sorted(rows)
+    texts = [t or "" for _, t in rows]
+    got = {r.doc_id: r for r in fingerprints.compare_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 7).collect()}
+    assert len(got) == len(rows)
+    for i, (doc_id, _) in enumerate(rows):
+        t, beside, q, r = texts[i], texts[(i + 1) % len(texts)], len(texts[i]) // 4, got[doc_id]
+        edited = t[:len(t) - q] + beside[:q]
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(t), shown(edited))
+        assert r.near_edited == pytest.approx(alike(t, edited)) and r.near_next == pytest.approx(alike(t, beside))
+
+
+def test_short_texts_are_told_apart_by_degrees(spark):
+    """Twenty to thirty words: the mean error against the true likeness of the shingles."""
+    rng = random.Random(2)
+    pairs = []
+    for _ in range(300):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 30))]
+        k = rng.randrange(len(a))
+        pairs.append((" ".join(a), " ".join(a[:k] + [f"x{rng.randrange(10**6)}" for _ in a[k:]])))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = fingerprints.with_sketch(fingerprints.with_sketch(df, "a", "sa"), "b", "sb")
+    error = [abs(r.j - len(shingles(r.a) & shingles(r.b)) / len(shingles(r.a) | shingles(r.b))) for r in df.select("a", "b", fingerprints.likeness(df.sa, df.sb).alias("j")).collect()]
+    assert sum(error) / len(error) < 0.08
+
+
 def test_likeness_estimates_the_true_similarity(spark):
     words = [f"w{i}" for i in range(4000)]
     pairs = [(" ".join(words), " ".join(words[:3000]) + " " + " ".join(f"x{i}" for i in range(1000))), (" ".join(words), " ".join(words[1000:1500]))]
