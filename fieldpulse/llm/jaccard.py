@@ -19,10 +19,12 @@ component. No pairs are made inside groups of copies:
    this bound are opened: their members of fitting size are compared exactly.
    A group of one node is bounded by the overlap that this very pair needs; what
    such a bound has settled from one side isn't opened again from the other.
-   A token range passes a pair on only beyond a threshold: with H of Q's Z zone tokens
-   there, it withholds up to floor(H * (Z - missing) / 2Z) common ones. All ranges together
-   withhold (Z - missing) / 2 at most, which is added to what a pair has, so no pair
-   is lost that reaches the bound; pairs that share some tokens here and there make no rows.
+   The first (Z - missing) / 2 of Q's Z zone tokens, in hash order, are its prefix: token
+   ranges withhold the common tokens that may lie there. All ranges together withhold no
+   more than the prefix has, which is added to what a pair has, so no pair is lost that
+   reaches the bound; pairs that share some tokens here and there make no rows.
+   What two groups of one node have in common is the same from either side: such a pair
+   has one row, with what both may miss of each other and the shorter of both prefixes.
 4. Nodes whose bound is below one (short ones, and those made of wide tokens)
    can only be missed among each other. They go through 3 again with the whole
    hash range, and with a growing ``WIDE`` until none is left: with no token
@@ -175,12 +177,15 @@ def grouping_pairs(nodes: DataFrame) -> DataFrame:
     return _alike(pairs.join(one, "a").join(other, "b").where(_fits(F.col("na"), F.col("nb"))).select("a", "b", "sa", "sb"))
 
 
-BLOCK = "part int, node binary, comp binary, size binary, zone binary, held binary, entry binary, token binary, wide binary"
+BLOCK = "part int, node binary, comp binary, size binary, alone binary, zone binary, before binary, held binary, entry binary, token binary, wide binary"
 FOUND = "q long, g long, hits long, wide long"
 
 
 def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) -> Iterator[pd.DataFrame]:
-    """Token-range blocks of rows (node, comp, n, tokens): entries (token, node) by token.
+    """Token-range blocks of rows (node, comp, n, tokens, alone): entries (token, node) by token.
+
+    A block has of each node: size, whether its group has no other node, tokens
+    below ``top``, how many of these come before the range and how many lie in it.
 
     A token that more than ``limit`` groups of this task have is wide for sure:
     it goes on as such, and its nodes get their count here (with whole sets: in
@@ -195,6 +200,8 @@ def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) ->
         comp = np.array([r[1] for r in rows], np.int64)
         n = np.array([r[2] for r in rows], np.int64)
         zone = np.array([len(r[3]) // 8 for r in rows], np.int64)
+        alone = np.array([r[4] for r in rows], np.uint8)
+        before = np.zeros(len(rows), np.int64)
         token = np.concatenate([_tokens(r[3]) for r in rows])
         owner = np.repeat(np.arange(len(rows)), [len(r[3]) // 8 for r in rows])
         order = np.lexsort((comp[owner], token))
@@ -213,10 +220,12 @@ def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) ->
             lo, hi = np.searchsorted(at, [p, p + 1])
             mine, entry, held = np.unique(owner[lo:hi], return_inverse=True, return_counts=True)
             keep = ~known[lo:hi]
-            out.append({"part": p, "node": node[mine].tobytes(), "comp": comp[mine].tobytes(), "size": n[mine].astype(np.uint32).tobytes(), "zone": zone[mine].astype(np.uint32).tobytes(), "held": held.astype(np.uint32).tobytes(),
+            out.append({"part": p, "node": node[mine].tobytes(), "comp": comp[mine].tobytes(), "size": n[mine].astype(np.uint32).tobytes(), "alone": alone[mine].tobytes(),
+                        "zone": zone[mine].astype(np.uint32).tobytes(), "before": before[mine].astype(np.uint32).tobytes(), "held": held.astype(np.uint32).tobytes(),
                         "entry": entry[keep].astype(np.uint16 if len(mine) <= 65536 else np.uint32).tobytes(), "token": token[lo:hi][keep].astype(np.uint32).tobytes(),
                         "wide": np.unique(token[lo:hi][~keep]).astype(np.uint32).tobytes()})
-        return pd.DataFrame(out, columns=["part", "node", "comp", "size", "zone", "held", "entry", "token", "wide"])
+            before[mine] += held
+        return pd.DataFrame(out, columns=["part", "node", "comp", "size", "alone", "zone", "before", "held", "entry", "token", "wide"])
 
     for part in parts:
         for r in part.itertuples(index=False, name=None):
@@ -236,9 +245,14 @@ def _missing(n: np.ndarray, other: np.ndarray) -> np.ndarray:
     return n - -(-(n + least) * PERCENT // (100 + PERCENT))
 
 
-def withheld(n: np.ndarray, zone: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Common tokens that a range keeps to itself about a set of ``n`` tokens, ``zone`` of them in the zone and ``held`` of these in the range."""
-    return held * np.maximum(zone - n * (100 - PERCENT) // 100, 0) // (2 * np.maximum(zone, 1))
+def prefix(zone: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """How many of a set's ``zone`` tokens are its prefix, where a linked set misses up to ``missing`` of them."""
+    return np.maximum(zone - missing, 0) // 2
+
+
+def withheld(prefix: np.ndarray, before: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Common tokens that a range keeps to itself: those of the prefix that lie in it, after ``before`` tokens in earlier ranges."""
+    return np.clip(prefix - before, 0, held)
 
 
 class _Counts:
@@ -284,6 +298,8 @@ def _shares(steps: np.ndarray, which: np.ndarray, groups: int) -> list[tuple[int
 def _match(blocks: pd.DataFrame, limit: int, whole: bool) -> pd.DataFrame:
     """One token range: (q, g, hits) for each node and other group with a common token, and (q, wide) counts.
 
+    Two groups of one node have one row, that of the greater node.
+
     With ``whole`` sets only the pairs that this range lets through, and as
     ``wide`` the size of each node about which this range says nothing.
     """
@@ -292,8 +308,8 @@ def _match(blocks: pd.DataFrame, limit: int, whole: bool) -> pd.DataFrame:
     entries = [np.frombuffer(x, np.uint16 if len(k) <= 65536 else np.uint32) for x, k in zip(blocks["entry"], nodes)]
     # every node of the range with its size, tokens in the range, and those of them that are not wide
     names, at = np.unique(np.concatenate(nodes), return_inverse=True)
-    total, zone, held, plain = (np.zeros(len(names), np.int64) for _ in range(4))
-    for into, values in ((total, sizes), (zone, own("zone", np.uint32)), (held, own("held", np.uint32)), (plain, [np.bincount(e, minlength=len(k)) for e, k in zip(entries, nodes)])):
+    total, zone, before, held, plain, alone = (np.zeros(len(names), np.int64) for _ in range(6))
+    for into, values in ((total, sizes), (zone, own("zone", np.uint32)), (before, own("before", np.uint32)), (held, own("held", np.uint32)), (alone, own("alone", np.uint8)), (plain, [np.bincount(e, minlength=len(k)) for e, k in zip(entries, nodes)])):
         np.maximum.at(into, at, np.concatenate(values).astype(np.int64))
     groups_, at = np.unique(np.concatenate(comps), return_inverse=True)
     smallest = np.full(len(groups_), np.iinfo(np.int64).max)
@@ -364,7 +380,14 @@ def _match(blocks: pd.DataFrame, limit: int, whole: bool) -> pd.DataFrame:
             through = (plain[q] - hit) * total[q] <= _missing(total[q], smallest[g]) * held[q]
             q, g, hit = q[through], g[through], hit[through]
         else:
-            hit = hit - withheld(total[q], zone[q], held[q])
+            # the node of the other group, where both are groups of one (whose name is the node's)
+            other = np.minimum(np.searchsorted(names, groups_[g]), len(names) - 1)
+            both = (alone[q] > 0) & (alone[other] > 0) & (names[other] == groups_[g])
+            once = ~both | (q > other)
+            q, g, hit, other, both = q[once], g[once], hit[once], other[once], both[once]
+            keeps = lambda x, y: withheld(prefix(zone[x], _missing(total[x], y)), before[x], held[x])
+            back = np.where(both, np.minimum(keeps(q, total[other]), keeps(other, total[q])), keeps(q, np.zeros(len(q), np.int64)))
+            hit = hit - back
             q, g, hit = q[hit > 0], g[hit > 0], hit[hit > 0]
         out.append(pd.DataFrame({"q": names[q], "g": groups_[g], "hits": hit, "wide": 0}))
     return pd.concat(out)[["q", "g", "hits", "wide"]].astype("int64")
@@ -379,7 +402,7 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
     whole = top == 1 << 64
     total = nodes.agg(F.sum("z")).first()[0] or 0
     ranges = max(1, min(2 * shuffle_parts(nodes.sparkSession), total // RANGE_TOKENS))
-    rows = tokens.join(nodes.select("node", "comp", "n"), "node").select("node", "comp", "n", "tokens")
+    rows = tokens.join(nodes.select("node", "comp", "n", "many"), "node").select("node", "comp", "n", "tokens", F.col("many") == 1)
     blocks = written(rows.mapInPandas(lambda parts: _blocks(parts, ranges, top, limit), BLOCK), "blocks")
 
     def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -416,25 +439,38 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
     found = written(blocks.repartition(tasks, key).sortWithinPartitions("part").mapInPandas(match, FOUND), "found")
     discard(blocks)
     wide = found.where("wide > 0").groupBy(F.col("q").alias("node")).agg(F.sum("wide").alias("w"))
-    missing = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
-    # what the ranges may have withheld in all
-    slack = F.lit(0) if whole else F.greatest(F.floor((F.col("z") - missing) / 2), F.lit(0))
-    sure = nodes.join(wide, "node", "left").withColumn("w", F.coalesce("w", F.lit(0))).withColumn("slack", slack.cast("long")).withColumn(
-        "need", (F.col("z") - F.col("w") - missing - F.col("slack")).cast("long"))
-    sure = written(sure.select("node", "comp", "many", "n", "z", "w", "slack", "need"), "bound")
+
+    def need(z, w, missing):
+        """What a pair has to have at least, of which the ranges may have withheld the prefix."""
+        slack = F.lit(0) if whole else F.greatest(F.floor((z - missing) / 2), F.lit(0))
+        return (z - w - missing - slack).cast("long")
+
+    sure = nodes.join(wide, "node", "left").withColumn("w", F.coalesce("w", F.lit(0))).withColumn(
+        "need", need(F.col("z"), F.col("w"), F.col("n") - F.ceil(F.col("n") * PERCENT / 100)))
+    sure = written(sure.select("node", "comp", "many", "n", "z", "w", "need"), "bound")
 
     hits = found.where("hits > 0").groupBy("q", "g").agg(F.sum("hits").alias("hits"))
-    asked = hits.join(sure.select(F.col("node").alias("q"), F.col("many").alias("mq"), F.col("n").alias("nq"), (F.col("z") - F.col("w") - F.col("n") - F.col("slack")).alias("free"), "need"), "q")
-    members = sure.select(F.col("comp").alias("g"), F.col("node").alias("b"), F.col("many").alias("mb"), F.col("n").alias("nb"), (F.col("need") >= 1).alias("b_sure"))
-    # with whole sets the ranges have judged
-    opened = asked.where("need >= 1" if whole else "need >= 1 and hits >= need").join(members, "g").where(_fits(F.col("nq"), F.col("nb")))
-    if not whole:
-        # a group of one: the overlap that this pair needs
-        overlap = F.ceil((F.col("nq") + F.col("nb")) * PERCENT / F.lit(100 + PERCENT))
-        opened = opened.where((F.col("mb") > 1) | (F.col("hits") >= F.col("free") + overlap))
-    # the member's own row about a group of one has decided better; of two such rows one is enough
-    settled = (F.col("mq") == 1) & F.col("b_sure") & ((F.col("mb") > 1) | (F.col("q") < F.col("b")))
-    pairs = opened.where(~settled).select(F.greatest("q", "b").alias("a"), F.least("q", "b").alias("b")).distinct()
+    asked = hits.join(sure.select(F.col("node").alias("q"), *[F.col(c).alias(f"{c}_q") for c in ("many", "n", "z", "w", "need")]), "q")
+    members = sure.select(F.col("comp").alias("g"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("many", "n", "z", "w", "need")])
+    fits, sure_q, sure_b = _fits(F.col("n_q"), F.col("n_b")), F.col("need_q") >= 1, F.col("need_b") >= 1
+    alone = (F.col("many_q") == 1) & (F.col("many_b") == 1)
+    # the member's own row about a group of one decides better
+    settled = (F.col("many_q") == 1) & (F.col("many_b") > 1) & sure_b
+    if whole:
+        # the ranges have judged; of two rows about groups of one, one is enough
+        opened = asked.where(sure_q).join(members, (asked.g == members.g) & fits & ~settled & ~(alone & sure_b & (F.col("q") < F.col("b"))))
+    else:
+        # a group of one: the overlap that this pair needs, seen from every side of which the bound says something
+        overlap = F.ceil((F.col("n_q") + F.col("n_b")) * PERCENT / F.lit(100 + PERCENT))
+        reached = lambda x: F.col("hits") >= need(F.col(f"z_{x}"), F.col(f"w_{x}"), F.col(f"n_{x}") - overlap)
+        pair = (sure_q | sure_b) & (~sure_q | reached("q")) & (~sure_b | reached("b"))
+        least = F.ceil(F.col("n_q") * PERCENT / 100)
+        known = F.col("z_q") - F.col("w_q") - F.greatest(F.floor((F.col("z_q") - F.col("n_q") + least) / 2), F.lit(0))
+        group = sure_q & ((F.col("many_b") > 1) | (F.col("hits") >= known - F.col("n_q") + overlap))
+        # (a row whose own bound says nothing may be that of a pair)
+        asked = asked.where((~sure_q & (F.col("many_q") == 1)) | (sure_q & (F.col("hits") >= F.col("need_q"))))
+        opened = asked.join(members, (asked.g == members.g) & fits & ~settled & F.when(alone, pair).otherwise(group))
+    pairs = opened.select(F.greatest("q", "b").alias("a"), F.least("q", "b").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     discard(found)
     return pairs, sure.where("need < 1").select("node")

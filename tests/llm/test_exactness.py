@@ -78,6 +78,34 @@ def test_ranges_withhold_no_more_than_the_bound_allows():
     for _ in range(2000):
         n = int(rng.integers(1, 3000))
         zone = int(rng.integers(0, n + 1))
+        other = int(rng.integers(-(-n * jaccard.PERCENT // 100), n * 100 // jaccard.PERCENT + 1))
         held = rng.multinomial(zone, rng.dirichlet(np.ones(int(rng.integers(1, 40)))))
-        kept = jaccard.withheld(np.full(len(held), n), np.full(len(held), zone), held).sum()
-        assert kept <= max(0, (zone - (n - -(-n * jaccard.PERCENT // 100))) // 2)
+        before = np.cumsum(held) - held
+        for least, missing in ((0, n - -(-n * jaccard.PERCENT // 100)), (other, n - -(-(n + other) * jaccard.PERCENT // (100 + jaccard.PERCENT)))):
+            assert jaccard._missing(np.array([n]), np.array([least]))[0] == missing
+            first = jaccard.prefix(np.array([zone]), np.array([missing]))[0]
+            assert first == max(0, zone - missing) // 2
+            kept = jaccard.withheld(first, before, held)
+            assert kept.sum() == first and (kept <= held).all()
+            # whatever the common tokens are, no more than the prefix stays behind
+            hit = rng.integers(0, held + 1)
+            assert hit.sum() - np.maximum(hit - kept, 0).sum() <= first
+
+
+def test_pairs_of_single_nodes_have_one_row_and_groups_have_theirs():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.integers(0, 2**63, 50, np.uint64)) for _ in range(3)]
+    for other in sets[1:]:
+        other[:45] = sets[0][:45]
+        other.sort()
+    nodes = [(node, comp, 50, own.astype("<u8").tobytes(), alone) for node, comp, own, alone in ((5, 5, sets[0], True), (9, 9, sets[1], True), (2, 1, sets[2], False))]
+    block = next(jaccard._blocks(iter([pd.DataFrame(nodes)]), 1, 1 << 63, 8))
+    found = jaccard._match(block, 8, False)
+    common = lambda a, b: len(np.intersect1d(a, b))
+    alike = {(9, 5): common(sets[0], sets[1]), (5, 1): common(sets[0], sets[2]), (9, 1): common(sets[1], sets[2]), (2, 5): common(sets[0], sets[2]), (2, 9): common(sets[1], sets[2])}
+    # the prefix of 50 tokens: half of what is beyond 10 (any member of a group) or 6 (a set of 50) that may miss
+    want = {k: v - (22 if k == (9, 5) else 20) for k, v in alike.items()}
+    assert {(r.q, r.g): r.hits for r in found.itertuples() if r.hits} == want
