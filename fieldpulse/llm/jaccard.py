@@ -19,10 +19,12 @@ component. No pairs are made inside groups of copies:
    this bound are opened: their members of fitting size are compared exactly.
    A group of one node is bounded by the overlap that this very pair needs; what
    such a bound has settled from one side isn't opened again from the other.
-   The first (Z - missing) / 2 of Q's Z zone tokens, in hash order, are its prefix: token
+   The first ``PREFIX`` percent of Z - missing of Q's Z zone tokens, in hash order, are its prefix: token
    ranges withhold the common tokens that may lie there. All ranges together withhold no
    more than the prefix has, which is added to what a pair has, so no pair is lost that
-   reaches the bound; pairs that share some tokens here and there make no rows.
+   reaches the bound; pairs that share some tokens here and there make no rows. Where all
+   of Q's tokens of a range are prefix, its wide tokens there aren't counted either: common
+   and wide tokens of such a range are no more than the prefix tokens in it.
    What two groups of one node have in common is the same from either side: such a pair
    has one row, with what both may miss of each other and the shorter of both prefixes.
 4. Nodes whose bound is below one (short ones, and those made of wide tokens)
@@ -55,6 +57,8 @@ from fieldpulse.llm.shingles import mixed, shingle_sets
 PERCENT = 80
 #: Share of the hash range whose tokens make the first matrix, as a numerator of 2 ** 16.
 ZONE = 21000
+#: Percent of what a set has to share in the zone that are its prefix.
+PREFIX = 67
 #: Min-hashes for grouping, and tokens of a bottom sketch.
 MIN_HASHES, SKETCH = 4, 16
 #: Leaders where more than ``CROWD`` nodes have a min-hash in common; else one.
@@ -188,7 +192,8 @@ def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) ->
     below ``top``, how many of these come before the range and how many lie in it.
 
     A token that more than ``limit`` groups of this task have is wide for sure:
-    it goes on as such, and its nodes get their count here (with whole sets: in
+    it goes on as such, and its nodes get their count here, but for ranges that are
+    wholly their prefix (with whole sets: in
     its range, from the tokens that each node holds there), so that no token
     brings more than its groups' nodes up to the limit from a task.
     """
@@ -210,21 +215,23 @@ def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) ->
         run = np.cumsum(new) - 1
         groups = np.bincount(run[new | np.concatenate([[True], comp[owner][1:] != comp[owner][:-1]])], minlength=run[-1] + 1)
         known = (groups > limit)[run]
+        kept_back, many = prefix(zone, _missing(n, np.zeros(len(rows), np.int64))), np.zeros(len(rows), np.int64)
         out = []
-        if known.any() and top < 1 << 64:
-            who, many = np.unique(owner[known], return_counts=True)
-            out.append({"part": -1, "node": node[who].tobytes(), "size": many.astype(np.int64).tobytes()})
         place = lambda t: ((t >> np.uint64(32)) * np.uint64(ranges) // np.uint64(max(1, top >> 32))).astype(np.int64)
         at = place(token)
         for p in np.unique(at).tolist():
             lo, hi = np.searchsorted(at, [p, p + 1])
             mine, entry, held = np.unique(owner[lo:hi], return_inverse=True, return_counts=True)
             keep = ~known[lo:hi]
+            many[mine] += np.where(before[mine] + held <= kept_back[mine], 0, np.bincount(entry[~keep], minlength=len(mine)))
             out.append({"part": p, "node": node[mine].tobytes(), "comp": comp[mine].tobytes(), "size": n[mine].astype(np.uint32).tobytes(), "alone": alone[mine].tobytes(),
                         "zone": zone[mine].astype(np.uint32).tobytes(), "before": before[mine].astype(np.uint32).tobytes(), "held": held.astype(np.uint32).tobytes(),
                         "entry": entry[keep].astype(np.uint16 if len(mine) <= 65536 else np.uint32).tobytes(), "token": token[lo:hi][keep].astype(np.uint32).tobytes(),
                         "wide": np.unique(token[lo:hi][~keep]).astype(np.uint32).tobytes()})
             before[mine] += held
+        who = np.flatnonzero(many)
+        if len(who) and top < 1 << 64:
+            out.append({"part": -1, "node": node[who].tobytes(), "size": many[who].tobytes()})
         return pd.DataFrame(out, columns=["part", "node", "comp", "size", "alone", "zone", "before", "held", "entry", "token", "wide"])
 
     for part in parts:
@@ -247,7 +254,7 @@ def _missing(n: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 def prefix(zone: np.ndarray, missing: np.ndarray) -> np.ndarray:
     """How many of a set's ``zone`` tokens are its prefix, where a linked set misses up to ``missing`` of them."""
-    return np.maximum(zone - missing, 0) // 2
+    return np.maximum(zone - missing, 0) * PREFIX // 100
 
 
 def withheld(prefix: np.ndarray, before: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -340,6 +347,8 @@ def _match(blocks: pd.DataFrame, limit: int, whole: bool) -> pd.DataFrame:
         is_wide = use = np.zeros(0, bool)
     who, many = np.unique(node[is_wide], return_counts=True)
     plain[np.searchsorted(names, who)] -= many
+    past = (before + held > prefix(zone, _missing(total, np.zeros(len(names), np.int64))))[np.searchsorted(names, who)]
+    who, many = who[past], many[past]
     if whole:
         silent = plain * total <= _missing(total, np.zeros(len(names), np.int64)) * held
         who, many = names[silent], total[silent]
@@ -442,7 +451,7 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
 
     def need(z, w, missing):
         """What a pair has to have at least, of which the ranges may have withheld the prefix."""
-        slack = F.lit(0) if whole else F.greatest(F.floor((z - missing) / 2), F.lit(0))
+        slack = F.lit(0) if whole else F.greatest(F.floor((z - missing) * PREFIX / 100), F.lit(0))
         return (z - w - missing - slack).cast("long")
 
     sure = nodes.join(wide, "node", "left").withColumn("w", F.coalesce("w", F.lit(0))).withColumn(
@@ -465,7 +474,7 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
         reached = lambda x: F.col("hits") >= need(F.col(f"z_{x}"), F.col(f"w_{x}"), F.col(f"n_{x}") - overlap)
         pair = (sure_q | sure_b) & (~sure_q | reached("q")) & (~sure_b | reached("b"))
         least = F.ceil(F.col("n_q") * PERCENT / 100)
-        known = F.col("z_q") - F.col("w_q") - F.greatest(F.floor((F.col("z_q") - F.col("n_q") + least) / 2), F.lit(0))
+        known = F.col("z_q") - F.col("w_q") - F.greatest(F.floor((F.col("z_q") - F.col("n_q") + least) * PREFIX / 100), F.lit(0))
         group = sure_q & ((F.col("many_b") > 1) | (F.col("hits") >= known - F.col("n_q") + overlap))
         # (a row whose own bound says nothing may be that of a pair)
         asked = asked.where((~sure_q & (F.col("many_q") == 1)) | (sure_q & (F.col("hits") >= F.col("need_q"))))
