@@ -109,3 +109,42 @@ def test_pairs_of_single_nodes_have_one_row_and_groups_have_theirs():
     # the prefix of 50 tokens: half of what is beyond 10 (any member of a group) or 6 (a set of 50) that may miss
     want = {k: v - (22 if k == (9, 5) else 20) for k, v in alike.items()}
     assert {(r.q, r.g): r.hits for r in found.itertuples() if r.hits} == want
+
+
+def test_wide_counts_and_hits_reach_the_bound_whatever_the_ranges_and_blocks():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(11)
+    top, limit, withheld = 1 << 63, 2, 0
+    for ranges in (1, 3, 8, 20):
+        base = np.sort(rng.integers(0, top, 120, np.uint64))
+        common = base[:70]  # tokens that the strays have too: wide
+        sets = [base]
+        for _ in range(2):
+            own = base.copy()
+            own[rng.choice(120, 6, replace=False)] = rng.integers(0, top, 6, np.uint64)
+            sets.append(np.sort(own))
+        strays = [np.sort(np.concatenate([rng.choice(common, 30, replace=False), rng.integers(0, top, 90, np.uint64)])) for _ in range(9)]
+        rows = [(k + 1, k + 1, 120, own.astype("<u8").tobytes(), True) for k, own in enumerate(sets + strays)]
+        # in one block, and in several, where tokens are known as wide in some
+        for cut in ([rows], [rows[:1] + rows[3:], rows[1:3]], [[r] for r in rows]):
+            blocks = pd.concat([b for part in cut for b in jaccard._blocks(iter([pd.DataFrame(part)]), ranges, top, limit)])
+            wide, hits = {}, {}
+            for r in blocks[blocks.part < 0].itertuples():
+                for q, n in zip(np.frombuffer(r.node, np.int64), np.frombuffer(r.size, np.int64)):
+                    wide[q] = wide.get(q, 0) + n
+            for _, one in blocks[blocks.part >= 0].groupby("part"):
+                for r in jaccard._match(one, limit, False).itertuples():
+                    (wide if r.wide else hits)[r.q if r.wide else (r.q, r.g)] = (wide if r.wide else hits).get(r.q if r.wide else (r.q, r.g), 0) + (r.wide or r.hits)
+            many = pd.Series(np.concatenate(sets + strays)).value_counts()
+            for q in (1, 2, 3):
+                withheld += int((many[sets[q - 1]] > limit).sum()) - wide.get(q, 0)
+            for q, g in ((2, 1), (3, 1), (3, 2)):
+                both = len(np.intersect1d(sets[q - 1], sets[g - 1]))
+                assert 100 * both >= jaccard.PERCENT * (240 - both)
+                missing = jaccard._missing(np.array([120]), np.array([120]))
+                first = jaccard.prefix(np.array([120]), missing)[0]
+                for side in (q, g):
+                    assert hits.get((q, g), 0) >= 120 - wide.get(side, 0) - missing[0] - first
+    assert withheld > 0
