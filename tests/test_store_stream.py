@@ -351,3 +351,55 @@ def test_stream_tick_recovers_from_a_lost_gold_rebuild(spark, ws, scratch):
     assert gold_is_current(spark, silver, gold_dir)
     assert gold(spark, gold_dir).read(spark, "brief").count() > 0
     assert run_refresh_once(spark, sheets, silver, gold_dir, ws.as_of, ck) is False  # nothing to do
+
+
+def test_batch_rows_are_written_without_a_sort(spark, scratch):
+    """A task's memory does not grow with its part file (Spark's event log of one batch in a process of its own)."""
+    import glob
+    import json
+    import subprocess
+    import sys
+
+    root, scratch = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), scratch.removeprefix("file:")
+    os.makedirs(os.path.join(scratch, "events"))
+    run = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import functions as F
+from fieldpulse.session import build_session
+from fieldpulse.streaming.ledger import EXPORT, FILE, ExportLedger
+spark = build_session("local[2]", extra={{"spark.eventLog.enabled": "true", "spark.eventLog.rolling.enabled": "false",
+                      "spark.eventLog.compress": "false", "spark.eventLog.dir": "file://{scratch}/events"}})
+rows = spark.range(0, 5000, 1, 2).withColumns({{EXPORT: F.concat(F.lit("e"), F.col("id") % 3), FILE: F.concat(F.lit("f"), F.col("id") % 6)}})
+ExportLedger(spark, "{scratch}/silver").record(rows, 0)
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    (log,) = glob.glob(os.path.join(scratch, "events", "*"))
+    with open(log) as f:
+        ended = [e["Task Metrics"] for e in map(json.loads, f) if e["Event"] == "SparkListenerTaskEnd"]
+    writers = [m for m in ended if m["Output Metrics"]["Records Written"] == 2500]
+    assert len(writers) == 2 and all(m["Peak Execution Memory"] == 0 for m in writers)
+
+
+def test_batch_of_more_exports_than_open_files(spark, scratch):
+    """One task with more exports than it may keep open: every row is under its own export, and the session's setting is as before."""
+    from fieldpulse.streaming.ledger import EXPORT, FILE, OPEN_FILES
+
+    ledger, key, n = ExportLedger(spark, scratch), "spark.sql.maxConcurrentOutputFileWriters", OPEN_FILES + 8
+    rows = spark.range(0, 50 * n, 1, 1).withColumns({EXPORT: F.concat(F.lit("e"), F.col("id") % n), FILE: F.concat(F.lit("f"), F.col("id") % n)})
+    before = spark.conf.get(key, None)
+    for _ in range(2):
+        ledger.record(rows, 3)
+    assert spark.conf.get(key, None) == before
+    assert {(r.export, r.file): r.rows for r in ledger.entries().collect()} == {(f"e{i}", f"f{i}"): 50 for i in range(n)}
+    for name in ("e0", f"e{n - 1}"):
+        ledger.versions.publish({}, {"export": name})
+        assert sorted(r.id for r in ledger.current().collect()) == [int(name[1:]) + n * i for i in range(50)]
+    spark.conf.set(key, "5")
+    try:
+        ledger.record(rows, 4)
+        assert spark.conf.get(key) == "5"
+    finally:
+        spark.conf.unset(key)
