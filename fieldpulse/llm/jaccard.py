@@ -29,12 +29,16 @@ component. No pairs are made inside groups of copies:
    has one row, with what both may miss of each other and the shorter of both prefixes.
 4. Nodes whose bound is below one (short ones, and those made of wide tokens)
    can only be missed among each other. They go through 3 again with the whole
-   hash range, and with a growing ``WIDE`` until none is left: with no token
-   too wide the bound is positive for every node. As these nodes mostly have
-   their wide tokens in common, here each token range judges its pairs itself,
+   hash range; few are left of them, which go on with a growing ``WIDE`` until none
+   is left: with no token too wide the bound is positive for every node. As these
+   nodes mostly have their wide tokens in common, here each token range judges its
+   pairs itself (the more of a node's tokens it has, the fewer pass, so not before few are left),
    so that no row is made for a pair that only shares a passage: a pair that
    links may miss M of Q's tokens, hence in some token range no more than M
-   times the share of Q's tokens that lie in it.
+   times the share of Q's tokens that lie in it. A pair that has what this asks for
+   has one of Q's rarest tokens there: only these look for groups, and what such a
+   pair has in all is counted for it alone. Ranges that say nothing about Q make no
+   pairs of it.
 
 Full sets are made again from the texts of the nodes that are compared. Tokens
 travel in binary blocks, a row for each task and token range. What goes to the
@@ -69,6 +73,10 @@ FLUSH, RANGE_TOKENS = 1_000_000, 1_000_000
 CHUNK = 2_000_000
 #: Cells of an array of counts (nodes x groups); more are counted span by span.
 CELLS = 4_000_000
+#: Groups of tokens that are looked at at once where whole sets are judged.
+PROBES = 1_000_000
+#: Tasks that share the nodes of a token range where whole sets are judged, at most.
+SHARES = 16
 #: Sums of pairs that a task keeps before it passes them on.
 MOST_SUMS = 4_000_000
 #: Node ids that may be broadcast to fetch their texts; more go through a shuffle.
@@ -183,7 +191,7 @@ BLOCK = "part int, node binary, comp binary, size binary, alone binary, zone bin
 FOUND = "q long, g long, hits long, wide long"
 
 
-def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) -> Iterator[pd.DataFrame]:
+def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int, whole: bool = False) -> Iterator[pd.DataFrame]:
     """Token-range blocks of rows (node, comp, n, tokens, alone): entries (token, node) by token.
 
     A block has of each node: size, whether its group has no other node, tokens
@@ -228,7 +236,7 @@ def _blocks(parts: Iterator[pd.DataFrame], ranges: int, top: int, limit: int) ->
                         "wide": np.unique(token[lo:hi][~keep]).astype(np.uint32).tobytes()})
             before[mine] += held
         who = np.flatnonzero(many)
-        if len(who) and top < 1 << 64:
+        if len(who) and not whole:
             out.append({"part": -1, "node": node[who].tobytes(), "size": many[who].tobytes()})
         return pd.DataFrame(out, columns=["part", "node", "comp", "size", "alone", "zone", "before", "held", "entry", "token", "wide"])
 
@@ -300,13 +308,64 @@ def _shares(steps: np.ndarray, which: np.ndarray, groups: int) -> list[tuple[int
     return [(k, min(nodes, k + width)) for k in range(0, nodes, width)]
 
 
-def _match(blocks: pd.DataFrame, limit: int, whole: bool) -> pd.DataFrame:
+def _judged(which: np.ndarray, run: np.ndarray, weight: np.ndarray, begin: np.ndarray, end: np.ndarray, key: np.ndarray, fits, need: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q, g, hits) of the pairs with at least ``need`` hits (nodes that need none have no pairs).
+
+    Entries: node (``which``), token (``run``), hits that it counts for and the
+    span of the token's groups, ``begin`` to ``end`` in the ascending ``key`` (run * groups + group).
+    ``fits(entries, spots)``: whether these groups of the token are others, and of fitting size.
+    """
+    width = end - begin
+    order = np.lexsort((width, which))
+    own = which[order]
+    first = np.searchsorted(own, np.arange(len(need) + 1))
+    upto = np.concatenate([[0], np.cumsum(weight[order])])
+    # hits of an entry and those behind it, which have commoner tokens; the last ones alone don't make what is needed
+    rest = upto[first[own + 1]] - upto[:-1]
+    probes = order[(need[own] > 0) & (rest >= need[own])]
+    share = np.cumsum(width[probes]) // PROBES
+    found, carried = [(np.zeros(0, np.int64),) * 3], np.zeros(0, np.int64)
+    for a, b in zip(*_edges(share)):
+        e = probes[a:b]
+        entry = np.repeat(e, width[e])
+        spot = np.arange(len(entry)) - np.repeat(np.cumsum(width[e]) - width[e], width[e]) + begin[entry]
+        ok = fits(entry, spot)
+        pairs = np.unique(np.concatenate([carried, which[entry[ok]] * np.int64(groups) + key[spot[ok]] % groups]))
+        # the last node's pairs wait for its further entries
+        last = which[e[-1]] if b < len(probes) and which[probes[b]] == which[e[-1]] else len(need)
+        carried, pairs = pairs[pairs // groups >= last], pairs[pairs // groups < last]
+        for k in range(0, len(pairs), PROBES):
+            q, g = np.divmod(pairs[k:k + PROBES], groups)
+            hits, live, at = np.zeros(len(q), np.int64), np.arange(len(q)), first[q]
+            while len(live):
+                entry = order[at]
+                want = run[entry] * np.int64(groups) + g[live]
+                spot = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                hits[live] += np.where((key[spot] == want) & fits(entry, spot), weight[entry], 0)
+                at = at + 1
+                more = at < first[q[live] + 1]
+                live, at = live[more], at[more]
+                may = hits[live] + rest[at] >= need[q[live]]
+                live, at = live[may], at[may]
+            enough = hits >= need[q]
+            found.append((q[enough], g[enough], hits[enough]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _edges(x: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs of equal values."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist() if len(x) else []
+    return at, [*at[1:], len(x)][:len(at)]
+
+
+def _match(blocks: pd.DataFrame, limit: int, whole: bool, share: int = 0, shares: int = 1) -> pd.DataFrame:
     """One token range: (q, g, hits) for each node and other group with a common token, and (q, wide) counts.
 
     Two groups of one node have one row, that of the greater node.
 
     With ``whole`` sets only the pairs that this range lets through, and as
-    ``wide`` the size of each node about which this range says nothing.
+    ``wide`` the size of each node about which this range says nothing; of
+    the nodes q those of one share, by hash.
     """
     own = lambda column, kind: [np.frombuffer(x, kind) for x in blocks[column]]
     nodes, comps, sizes, tokens = own("node", np.int64), own("comp", np.int64), own("size", np.uint32), own("token", np.uint32)
@@ -349,7 +408,8 @@ def _match(blocks: pd.DataFrame, limit: int, whole: bool) -> pd.DataFrame:
     who, many = who[past], many[past]
     if whole:
         silent = plain * total <= _missing(total, np.zeros(len(names), np.int64)) * held
-        who, many = names[silent], total[silent]
+        ours = mixed(names.view(np.uint64)) % np.uint64(shares) == share
+        who, many = names[silent & ours], total[silent & ours]
     out = [pd.DataFrame({"q": who, "g": 0, "hits": 0, "wide": many})]
     if use.any():
         node, comp, size, run, group = node[use], comp[use], size[use], run[use], (np.cumsum(group_new) - 1)[use]
@@ -370,14 +430,18 @@ def _match(blocks: pd.DataFrame, limit: int, whole: bool) -> pd.DataFrame:
         begin, end = np.searchsorted(of_run, run, "left"), np.searchsorted(of_run, run, "right")
         which, of = np.searchsorted(names, node), np.searchsorted(groups_, comp[first])
         met: list[tuple] = []
-        for lo_q, hi_q in _shares(end - begin, which, len(groups_)):
+        # another group, with a member that has this token and whose size fits
+        fits = lambda e, g: (g != index[e]) & (hi[g] * 100 >= size[e] * PERCENT) & (lo[g] * PERCENT <= size[e] * 100)
+        if whole:
+            need = np.where(ours, plain - _missing(total, np.zeros(len(names), np.int64)) * held // total, 0)
+            met.append(_judged(which, run, times[run], begin, end, of_run * np.int64(len(groups_)) + of, fits, need, len(groups_)))
+        for lo_q, hi_q in [] if whole else _shares(end - begin, which, len(groups_)):
             ours = np.flatnonzero((which >= lo_q) & (which < hi_q))
             counts = _Counts((hi_q - lo_q) * len(groups_), int((end - begin)[ours].sum()))
             for step in range(int((end - begin)[ours].max(initial=0))):
                 ours = ours[begin[ours] + step < end[ours]]
                 g = begin[ours] + step
-                # another group, with a member that has this token and whose size fits
-                ok = (g != index[ours]) & (hi[g] * 100 >= size[ours] * PERCENT) & (lo[g] * PERCENT <= size[ours] * 100)
+                ok = fits(ours, g)
                 entry, g = ours[ok], g[ok]
                 counts.add((which[entry] - lo_q) * np.int64(len(groups_)) + of[g], times[run[entry]])
             key, hit = counts.result()
@@ -400,17 +464,18 @@ def _match(blocks: pd.DataFrame, limit: int, whole: bool) -> pd.DataFrame:
     return pd.concat(out)[["q", "g", "hits", "wide"]].astype("int64")
 
 
-def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[DataFrame, DataFrame]:
+def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int, whole: bool) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b) of nodes that reach the bound, and the nodes (node) whose bound says nothing.
 
     ``nodes``: node, comp, many (nodes of its group), n, z. ``tokens``: node and
-    its ``z`` tokens below ``top``. Every node must be in both.
+    its ``z`` tokens below ``top``. Every node must be in both. With ``whole`` sets
+    the token ranges judge the pairs.
     """
-    whole = top == 1 << 64
     total = nodes.agg(F.sum("z")).first()[0] or 0
     ranges = max(1, min(2 * shuffle_parts(nodes.sparkSession), total // RANGE_TOKENS))
+    shares = max(1, min(SHARES, shuffle_parts(nodes.sparkSession) // (2 * ranges))) if whole else 1
     rows = tokens.join(nodes.select("node", "comp", "n", "many"), "node").select("node", "comp", "n", "tokens", F.col("many") == 1)
-    blocks = written(rows.mapInPandas(lambda parts: _blocks(parts, ranges, top, limit), BLOCK), "blocks")
+    blocks = written(rows.mapInPandas(lambda parts: _blocks(parts, ranges, top, limit, whole), BLOCK), "blocks")
 
     def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # the ranges of a task come one after the other; their counts are summed before rows are made
@@ -429,7 +494,7 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
                     add(pd.DataFrame({"q": np.frombuffer(b"".join(range_rows["node"]), np.int64), "g": 0, "hits": 0, "wide": np.frombuffer(b"".join(range_rows["size"]), np.int64)}))
                     continue
                 if gathered and gathered[0]["part"].iloc[0] != k:
-                    add(_match(pd.concat(gathered), limit, whole))
+                    add(_match(pd.concat(gathered), limit, whole, int(gathered[0]["part"].iloc[0]) % shares, shares))
                     gathered = []
                 gathered.append(range_rows)
             if len(sums) >= MOST_SUMS:
@@ -437,13 +502,18 @@ def matrix(nodes: DataFrame, tokens: DataFrame, top: int, limit: int) -> tuple[D
                 yield sums
                 sums = sums.iloc[:0]
         if gathered:
-            add(_match(pd.concat(gathered), limit, whole))
+            add(_match(pd.concat(gathered), limit, whole, int(gathered[0]["part"].iloc[0]) % shares, shares))
         yield pd.concat([sums, *fresh]).groupby(["q", "g"], as_index=False, sort=False).sum()
 
     # a task has several ranges; the tasks' own counts (part -1) are dealt out by row
-    tasks = max(1, min(ranges, shuffle_parts(nodes.sparkSession) // 2))
+    tasks = max(1, min(ranges * shares, shuffle_parts(nodes.sparkSession) // 2))
+    if shares > 1:
+        # few ranges with much work each: every task has a range's tokens, and a share of its nodes to look for
+        blocks_of = blocks.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("part", F.col("part") * shares + F.col("_share")).drop("_share")
+    else:
+        blocks_of = blocks
     key = F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.pmod(F.xxhash64("node"), F.lit(ranges)).cast("int"))
-    found = written(blocks.repartition(tasks, key).sortWithinPartitions("part").mapInPandas(match, FOUND), "found")
+    found = written(blocks_of.repartition(tasks, key).sortWithinPartitions("part").mapInPandas(match, FOUND), "found")
     discard(blocks)
     wide = found.where("wide > 0").groupBy(F.col("q").alias("node")).agg(F.sum("wide").alias("w"))
 
@@ -510,17 +580,19 @@ def join(docs: DataFrame) -> DataFrame:
     first = grouped.select("node", F.col("doc_id").alias("_first"))
     tokens = sets.where("node is not null").select("node", "doc_id", F.col("zone").alias("tokens")).join(first, "node").where(
         F.col("doc_id").eqNullSafe(F.col("_first"))).select("node", "tokens")
-    part, top, limit = grouped, ZONE << 48, WIDE
+    part, top, limit, whole = grouped, ZONE << 48, WIDE, False
     while True:
-        pairs, unsure = matrix(part, tokens, top, limit)
+        pairs, unsure = matrix(part, tokens, top, limit, whole)
         if not pairs.isEmpty():
             every.append(_linked(pairs, _fetch(docs, nodes, ends(pairs))))
         unsure = written(unsure, "unsure")
         if unsure.isEmpty():
             break
         part = written(part.join(unsure, "node").withColumn("z", F.col("n")), "rest")
-        full = _fetch(docs, nodes, unsure).withColumnRenamed("set", "tokens") if top < 1 << 64 else tokens.join(unsure, "node")
-        tokens, top, limit = full, 1 << 64, limit * 8
+        if top < 1 << 64:
+            tokens, top = _fetch(docs, nodes, unsure).withColumnRenamed("set", "tokens"), 1 << 64
+        else:
+            tokens, limit, whole = tokens.join(unsure, "node"), limit * 8, True
 
     classes = written(sets.select("doc_id", "text_hash", "node", "n"), "classes")
     discard(sets)
